@@ -1,0 +1,10 @@
+"""Streaming.
+
+The reference processes events as bounded tables only: no stream source,
+watermark, state store or late-data rule exists in it, so none is built here.
+
+The operators take and return DataFrames, so the aggregates without a global
+rank also accept a streaming DataFrame: ``event_mix`` runs as a
+complete-mode streaming aggregation (see ``tests/test_streaming.py``). The
+funnel, cohort and RFM reports are batch reports, as in the reference.
+"""
