@@ -13,19 +13,22 @@ earliest qualifying stage k-1 event of the same session):
 Unordered funnel: ``funnel_unordered`` (distinct users per stage, no session
 or order rule).
 
-Plan shape of ``funnel_reach`` (why it scales)
----------------------------------------------
+Plan shape of the ordered funnel (why it scales)
+------------------------------------------------
 The reference joins every stage's events to all earlier groups of the same
 session. Here each stage k>=2 needs only one number per session, the
 threshold ``T(k-1)`` = earliest qualifying time of stage k-1, because an event
 qualifies iff its time is >= the minimum of the earlier group minima. So:
 
-    G1 = stage-1 events grouped by (session, segment, user) -> min(ts)
-    Tk = Gk grouped by session -> min                          (one row per session)
-    Gk = stage-k events JOIN T(k-1) USING (session) WHERE ts >= T(k-1), grouped as G1
+    Q1 = stage-1 events
+    Tk = Qk grouped by session -> min(ts)                      (one row per session)
+    Qk = stage-k events JOIN T(k-1) USING (session) WHERE ts >= T(k-1)
+
+and the counts are distinct (segment, stage, user) over all Qk.
 
 * Every aggregate has map-side partial aggregation, so a hot session, user
-  or segment collapses before any shuffle.
+  or segment collapses before any shuffle. No window spans a session, so no
+  single task ever holds a whole session.
 * ``Tk`` has one row per session; AQE broadcasts it when its measured size
   is under the broadcast threshold, otherwise the join is a sort-merge join
   on session whose skewed partitions AQE splits (``skewJoin`` +
@@ -65,41 +68,48 @@ def _stage_name(order_col, stages: Sequence[str]):
     return F.element_at(F.array(*[F.lit(s) for s in stages]), order_col)
 
 
-def funnel_reach(events: DataFrame, stages: Sequence[str] = DEFAULT_STAGES, *,
-                 session: str = "session_id", user: str = "customer_id",
-                 segment: str = "device", ts: str = "timestamp",
-                 event_type: str = "event_type") -> DataFrame:
-    """Distinct users per (segment, stage) in an ordered session funnel.
+def _stage_users(events: DataFrame, stages: Sequence[str], session: str, user: str,
+                 segment: str, ts: str, event_type: str) -> DataFrame:
+    """(_d, stage_order, _u) for every event that reached its stage.
 
-    Returns ``segment, stage_order, funnel_stage, unique_users`` with a row
-    only where some event reached the stage (0 when all had NULL users). The user and segment
-    counted at stage k are those of the stage-k event itself; sessions alone
-    link the stages. Equal timestamps qualify. NULL users never count; NULL
-    sessions and NULL times count at stage 1 only.
+    Stage 1: every stage-1 event. Stage k: stage-k events of a session at or
+    after that session's threshold ``T(k-1)`` = earliest qualifying stage k-1
+    time. Thresholds are one-row-per-session aggregates joined on session.
     """
-    stages = _check_stages(stages)
     require_columns(events, session, user, segment, ts, event_type)
     rows = events.select(
         F.col(session).alias("_s"), F.col(user).alias("_u"), F.col(segment).alias("_d"),
         F.col(ts).alias("_t"), F.col(event_type).alias("_e"))
-
-    reached = []
-    threshold = None
+    reached, threshold = [], None
     for k, stage in enumerate(stages, start=1):
-        stage_rows = rows.where(F.col("_e") == F.lit(stage)).drop("_e")
+        stage_rows = rows.where(F.col("_e") == F.lit(stage))
         if threshold is not None:
-            stage_rows = (stage_rows.join(threshold, "_s")
-                          .where(F.col("_t") >= F.col("_prev")).drop("_prev"))
-        groups = stage_rows.groupBy("_s", "_d", "_u").agg(F.min("_t").alias("_first"))
-        reached.append(groups.select("_d", F.lit(k).alias("stage_order"), "_u"))
+            stage_rows = stage_rows.join(threshold, "_s").where(F.col("_t") >= F.col("_prev"))
+        reached.append(stage_rows.select("_d", F.lit(k).alias("stage_order"), "_u"))
         if k < len(stages):
-            threshold = (groups.where(F.col("_s").isNotNull())
-                         .groupBy("_s").agg(F.min("_first").alias("_prev")))
-
+            threshold = (stage_rows.where(F.col("_s").isNotNull())
+                         .groupBy("_s").agg(F.min("_t").alias("_prev")))
     union = reached[0]
     for part in reached[1:]:
         union = union.unionByName(part)
-    counts = (union.groupBy("_d", "stage_order")
+    return union
+
+
+def funnel_reach(events: DataFrame, stages: Sequence[str] = DEFAULT_STAGES, *,
+                 session: str = "session_id", user: str = "customer_id",
+                 segment: str = "device", ts: str = "timestamp",
+                 event_type: str = "event_type") -> DataFrame:
+    """Distinct users per (segment, stage) in an ordered session funnel.
+
+    Returns ``segment, stage_order, funnel_stage, unique_users`` with a row
+    only where some event reached the stage (0 when all had NULL users). The
+    user and segment counted at stage k are those of the stage-k event itself;
+    sessions alone link the stages. Equal timestamps qualify. NULL users never
+    count; NULL sessions and NULL times count at stage 1 only.
+    """
+    stages = _check_stages(stages)
+    counts = (_stage_users(events, stages, session, user, segment, ts, event_type)
+              .groupBy("_d", "stage_order")
               .agg(F.count_distinct("_u").alias("unique_users")))
     return counts.select(
         F.col("_d").alias(segment), "stage_order",
@@ -149,16 +159,46 @@ def funnel_rates(dense: DataFrame, *, segment: str = "device") -> DataFrame:
         round_sql(F.lit(100.0) - step, 2).alias("dropoff_pct"))
 
 
+def _rate_rows(counts: list, stages: Sequence[str]):
+    """Array of one struct per stage with the SQL-rounded rates, from the
+    per-stage user-count columns of one segment (stage 1 first)."""
+    rows = []
+    for k, stage in enumerate(stages):
+        users = counts[k]
+        step = pct_of(users, counts[k - 1] if k else users)
+        rows.append(F.struct(
+            F.lit(k + 1).alias("stage_order"), F.lit(stage).alias("funnel_stage"),
+            users.alias("unique_users"),
+            round_sql(pct_of(users, counts[0]), 2).alias("overall_conversion_pct"),
+            round_sql(step, 2).alias("step_conversion_pct"),
+            round_sql(F.lit(100.0) - step, 2).alias("dropoff_pct")))
+    return F.array(*rows)
+
+
 def funnel_by_segment(events: DataFrame, stages: Sequence[str] = DEFAULT_STAGES, *,
                       session: str = "session_id", user: str = "customer_id",
                       segment: str = "device", ts: str = "timestamp",
                       event_type: str = "event_type", ordered: bool = True) -> DataFrame:
-    """The reference's funnel report: reach, densified over all segments seen in
-    any event (not only stage events), with rates; ordered by segment, stage."""
-    reach = funnel_reach(events, stages, session=session, user=user, segment=segment,
-                         ts=ts, event_type=event_type)
-    dense = densify_stages(reach, events.select(segment), stages, segment=segment)
-    out = funnel_rates(dense, segment=segment)
+    """The reference's funnel report: for every segment seen in any event (not
+    only stage events), every stage with unique_users and the three rates;
+    ordered by segment, stage.
+
+    Same result as ``funnel_rates(densify_stages(funnel_reach(...)))`` in one
+    pass after the stage chain: (segment, stage, user) triples and the segment
+    list are deduplicated together, then one aggregate per segment counts the
+    users of each stage and the rates are column arithmetic on that row.
+    """
+    stages = _check_stages(stages)
+    reached = _stage_users(events, stages, session, user, segment, ts, event_type)
+    every_segment = events.select(F.col(segment).alias("_d"), F.lit(0).alias("stage_order"),
+                                  F.lit(None).cast(reached.schema["_u"].dataType).alias("_u"))
+    distinct = reached.unionByName(every_segment).distinct()
+    known = F.col("_d").isNotNull()  # a NULL segment never matches: all zeros
+    counts = [F.count_if(known & (F.col("stage_order") == k) & F.col("_u").isNotNull())
+              .alias(f"_c{k}") for k in range(1, len(stages) + 1)]
+    per_segment = distinct.groupBy("_d").agg(*counts)
+    cols = [F.col(f"_c{k}") for k in range(1, len(stages) + 1)]
+    out = per_segment.select(F.col("_d").alias(segment), F.inline(_rate_rows(cols, stages)))
     return out.orderBy(F.col(segment).asc_nulls_last(), "stage_order") if ordered else out
 
 

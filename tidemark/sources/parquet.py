@@ -1,20 +1,51 @@
-"""Parquet tables by name from a directory (one ``<name>.parquet`` per table)."""
+"""Parquet tables by name from a directory (one ``<name>.parquet`` per table).
+
+Schema inference opens Parquet footers, and Spark runs a small job for it on
+every ``spark.read.parquet``. A report reads the same tables again and again,
+so the schema found by the first read is remembered per path and handed to
+later reads (``spark.read.schema(...)``), which then only list files. For
+local paths the entry is keyed by the file's size and modification time, so
+a rewritten table is inferred again; ``read_table(..., infer=True)`` always
+infers.
+"""
 
 from __future__ import annotations
 
+import json
 import os
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+_SCHEMAS: dict[tuple, str] = {}
+_LOCK = threading.Lock()
 
 
 def table_path(base_dir: str, name: str) -> str:
     return os.path.join(base_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
+def _version(path: str):
+    try:
+        st = os.stat(path)
+    except OSError:
+        return None  # not a local path: key on the path alone
+    return (st.st_size, st.st_mtime_ns)
+
+
+def read_table(spark: SparkSession, base_dir: str, name: str, *, infer: bool = False) -> DataFrame:
     """Read one table. Column pruning and filters of later operators reach the
     scan (``ReadSchema`` / ``PushedFilters`` in the plan)."""
-    return spark.read.parquet(table_path(base_dir, name))
+    path = table_path(base_dir, name)
+    key = (path, _version(path))
+    cached = None if infer else _SCHEMAS.get(key)
+    if cached is not None:
+        return spark.read.schema(StructType.fromJson(json.loads(cached))).parquet(path)
+    df = spark.read.parquet(path)
+    with _LOCK:
+        _SCHEMAS[key] = df.schema.json()
+    return df
 
 
 def write_table(df: DataFrame, base_dir: str, name: str, mode: str = "overwrite") -> None:
