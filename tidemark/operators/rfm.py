@@ -15,8 +15,8 @@ so quartiles over monetary are reproducible run to run; results are doubles.
 
 Plan shape: one aggregation of the completed rows by customer (partial
 aggregation first), the reference date as a scalar subquery (a separate
-one-row aggregate, no join), and the customer table checkpointed once, since
-three quartile passes read it.
+one-row aggregate, no join); for large customer tables the table is
+checkpointed once, since three quartile passes read it.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import require_columns
 from tidemark.functions.rounding import round_sql
-from tidemark.operators.ntile import global_ntile
+from tidemark.operators.ntile import SINGLE_TASK_ROWS, global_ntile
 from tidemark.session import ensure_checkpoint_dir
 
 # Segment labels of the reference, in rule order (fixed values).
@@ -65,17 +65,23 @@ def rfm_base(transactions: DataFrame, *, customer: str = "customer_id",
 
 def rfm_scores(base: DataFrame, *, customer: str = "customer_id", tiles: int = 4,
                partitions: int | None = None,
-               single_task_rows: int | None = None) -> DataFrame:
-    """Adds r_score, f_score, m_score (1..tiles, NTILE semantics)."""
+               single_task_rows: int | None = SINGLE_TASK_ROWS) -> DataFrame:
+    """Adds r_score, f_score, m_score (1..tiles, NTILE semantics).
+
+    The customer table is counted first. Up to ``single_task_rows`` customers
+    the three quartiles are plain windows (one small sort each). Above it the
+    table is checkpointed once (three passes read it) and each quartile is a
+    ``global_ntile`` over range partitions.
+    """
     require_columns(base, customer, "recency_days", "frequency", "monetary")
-    ensure_checkpoint_dir(base.sparkSession)
-    # Three quartile passes read the customer table: materialize it once.
-    frame = base.checkpoint(eager=True)
-    total = frame.count()
+    total = base.count()
+    small = single_task_rows is not None and total <= single_task_rows
+    frame = base
+    if not small:
+        ensure_checkpoint_dir(base.sparkSession)
+        frame = base.checkpoint(eager=True)
     tie = F.col(customer).asc_nulls_last()
-    kw = {"partitions": partitions, "total": total}
-    if single_task_rows is not None:
-        kw["single_task_rows"] = single_task_rows
+    kw = {"partitions": partitions, "total": total, "single_task_rows": single_task_rows}
     frame = global_ntile(frame, [F.col("recency_days").desc_nulls_last(), tie], tiles,
                          "r_score", **kw)
     frame = global_ntile(frame, [F.col("frequency").asc_nulls_last(), tie], tiles,

@@ -31,6 +31,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
     conf["spark.sql.shuffle.partitions"] = str(
         shuffle_partitions or (os.cpu_count() if cores == "*" else cores))
     conf["spark.driver.memory"] = driver_memory
+    conf.setdefault("spark.ui.showConsoleProgress", "false")
     conf.update(extra or {})
     for key, value in conf.items():
         builder = builder.config(key, value)
