@@ -252,3 +252,24 @@ def test_plan_has_no_window_and_pushes_stage_filters(spark, funnel_events, tmp_p
     for stage in STAGES:
         assert f"EqualTo(event_type,{stage})" in text
     assert "page_category" not in text.split("ReadSchema:")[1].split("\n")[0]
+
+
+def test_hot_session_is_salted_and_exact(spark):
+    rnd = random.Random(11)
+    stages = STAGES[:4]
+    rows = []
+    for i in range(3000):        # two of three events sit in one session
+        sess = "HOT" if i % 3 else rnd.choice([None, f"s{i % 41}"])
+        rows.append((f"e{i}", rnd.choice([None, f"u{rnd.randint(0, 200)}"]), sess,
+                     rnd.choice([None, ts(0, rnd.randint(0, 23))]), rnd.choice(stages + ["x"]),
+                     rnd.choice(["d1", "d2", None]), "x"))
+    df = _events(spark, rows).repartition(8)
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        salted = funnel_reach(df, stages, hot_session_rows=100, skew_check_bytes=0)
+        got = {(r["device"], r["stage_order"]): r["unique_users"] for r in salted.collect()}
+        plan = salted._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert got == _literal_reach(rows, stages)
+    assert "SortMergeJoin [_s#" in plan and "_salt" in plan

@@ -31,9 +31,16 @@ and the counts are distinct (segment, stage, user) over all Qk.
   single task ever holds a whole session.
 * ``Tk`` has one row per session; AQE broadcasts it when its measured size
   is under the broadcast threshold, otherwise the join is a sort-merge join
-  on session whose skewed partitions AQE splits (``skewJoin`` +
-  ``forceOptimizeSkewedJoin`` in ``tidemark.session.RECOMMENDED_CONF``).
-  No broadcast hint is placed on data that grows with the input.
+  on session. No broadcast hint is placed on data that grows with the input.
+* Hot sessions (a bot session may hold a third of all events): one counting
+  job finds sessions with more than ``hot_session_rows`` stage events. Their
+  rows are salted over ``splits`` (default: the shuffle partitions) by a hash
+  of the row, and their threshold rows are repeated per salt, so the join
+  spreads them over all tasks. The list is capped (``MAX_HOT_SESSIONS``,
+  largest first); any session beyond it still takes the unsalted path of the
+  same join, so results stay exact. The count is skipped when Catalyst
+  estimates the input below ``skew_check_bytes``: then even one task holding
+  every event stays small.
 * Each stage's scan carries its own ``event_type = '<stage>'`` pushed filter
   and reads five columns, so a table partitioned or clustered by event type
   reads each stage's files once.
@@ -68,23 +75,76 @@ def _stage_name(order_col, stages: Sequence[str]):
     return F.element_at(F.array(*[F.lit(s) for s in stages]), order_col)
 
 
+# A session is "hot" when it holds more stage events than this: more than
+# one task should sort and join on its own.
+HOT_SESSION_ROWS = 1_000_000
+# At most this many hot sessions are salted (largest first); any others take
+# the plain join path, which is exact too, so the cap only limits balancing.
+MAX_HOT_SESSIONS = 10_000
+# The hot-session count runs only when Catalyst estimates the events input
+# above this size: below it, even a single task holding every event stays small.
+SKEW_CHECK_BYTES = 256 * 1024 * 1024
+
+
+def _estimated_bytes(df: DataFrame) -> int:
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(size if isinstance(size, int) else size.toString())
+
+
+def _hot_sessions(rows: DataFrame, stages: Sequence[str], floor: int, limit: int) -> list:
+    """Sessions with more than ``floor`` stage events, largest first, at most
+    ``limit`` of them (a bounded list, collected)."""
+    per_session = (rows.where(F.col("_e").isin(list(stages)) & F.col("_s").isNotNull())
+                   .groupBy("_s").agg(F.count(F.lit(1)).alias("_n")))
+    hot = per_session.where(F.col("_n") > F.lit(floor)).orderBy(F.col("_n").desc()).limit(limit)
+    return [r["_s"] for r in hot.collect()]
+
+
+def _threshold_join(stage_rows: DataFrame, threshold: DataFrame, hot: list,
+                    splits: int) -> DataFrame:
+    """Stage rows at or after their session's threshold.
+
+    Rows of hot sessions are spread over ``splits`` salts by a hash of their
+    own columns, and those sessions' threshold rows are repeated once per
+    salt, so no join task receives a whole hot session.
+    """
+    if not hot:
+        return stage_rows.join(threshold, "_s").where(F.col("_t") >= F.col("_prev"))
+    is_hot = F.col("_s").isin(hot)
+    salted_rows = stage_rows.withColumn("_salt", F.when(
+        is_hot, F.pmod(F.xxhash64("_t", "_u", "_d"), F.lit(splits))).otherwise(F.lit(0)))
+    salted_threshold = threshold.withColumn("_salt", F.explode(F.when(
+        is_hot, F.sequence(F.lit(0), F.lit(splits - 1))).otherwise(F.array(F.lit(0)))))
+    return (salted_rows.join(salted_threshold, ["_s", "_salt"])
+            .where(F.col("_t") >= F.col("_prev")).drop("_salt"))
+
+
 def _stage_users(events: DataFrame, stages: Sequence[str], session: str, user: str,
-                 segment: str, ts: str, event_type: str) -> DataFrame:
+                 segment: str, ts: str, event_type: str, hot_session_rows: int | None,
+                 splits: int | None, skew_check_bytes: int) -> DataFrame:
     """(_d, stage_order, _u) for every event that reached its stage.
 
     Stage 1: every stage-1 event. Stage k: stage-k events of a session at or
     after that session's threshold ``T(k-1)`` = earliest qualifying stage k-1
-    time. Thresholds are one-row-per-session aggregates joined on session.
+    time. Thresholds are one-row-per-session aggregates joined on session;
+    sessions with more than ``hot_session_rows`` stage events are salted in
+    that join (``hot_session_rows=None`` turns the check off; it runs only for
+    inputs estimated above ``skew_check_bytes``).
     """
     require_columns(events, session, user, segment, ts, event_type)
     rows = events.select(
         F.col(session).alias("_s"), F.col(user).alias("_u"), F.col(segment).alias("_d"),
         F.col(ts).alias("_t"), F.col(event_type).alias("_e"))
+    splits = splits or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = []
+    if hot_session_rows is not None and len(stages) > 1 \
+            and _estimated_bytes(rows) > skew_check_bytes:
+        hot = _hot_sessions(rows, stages, hot_session_rows, MAX_HOT_SESSIONS)
     reached, threshold = [], None
     for k, stage in enumerate(stages, start=1):
         stage_rows = rows.where(F.col("_e") == F.lit(stage))
         if threshold is not None:
-            stage_rows = stage_rows.join(threshold, "_s").where(F.col("_t") >= F.col("_prev"))
+            stage_rows = _threshold_join(stage_rows, threshold, hot, splits)
         reached.append(stage_rows.select("_d", F.lit(k).alias("stage_order"), "_u"))
         if k < len(stages):
             threshold = (stage_rows.where(F.col("_s").isNotNull())
@@ -98,7 +158,10 @@ def _stage_users(events: DataFrame, stages: Sequence[str], session: str, user: s
 def funnel_reach(events: DataFrame, stages: Sequence[str] = DEFAULT_STAGES, *,
                  session: str = "session_id", user: str = "customer_id",
                  segment: str = "device", ts: str = "timestamp",
-                 event_type: str = "event_type") -> DataFrame:
+                 event_type: str = "event_type",
+                 hot_session_rows: int | None = HOT_SESSION_ROWS,
+                 splits: int | None = None,
+                 skew_check_bytes: int = SKEW_CHECK_BYTES) -> DataFrame:
     """Distinct users per (segment, stage) in an ordered session funnel.
 
     Returns ``segment, stage_order, funnel_stage, unique_users`` with a row
@@ -108,7 +171,8 @@ def funnel_reach(events: DataFrame, stages: Sequence[str] = DEFAULT_STAGES, *,
     count; NULL sessions and NULL times count at stage 1 only.
     """
     stages = _check_stages(stages)
-    counts = (_stage_users(events, stages, session, user, segment, ts, event_type)
+    counts = (_stage_users(events, stages, session, user, segment, ts, event_type,
+                           hot_session_rows, splits, skew_check_bytes)
               .groupBy("_d", "stage_order")
               .agg(F.count_distinct("_u").alias("unique_users")))
     return counts.select(
@@ -178,7 +242,10 @@ def _rate_rows(counts: list, stages: Sequence[str]):
 def funnel_by_segment(events: DataFrame, stages: Sequence[str] = DEFAULT_STAGES, *,
                       session: str = "session_id", user: str = "customer_id",
                       segment: str = "device", ts: str = "timestamp",
-                      event_type: str = "event_type", ordered: bool = True) -> DataFrame:
+                      event_type: str = "event_type", ordered: bool = True,
+                      hot_session_rows: int | None = HOT_SESSION_ROWS,
+                      splits: int | None = None,
+                      skew_check_bytes: int = SKEW_CHECK_BYTES) -> DataFrame:
     """The reference's funnel report: for every segment seen in any event (not
     only stage events), every stage with unique_users and the three rates;
     ordered by segment, stage.
@@ -189,7 +256,8 @@ def funnel_by_segment(events: DataFrame, stages: Sequence[str] = DEFAULT_STAGES,
     users of each stage and the rates are column arithmetic on that row.
     """
     stages = _check_stages(stages)
-    reached = _stage_users(events, stages, session, user, segment, ts, event_type)
+    reached = _stage_users(events, stages, session, user, segment, ts, event_type,
+                           hot_session_rows, splits, skew_check_bytes)
     every_segment = events.select(F.col(segment).alias("_d"), F.lit(0).alias("stage_order"),
                                   F.lit(None).cast(reached.schema["_u"].dataType).alias("_u"))
     distinct = reached.unionByName(every_segment).distinct()
