@@ -15,10 +15,6 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # The funnel's threshold joins feed aggregates that reuse the join's
-    # session partitioning; allow AQE to split a hot session anyway and pay
-    # the extra exchange only when skew is actually measured.
-    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.ui.enabled": "false",
 }
 
