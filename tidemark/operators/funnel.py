@@ -87,7 +87,11 @@ SKEW_CHECK_BYTES = 256 * 1024 * 1024
 
 
 def _estimated_bytes(df: DataFrame) -> int:
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    """Catalyst's size estimate; unknown (e.g. no JVM handle) counts as large."""
+    try:
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    except Exception:  # noqa: BLE001 - any failure: be safe and run the check
+        return 1 << 62
     return int(size if isinstance(size, int) else size.toString())
 
 

@@ -76,7 +76,9 @@ def audit(customers: DataFrame, events: DataFrame, transactions: DataFrame, *,
     require_columns(transactions, txn_id, customer, amount)
     ev = _event_stats(events, event_id, customer)
     tx = _transaction_stats(transactions, txn_id, customer, amount)
-    known = customers.select(F.col(customer).alias("_id"))
+    # Distinct non-NULL ids: a repeated id collapses map-side, and the anti
+    # joins reuse this aggregate's partitioning on the id.
+    known = customers.select(F.col(customer).alias("_id")).where(F.col("_id").isNotNull()).distinct()
     ev_orphans = _orphans(events, customer, known)
     tx_orphans = _orphans(transactions, customer, known)
 
