@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import pct_of, require_columns
 from tidemark.functions.periods import month_start, period_index, period_label, period_start
 from tidemark.functions.rounding import round_even, round_sql
+from tidemark.session import ensure_checkpoint_dir
 
 
 def _user_periods(df: DataFrame, user: str, period) -> DataFrame:
@@ -64,10 +65,18 @@ def cohort_retention(events: DataFrame, *, user: str = "customer_id",
     return out
 
 
-def _observed_offsets(long: DataFrame, offset_col: str) -> list[int]:
-    """Distinct offsets of a cohort result (at most one per calendar period)."""
-    return sorted(r[0] for r in long.select(offset_col).where(F.col(offset_col).isNotNull())
-                  .distinct().collect())
+def _observed_offsets(long: DataFrame, offset_col: str) -> tuple[DataFrame, list[int]]:
+    """The cohort result checkpointed, and its distinct offsets.
+
+    The long form is small (cohorts x offsets) but costs a full pass over the
+    events; checkpointing it means that pass runs once for both the offsets
+    (at most one per calendar period, collected) and the pivot.
+    """
+    ensure_checkpoint_dir(long.sparkSession)
+    frozen = long.checkpoint(eager=True)
+    offsets = sorted(r[0] for r in frozen.select(offset_col).where(F.col(offset_col).isNotNull())
+                     .distinct().collect())
+    return frozen, offsets
 
 
 def cohort_matrix(long: DataFrame, offsets: Sequence[int] | None = None) -> DataFrame:
@@ -78,7 +87,7 @@ def cohort_matrix(long: DataFrame, offsets: Sequence[int] | None = None) -> Data
     Rows with a NULL offset have no column and are left out.
     """
     if offsets is None:
-        offsets = _observed_offsets(long, "period_offset")
+        long, offsets = _observed_offsets(long, "period_offset")
     offsets = [int(o) for o in offsets]
     wide = (long.where(F.col("period_offset").isNotNull())
             .groupBy(F.date_format("cohort_month", "yyyy-MM").alias("cohort_month"))
@@ -116,7 +125,7 @@ def cohort_matrix_freq(df: DataFrame, user_col: str, date_col: str, freq: str =
     """
     long = cohort_counts(df, user_col, date_col, freq)
     if offsets is None:
-        offsets = _observed_offsets(long, "period_idx")
+        long, offsets = _observed_offsets(long, "period_idx")
     offsets = [int(o) for o in offsets]
     wide = (long.groupBy("cohort").pivot("period_idx", offsets).agg(F.first("retention")))
     return (wide.orderBy("cohort")
