@@ -52,14 +52,16 @@ def global_ntile(df: DataFrame, order: Sequence[Column], n: int, alias: str = "n
 
     ``order`` must be a total order (end it with a unique column) for the
     result to be deterministic; ties are then never split arbitrarily.
-    ``total`` may be passed when the row count is already known.
+    ``total`` may be passed when the row count is already known; the
+    distributed path takes it from its per-bucket counts.
     """
     order = list(order)
-    if total is None:
-        total = df.count()
-    if single_task_rows is not None and total <= single_task_rows:
-        # Proven small (counted): one sort in one task is the cheaper plan.
-        return df.withColumn(alias, F.ntile(n).over(Window.orderBy(*order)).cast("long"))
+    if single_task_rows is not None:
+        if total is None:
+            total = df.count()
+        if total <= single_task_rows:
+            # Proven small (counted): one sort in one task is the cheaper plan.
+            return df.withColumn(alias, F.ntile(n).over(Window.orderBy(*order)).cast("long"))
 
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)

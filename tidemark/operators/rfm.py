@@ -15,8 +15,8 @@ so quartiles over monetary are reproducible run to run; results are doubles.
 
 Plan shape: one aggregation of the completed rows by customer (partial
 aggregation first), the reference date as a scalar subquery (a separate
-one-row aggregate, no join); for large customer tables the table is
-checkpointed once, since three quartile passes read it.
+one-row aggregate, no join), and the customer table checkpointed once, since
+a count and three quartile passes read it.
 """
 
 from __future__ import annotations
@@ -68,18 +68,16 @@ def rfm_scores(base: DataFrame, *, customer: str = "customer_id", tiles: int = 4
                single_task_rows: int | None = SINGLE_TASK_ROWS) -> DataFrame:
     """Adds r_score, f_score, m_score (1..tiles, NTILE semantics).
 
-    The customer table is counted first. Up to ``single_task_rows`` customers
-    the three quartiles are plain windows (one small sort each). Above it the
-    table is checkpointed once (three passes read it) and each quartile is a
-    ``global_ntile`` over range partitions.
+    The customer table is checkpointed first: the aggregation over all
+    transactions then runs once, although the count and three quartile
+    passes read its result. Up to ``single_task_rows`` customers (counted)
+    the quartiles are plain windows (one small sort each); above it each is
+    a ``global_ntile`` over range partitions.
     """
     require_columns(base, customer, "recency_days", "frequency", "monetary")
-    total = base.count()
-    small = single_task_rows is not None and total <= single_task_rows
-    frame = base
-    if not small:
-        ensure_checkpoint_dir(base.sparkSession)
-        frame = base.checkpoint(eager=True)
+    ensure_checkpoint_dir(base.sparkSession)
+    frame = base.checkpoint(eager=True)
+    total = frame.count()
     tie = F.col(customer).asc_nulls_last()
     kw = {"partitions": partitions, "total": total, "single_task_rows": single_task_rows}
     frame = global_ntile(frame, [F.col("recency_days").desc_nulls_last(), tie], tiles,
