@@ -3,7 +3,7 @@
 Ordered funnel (per session, stage k counts when it happens at or after the
 earliest qualifying stage k-1 event of the same session):
 
-* ``funnel_reach``    - distinct users per (segment, stage), non-zero rows only.
+* ``funnel_reach``    - distinct users per (segment, stage) that some event reached.
 * ``densify_stages``  - every (segment, stage) pair, 0 where nobody got there.
 * ``funnel_rates``    - overall / step / drop-off percentages per segment.
 * ``funnel_by_segment`` - the three above, the reference's funnel report.
@@ -27,8 +27,9 @@ qualifies iff its time is >= the minimum of the earlier group minima. So:
 and the counts are distinct (segment, stage, user) over all Qk.
 
 * Every aggregate has map-side partial aggregation, so a hot session, user
-  or segment collapses before any shuffle. No window spans a session, so no
-  single task ever holds a whole session.
+  or segment collapses before any shuffle. No window spans a session; in the
+  joins a session larger than ``hot_session_rows`` is salted (below), so no
+  task holds a hot session whole.
 * ``Tk`` has one row per session; AQE broadcasts it when its measured size
   is under the broadcast threshold, otherwise the join is a sort-merge join
   on session. No broadcast hint is placed on data that grows with the input.
