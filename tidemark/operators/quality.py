@@ -18,12 +18,15 @@ Business Rule Audit            amounts <= 0           event ids seen more   0
 Plan shape: each table is read by as few aggregates as possible and the
 numbers meet as scalar subqueries on one row (no cross join):
 
+* customers: one ``groupBy(customer_id)`` gives the NULL-id count and the
+  known ids of the anti joins.
+* transactions: one ``groupBy(customer_id)`` gives the missing-key and
+  bad-amount counts, and, left-joined to the known ids on the shared id
+  partitioning, the orphans.
 * events: one ``groupBy(event_id)`` gives both the missing-key count and the
-  duplicate-id count; a second, ``distinct`` customer ids (partial
-  aggregation first, so a hot customer collapses map-side), feeds a
-  ``left_anti`` join against the customer ids.
-* transactions: one global aggregate for missing keys and bad amounts, and the
-  same distinct + ``left_anti`` for orphans.
+  duplicate-id count; a second, ``distinct`` customer ids, feeds its
+  ``left_anti`` join. Every aggregate combines map-side first, so a NULL or
+  repeated id holding a third of the rows collapses before the shuffle.
 * The anti joins are planned by AQE: broadcast only when the customer side is
   measured small, otherwise a shuffled join. NULL ids in the customer table
   never hide orphans (NOT EXISTS semantics, not NOT IN).
@@ -53,16 +56,8 @@ def _event_stats(events: DataFrame, event_id: str, customer: str) -> Column:
         F.count_if(F.col("_n") > 1).cast("long").alias("duplicates"))).scalar()
 
 
-def _transaction_stats(transactions: DataFrame, txn_id: str, customer: str, amount: str) -> Column:
-    return transactions.agg(F.struct(
-        F.count_if(F.col(txn_id).isNull() | F.col(customer).isNull()).cast("long")
-        .alias("missing_keys"),
-        F.count_if(F.col(amount) <= F.lit(0)).cast("long").alias("bad_amounts"))).scalar()
-
-
-def _orphans(referencing: DataFrame, ref_col: str, known_ids: DataFrame) -> Column:
-    ids = (referencing.select(F.col(ref_col).alias("_id")).where(F.col("_id").isNotNull())
-           .distinct())
+def _orphans(ids: DataFrame, known_ids: DataFrame) -> Column:
+    """Distinct non-NULL ids of ``ids`` (column ``_id``) missing from ``known_ids``."""
     return ids.join(known_ids, "_id", "left_anti").agg(F.count(F.lit(1))).scalar()
 
 
@@ -75,12 +70,30 @@ def audit(customers: DataFrame, events: DataFrame, transactions: DataFrame, *,
     require_columns(events, event_id, customer)
     require_columns(transactions, txn_id, customer, amount)
     ev = _event_stats(events, event_id, customer)
-    tx = _transaction_stats(transactions, txn_id, customer, amount)
-    # Distinct non-NULL ids: a repeated id collapses map-side, and the anti
-    # joins reuse this aggregate's partitioning on the id.
-    known = customers.select(F.col(customer).alias("_id")).where(F.col("_id").isNotNull()).distinct()
-    ev_orphans = _orphans(events, customer, known)
-    tx_orphans = _orphans(transactions, customer, known)
+
+    # Customers, one pass: rows per id (NULL id included) feed both the NULL
+    # count and the known-id side of the anti joins, which reuse this
+    # aggregate's partitioning on the id.
+    per_customer = (customers.groupBy(F.col(customer).alias("_id"))
+                    .agg(F.count(F.lit(1)).alias("_rows")))
+    known = per_customer.where(F.col("_id").isNotNull()).select("_id")
+
+    # Transactions, one pass: per customer id (partial aggregation first), the
+    # missing-key and bad-amount counts; a left join to the known ids (both
+    # sides already partitioned by id) marks the orphans; one aggregate
+    # returns all three figures.
+    per_txn_customer = (transactions.groupBy(F.col(customer).alias("_id")).agg(
+        F.count_if(F.col(txn_id).isNull() | F.col(customer).isNull()).alias("_missing"),
+        F.count_if(F.col(amount) <= F.lit(0)).alias("_bad")))
+    tx = (per_txn_customer.join(known.withColumn("_known", F.lit(True)), "_id", "left")
+          .agg(F.struct(
+              F.coalesce(F.sum("_missing"), F.lit(0)).cast("long").alias("missing_keys"),
+              F.coalesce(F.sum("_bad"), F.lit(0)).cast("long").alias("bad_amounts"),
+              F.count_if(F.col("_id").isNotNull() & F.col("_known").isNull()).cast("long")
+              .alias("orphans"))).scalar())
+    tx_orphans = tx.getField("orphans")
+    ev_orphans = _orphans(events.select(F.col(customer).alias("_id"))
+                          .where(F.col("_id").isNotNull()).distinct(), known)
 
     def row(order: int, label: str, a: Column, b: Column, c: Column) -> Column:
         return F.struct(F.lit(order).alias("_row"), F.lit(label).alias(AUDIT_COLUMNS[0]),
@@ -89,9 +102,11 @@ def audit(customers: DataFrame, events: DataFrame, transactions: DataFrame, *,
                         c.cast("long").alias(AUDIT_COLUMNS[3]))
 
     zero = F.lit(0)
-    out = (customers.agg(F.count_if(F.col(customer).isNull()).alias("_null_customers"))
+    null_customers = F.coalesce(F.sum(F.when(F.col("_id").isNull(), F.col("_rows"))), F.lit(0))
+    out = (per_customer.agg(null_customers.alias("_null_customers"))
            .select(F.inline(F.array(
-               row(1, NULL_KEYS, F.col("_null_customers"), ev.getField("missing_keys"), tx.getField("missing_keys")),
+               row(1, NULL_KEYS, F.col("_null_customers"), ev.getField("missing_keys"),
+                   tx.getField("missing_keys")),
                row(2, REFERENCES, ev_orphans, tx_orphans, zero),
                row(3, RULES, tx.getField("bad_amounts"), ev.getField("duplicates"), zero)))))
     if ordered:
