@@ -167,3 +167,13 @@ def test_distributed_ntile_plan_has_no_single_partition_sort(spark):
     text = plan_text(out)
     assert "SinglePartition" not in text
     assert sorted(r["t"] for r in out.collect()).count(1) == 250
+
+
+def test_non_finite_and_decimal_amounts(spark):
+    df = _txns(spark, [_txn(1, "A", datetime(2025, 6, 1), float("nan")),
+                       _txn(2, "A", datetime(2025, 6, 1), 2.5),
+                       _txn(3, "B", datetime(2025, 6, 1), 1.25)])
+    money = {r["customer_id"]: r["monetary"] for r in rfm_base(df).collect()}
+    assert money == {"A": 2.5, "B": 1.25}          # NaN is skipped, not a failed job
+    dec = df.withColumn("amount", F.col("amount").try_cast("decimal(10,3)"))
+    assert {r["customer_id"]: r["monetary"] for r in rfm_base(dec).collect()} == money

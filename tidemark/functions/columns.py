@@ -33,3 +33,17 @@ def ratio_pct(part: Column, whole: Column) -> Column:
 def stage_index(col: Column, stages: Iterable[str]) -> Column:
     """1-based position of ``col`` in the literal stage list, 0 when absent."""
     return F.array_position(F.array(*[F.lit(s) for s in stages]), col).cast("int")
+
+
+def exact_money(df: DataFrame, name: str, scale: int | None) -> Column:
+    """An amount column ready for an exact, order-independent ``sum``.
+
+    Floating amounts become ``decimal(38, scale)`` (``try_cast``: NaN and
+    infinities, which no decimal holds, become NULL and are skipped instead of
+    failing the job under ANSI mode); decimal amounts are already exact and
+    pass through. ``scale=None`` leaves the column as it is (plain double sums).
+    """
+    col = F.col(name)
+    if scale is None or dict(df.dtypes)[name].startswith("decimal"):
+        return col
+    return col.try_cast(f"decimal(38,{scale})")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import require_columns
+from tidemark.functions.columns import exact_money, require_columns
 from tidemark.functions.rounding import round_sql
 
 
@@ -19,9 +19,7 @@ def kpis(customers: DataFrame, events: DataFrame, transactions: DataFrame, *,
     """
     require_columns(customers, customer)
     require_columns(transactions, status, amount)
-    money = F.col(amount)
-    if money_scale is not None:
-        money = money.cast(f"decimal(18,{money_scale})")
+    money = exact_money(transactions, amount, money_scale)
     n_events = events.agg(F.count(F.lit(1))).scalar()
     done = (transactions.where(F.col(status) == F.lit(completed))
             .agg(F.struct(F.count(F.lit(1)).alias("orders"),

@@ -8,10 +8,11 @@
 * ``rfm_label``    - total score and the segment label.
 * ``rfm_segments`` - the reference's RFM report, one row per segment.
 
-Money: with ``money_scale`` set (default 2, cents), amounts are summed as
-``decimal(18, scale)``. The sum is then exact and independent of task order,
-so quartiles over monetary are reproducible run to run; results are doubles.
-``money_scale=None`` sums the raw doubles.
+Money: with ``money_scale`` set (default 2, cents), floating amounts are
+summed as decimals of that scale (``exact_money``). The sum is then exact and
+independent of task order, so quartiles over monetary are reproducible run to
+run; results are doubles. NaN or infinite amounts, which no decimal holds,
+are skipped. ``money_scale=None`` sums the raw doubles.
 
 Plan shape: one aggregation of the completed rows by customer (partial
 aggregation first), the reference date as a scalar subquery (a separate
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import require_columns
+from tidemark.functions.columns import exact_money, require_columns
 from tidemark.functions.rounding import round_sql
 from tidemark.operators.ntile import SINGLE_TASK_ROWS, global_ntile
 from tidemark.session import ensure_checkpoint_dir
@@ -37,10 +38,6 @@ AT_RISK = "At Risk"
 CHURNED = "Needs Attention / Churned"
 
 
-def _money(col, money_scale: int | None, precision: int = 18):
-    return col.cast(f"decimal({precision},{money_scale})") if money_scale is not None else col
-
-
 def rfm_base(transactions: DataFrame, *, customer: str = "customer_id",
              ts: str = "transaction_timestamp", txn_id: str = "transaction_id",
              amount: str = "amount", status: str = "status", completed="Completed",
@@ -55,7 +52,7 @@ def rfm_base(transactions: DataFrame, *, customer: str = "customer_id",
     per_customer = done.groupBy(customer).agg(
         F.max(ts).alias("_last"),
         F.count(txn_id).alias("frequency"),
-        F.sum(_money(F.col(amount), money_scale)).alias("_money"))
+        F.sum(exact_money(done, amount, money_scale)).alias("_money"))
     return per_customer.select(
         customer,
         F.datediff(reference_date, F.col("_last")).cast("long").alias("recency_days"),
@@ -113,7 +110,7 @@ def rfm_segments(labelled: DataFrame, *, customer: str = "customer_id",
                  money_scale: int | None = 2, ordered: bool = True) -> DataFrame:
     """Segment summary: customer_count (non-NULL ids), average recency and
     frequency (1 place), average and total monetary (2 places), by revenue."""
-    money = _money(F.col("monetary"), money_scale, 38)
+    money = exact_money(labelled, "monetary", money_scale)
     money_sum = F.sum(money).cast("double")
     out = labelled.groupBy("rfm_segment").agg(
         F.count(customer).alias("customer_count"),
