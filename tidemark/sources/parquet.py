@@ -7,6 +7,15 @@ later reads (``spark.read.schema(...)``), which then only list files. For
 local paths the entry is keyed by the file's size and modification time, so
 a rewritten table is inferred again; ``read_table(..., infer=True)`` always
 infers.
+
+Nanosecond timestamps (what pandas writes for ``datetime64[ns]``, and so the
+reference's data files) are not a Spark type: reading them fails with
+``PARQUET_TYPE_ILLEGAL``. ``read_table`` looks at the footer schema (pyarrow,
+metadata only); if such columns exist it reads them as longs
+(``spark.sql.legacy.parquet.nanosAsLong``, left set on the session because
+the scan reads it at run time) and turns them back into timestamps at
+microsecond precision: naive ones into ``timestamp_ntz``, UTC-adjusted ones
+into ``timestamp``.
 """
 
 from __future__ import annotations
@@ -16,6 +25,7 @@ import os
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _SCHEMAS: dict[tuple, str] = {}
@@ -34,11 +44,39 @@ def _version(path: str):
     return (st.st_size, st.st_mtime_ns)
 
 
+def nanosecond_columns(path: str) -> dict[str, bool]:
+    """Columns stored as nanosecond timestamps -> whether they are UTC-adjusted.
+    Empty when the footer cannot be read here (the plain read then decides)."""
+    try:
+        import pyarrow as pa
+        import pyarrow.dataset as ds
+        schema = ds.dataset(path, format="parquet").schema
+    except Exception:  # noqa: BLE001 - not readable from the driver: no conversion
+        return {}
+    return {f.name: f.type.tz is not None for f in schema
+            if pa.types.is_timestamp(f.type) and f.type.unit == "ns"}
+
+
+def _read_nanos(spark: SparkSession, path: str, nanos: dict[str, bool]) -> DataFrame:
+    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+    df = spark.read.parquet(path)
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    for name, utc in nanos.items():
+        micros = F.expr(f"`{name}` div 1000")
+        df = df.withColumn(name, F.timestamp_micros(micros) if utc
+                           else F.timestamp_add("MICROSECOND", micros, epoch))
+    return df
+
+
 def read_table(spark: SparkSession, base_dir: str, name: str, *, infer: bool = False) -> DataFrame:
     """Read one table. Column pruning and filters of later operators reach the
     scan (``ReadSchema`` / ``PushedFilters`` in the plan)."""
     path = table_path(base_dir, name)
     key = (path, _version(path))
+    if key not in _SCHEMAS or infer:
+        nanos = nanosecond_columns(path)
+        if nanos:
+            return _read_nanos(spark, path, nanos)
     cached = None if infer else _SCHEMAS.get(key)
     if cached is not None:
         return spark.read.schema(StructType.fromJson(json.loads(cached))).parquet(path)
