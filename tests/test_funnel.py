@@ -273,3 +273,24 @@ def test_hot_session_is_salted_and_exact(spark):
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
     assert got == _literal_reach(rows, stages)
     assert "SortMergeJoin [_s#" in plan and "_salt" in plan
+
+
+def test_session_bucketed_table_needs_no_session_shuffle(spark, tmp_path):
+    import re
+    rows = _random_events(5, worlds=20)
+    src = _events(spark, rows)
+    (src.write.bucketBy(4, "session_id").sortBy("session_id")
+     .option("path", str(tmp_path / "bucketed")).saveAsTable("tidemark_events_by_session"))
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = funnel_reach(spark.table("tidemark_events_by_session"), STAGES[:4])
+        got = {(r["device"], r["stage_order"]): r["unique_users"] for r in out.collect()}
+        plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS tidemark_events_by_session")
+    assert got == _literal_reach(rows, STAGES[:4])
+    assert "SortMergeJoin" in plan
+    assert all(not k.startswith("_s") for k in re.findall(r"Exchange hashpartitioning\(([^,)]*)", plan))
