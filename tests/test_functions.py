@@ -17,8 +17,10 @@ def test_round_sql_equals_duckdb_round(spark):
     values += [rnd.randint(0, 20000) / rnd.randint(1, 3000) * 100 for _ in range(400)]
     values += [rnd.uniform(-1000, 1000) for _ in range(200)]
     df = spark.createDataFrame([(v,) for v in values], "x double")
-    got = [(r["a"], r["b"]) for r in df.select(round_sql(F.col("x"), 2).alias("a"),
-                                               round_sql(F.col("x"), 1).alias("b")).collect()]
+    out = df.select(round_sql(F.col("x"), 2).alias("a"), round_sql(F.col("x"), 1).alias("b"),
+                    round_sql("x", 2).alias("c"), round_sql("x", 1).alias("d")).collect()
+    got = [(r["a"], r["b"]) for r in out]
+    assert [(r["c"], r["d"]) for r in out] == got          # by-name SQL form, same values
     con = duckdb.connect()
     want = con.execute("SELECT round(x, 2), round(x, 1) FROM (SELECT unnest(?::DOUBLE[]) AS x)",
                        [values]).fetchall()
@@ -37,8 +39,10 @@ def test_round_even_equals_numpy(spark):
     values = [0.125, 0.375, 2.5, 3.5, -2.5] + [rnd.randint(0, 3000) / rnd.randint(1, 3000)
                                                for _ in range(500)]
     df = spark.createDataFrame([(v,) for v in values], "x double")
-    got = df.select(round_even(F.col("x"), 2).alias("a"), round_even(F.col("x"), 4).alias("b")).collect()
+    got = df.select(round_even(F.col("x"), 2).alias("a"), round_even(F.col("x"), 4).alias("b"),
+                    round_even("x", 2).alias("c")).collect()
     assert [r["a"] for r in got] == [float(np.round(v, 2)) for v in values]
+    assert [r["c"] for r in got] == [r["a"] for r in got]
     assert [r["b"] for r in got] == [float(np.round(v, 4)) for v in values]
 
 

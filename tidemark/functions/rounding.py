@@ -24,8 +24,25 @@ def _scale(places: int) -> float:
     return float(10 ** places)
 
 
-def round_sql(col: Column, places: int = 0) -> Column:
-    """ROUND(x, places) on a double, half away from zero on the scaled binary value."""
+def _sql_text(name: str, places: int) -> str:
+    """``round_sql`` as one SQL expression over a named column (built JVM-side
+    in a single call); the same operations as the Column form."""
+    x = f"CAST(`{name}` AS DOUBLE)"
+    y = f"({x} * {_scale(places)!r}D)"
+    a = f"abs({y})"
+    whole = f"CAST(floor({a}) AS DOUBLE)"
+    rounded = (f"CASE WHEN {a} >= {_WHOLE!r}D THEN {a} ELSE {whole} + "
+               f"CASE WHEN {a} - {whole} >= 0.5D THEN 1.0D ELSE 0.0D END END")
+    return f"CASE WHEN isnan({y}) THEN {x} ELSE signum({y}) * ({rounded}) / {_scale(places)!r}D END"
+
+
+def round_sql(col: Column | str, places: int = 0) -> Column:
+    """ROUND(x, places) on a double, half away from zero on the scaled binary value.
+
+    ``col`` may be a Column or a column name (then built as one SQL expression).
+    """
+    if isinstance(col, str):
+        return F.expr(_sql_text(col, places))
     scale = _scale(places)
     y = col.cast("double") * F.lit(scale)
     a = F.abs(y)
@@ -36,7 +53,9 @@ def round_sql(col: Column, places: int = 0) -> Column:
             .otherwise(F.signum(y) * rounded / F.lit(scale)))
 
 
-def round_even(col: Column, places: int = 0) -> Column:
+def round_even(col: Column | str, places: int = 0) -> Column:
     """pandas ``Series.round(places)``: half to even on the scaled binary value."""
     scale = _scale(places)
+    if isinstance(col, str):
+        return F.expr(f"rint(CAST(`{col}` AS DOUBLE) * {scale!r}D) / {scale!r}D")
     return F.rint(col.cast("double") * F.lit(scale)) / F.lit(scale)

@@ -57,9 +57,9 @@ def cohort_retention(events: DataFrame, *, user: str = "customer_id",
         Window.partitionBy("cohort_month"))
     out = (counts.withColumn("period_offset", offset)
            .withColumn("initial_cohort_size", size)
+           .withColumn("_pct", pct_of(F.col("active_users"), F.col("initial_cohort_size")))
            .select("cohort_month", "initial_cohort_size", "period_offset", "active_users",
-                   round_sql(pct_of(F.col("active_users"), F.col("initial_cohort_size")), 2)
-                   .alias("retention_rate_pct")))
+                   round_sql("_pct", 2).alias("retention_rate_pct")))
     if ordered:
         out = out.orderBy("cohort_month", F.col("period_offset").asc_nulls_last())
     return out

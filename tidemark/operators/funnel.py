@@ -221,26 +221,28 @@ def funnel_rates(dense: DataFrame, *, segment: str = "device") -> DataFrame:
     users = F.col("unique_users")
     top = F.first(users).over(w)
     step = pct_of(users, F.coalesce(F.lag(users).over(w), users))
-    return dense.select(
-        segment, "stage_order", "funnel_stage", "unique_users",
-        round_sql(pct_of(users, top), 2).alias("overall_conversion_pct"),
-        round_sql(step, 2).alias("step_conversion_pct"),
-        round_sql(F.lit(100.0) - step, 2).alias("dropoff_pct"))
-
-
-def _rate_rows(counts: list, stages: Sequence[str]):
-    """Array of one struct per stage with the SQL-rounded rates, from the
-    per-stage user-count columns of one segment (stage 1 first)."""
+    return (dense.select(segment, "stage_order", "funnel_stage", "unique_users",
+                         pct_of(users, top).alias("_o"), step.alias("_p"))
+            .select(segment, "stage_order", "funnel_stage", "unique_users",
+                    round_sql("_o", 2).alias("overall_conversion_pct"),
+                    round_sql("_p", 2).alias("step_conversion_pct"),
+                    (F.lit(100.0) - F.col("_p")).alias("_q"))
+            .select(segment, "stage_order", "funnel_stage", "unique_users",
+                    "overall_conversion_pct", "step_conversion_pct",
+                    round_sql("_q", 2).alias("dropoff_pct")))
+
+
+def _rate_rows(stages: Sequence[str]):
+    """Array of one struct per stage with the SQL-rounded rates, over the
+    columns ``_c{k}`` (users), ``_o{k}`` (overall %) and ``_p{k}`` (step %)."""
     rows = []
-    for k, stage in enumerate(stages):
-        users = counts[k]
-        step = pct_of(users, counts[k - 1] if k else users)
+    for k, stage in enumerate(stages, start=1):
         rows.append(F.struct(
-            F.lit(k + 1).alias("stage_order"), F.lit(stage).alias("funnel_stage"),
-            users.alias("unique_users"),
-            round_sql(pct_of(users, counts[0]), 2).alias("overall_conversion_pct"),
-            round_sql(step, 2).alias("step_conversion_pct"),
-            round_sql(F.lit(100.0) - step, 2).alias("dropoff_pct")))
+            F.lit(k).alias("stage_order"), F.lit(stage).alias("funnel_stage"),
+            F.col(f"_c{k}").alias("unique_users"),
+            round_sql(f"_o{k}", 2).alias("overall_conversion_pct"),
+            round_sql(f"_p{k}", 2).alias("step_conversion_pct"),
+            round_sql(f"_q{k}", 2).alias("dropoff_pct")))
     return F.array(*rows)
 
 
@@ -270,8 +272,15 @@ def funnel_by_segment(events: DataFrame, stages: Sequence[str] = DEFAULT_STAGES,
     counts = [F.count_if(known & (F.col("stage_order") == k) & F.col("_u").isNotNull())
               .alias(f"_c{k}") for k in range(1, len(stages) + 1)]
     per_segment = distinct.groupBy("_d").agg(*counts)
+    # Unrounded percentages once, as named columns; rounding reads them by name.
     cols = [F.col(f"_c{k}") for k in range(1, len(stages) + 1)]
-    out = per_segment.select(F.col("_d").alias(segment), F.inline(_rate_rows(cols, stages)))
+    pcts = []
+    for k, users in enumerate(cols, start=1):
+        step = pct_of(users, cols[k - 2] if k > 1 else users)
+        pcts += [pct_of(users, cols[0]).alias(f"_o{k}"), step.alias(f"_p{k}"),
+                 (F.lit(100.0) - step).alias(f"_q{k}")]
+    out = (per_segment.select("_d", *cols, *pcts)
+           .select(F.col("_d").alias(segment), F.inline(_rate_rows(stages))))
     return out.orderBy(F.col(segment).asc_nulls_last(), "stage_order") if ordered else out
 
 

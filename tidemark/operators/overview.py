@@ -24,11 +24,12 @@ def kpis(customers: DataFrame, events: DataFrame, transactions: DataFrame, *,
     done = (transactions.where(F.col(status) == F.lit(completed))
             .agg(F.struct(F.count(F.lit(1)).alias("orders"),
                           F.sum(money).cast("double").alias("revenue"))).scalar())
-    return customers.agg(F.count_distinct(customer).alias("total_customers")).select(
-        "total_customers",
-        n_events.alias("total_events"),
-        done.getField("orders").alias("total_orders"),
-        round_sql(done.getField("revenue"), 2).alias("total_revenue"))
+    return (customers.agg(F.count_distinct(customer).alias("total_customers"))
+            .select("total_customers", n_events.alias("total_events"),
+                    done.getField("orders").alias("total_orders"),
+                    done.getField("revenue").alias("_revenue"))
+            .select("total_customers", "total_events", "total_orders",
+                    round_sql("_revenue", 2).alias("total_revenue")))
 
 
 def event_mix(events: DataFrame, *, event_type: str = "event_type",

@@ -111,11 +111,16 @@ def rfm_segments(labelled: DataFrame, *, customer: str = "customer_id",
     """Segment summary: customer_count (non-NULL ids), average recency and
     frequency (1 place), average and total monetary (2 places), by revenue."""
     money = exact_money(labelled, "monetary", money_scale)
-    money_sum = F.sum(money).cast("double")
-    out = labelled.groupBy("rfm_segment").agg(
+    sums = labelled.groupBy("rfm_segment").agg(
         F.count(customer).alias("customer_count"),
-        round_sql(F.avg("recency_days"), 1).alias("avg_recency_days"),
-        round_sql(F.avg("frequency"), 1).alias("avg_frequency"),
-        round_sql(money_sum / F.nullif(F.count(money), F.lit(0)), 2).alias("avg_monetary_spend"),
-        round_sql(money_sum, 2).alias("total_segment_revenue"))
+        F.avg("recency_days").alias("_recency"),
+        F.avg("frequency").alias("_frequency"),
+        F.sum(money).cast("double").alias("_money"),
+        F.count(money).alias("_priced"))
+    out = sums.select(
+        "rfm_segment", "customer_count",
+        round_sql("_recency", 1).alias("avg_recency_days"),
+        round_sql("_frequency", 1).alias("avg_frequency"),
+        round_sql(F.col("_money") / F.nullif(F.col("_priced"), F.lit(0)), 2).alias("avg_monetary_spend"),
+        round_sql("_money", 2).alias("total_segment_revenue"))
     return out.orderBy(F.col("total_segment_revenue").desc_nulls_last()) if ordered else out
