@@ -244,17 +244,17 @@ def test_threshold_plan_equals_literal_join_chain(spark, seed):
     assert got == _literal_reach(rows, stages)
 
 
-def test_plan_has_no_window_and_pushes_stage_filters(spark, funnel_events, tmp_path):
+def test_plan_reads_events_once_and_windows_by_session(spark, funnel_events, tmp_path):
     path = str(tmp_path / "events")
     funnel_events.write.parquet(path)
     text = plan_text(funnel_by_segment(spark.read.parquet(path)))
-    assert "Window" not in text
-    for stage in STAGES:
-        assert f"EqualTo(event_type,{stage})" in text
+    assert "In(event_type, [" in text                        # one pushed filter for all stages
+    assert "windowspecdefinition(_s#" in text                # partitioned by session
+    assert "SortMergeJoin" not in text and "BroadcastHashJoin" not in text
     assert "page_category" not in text.split("ReadSchema:")[1].split("\n")[0]
 
 
-def test_hot_session_is_salted_and_exact(spark):
+def test_hot_session_takes_the_broadcast_join_path(spark):
     rnd = random.Random(11)
     stages = STAGES[:4]
     rows = []
@@ -264,15 +264,13 @@ def test_hot_session_is_salted_and_exact(spark):
                      rnd.choice([None, ts(0, rnd.randint(0, 23))]), rnd.choice(stages + ["x"]),
                      rnd.choice(["d1", "d2", None]), "x"))
     df = _events(spark, rows).repartition(8)
-    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
-    try:
-        salted = funnel_reach(df, stages, hot_session_rows=100, skew_check_bytes=0)
-        got = {(r["device"], r["stage_order"]): r["unique_users"] for r in salted.collect()}
-        plan = salted._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    split = funnel_reach(df, stages, hot_session_rows=100, skew_check_bytes=0)
+    got = {(r["device"], r["stage_order"]): r["unique_users"] for r in split.collect()}
+    plan = split._jdf.queryExecution().executedPlan().toString()
     assert got == _literal_reach(rows, stages)
-    assert "SortMergeJoin [_s#" in plan and "_salt" in plan
+    assert "BroadcastHashJoin" in plan and "Window" in plan
+    plain = funnel_reach(df, stages, hot_session_rows=None)
+    assert {(r["device"], r["stage_order"]): r["unique_users"] for r in plain.collect()} == got
 
 
 def test_session_bucketed_table_needs_no_session_shuffle(spark, tmp_path):
@@ -292,5 +290,5 @@ def test_session_bucketed_table_needs_no_session_shuffle(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE IF EXISTS tidemark_events_by_session")
     assert got == _literal_reach(rows, STAGES[:4])
-    assert "SortMergeJoin" in plan
+    assert "Window" in plan
     assert all(not k.startswith("_s") for k in re.findall(r"Exchange hashpartitioning\(([^,)]*)", plan))

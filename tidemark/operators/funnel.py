@@ -18,35 +18,33 @@ Plan shape of the ordered funnel (why it scales)
 The reference joins every stage's events to all earlier groups of the same
 session. Here each stage k>=2 needs only one number per session, the
 threshold ``T(k-1)`` = earliest qualifying time of stage k-1, because an event
-qualifies iff its time is >= the minimum of the earlier group minima. So:
-
-    Q1 = stage-1 events
-    Tk = Qk grouped by session -> min(ts)                      (one row per session)
-    Qk = stage-k events JOIN T(k-1) USING (session) WHERE ts >= T(k-1)
-
-and the counts are distinct (segment, stage, user) over all Qk.
-
-* Every aggregate has map-side partial aggregation, so a hot session, user
-  or segment collapses before any shuffle. No window spans a session; in the
-  joins a session larger than ``hot_session_rows`` is salted (below), so no
-  task holds a hot session whole.
-* ``Tk`` has one row per session; AQE broadcasts it when its measured size
-  is under the broadcast threshold, otherwise the join is a sort-merge join
-  on session. No broadcast hint is placed on data that grows with the input.
-* Hot sessions (a bot session may hold a third of all events): one counting
-  job finds sessions with more than ``hot_session_rows`` stage events. Their
-  rows are salted over ``splits`` (default: the shuffle partitions) by a hash
-  of the row, and their threshold rows are repeated per salt, so the join
-  spreads them over all tasks. The list is capped (``MAX_HOT_SESSIONS``,
-  largest first); any session beyond it still takes the unsalted path of the
-  same join, so results stay exact. The count is skipped when Catalyst
-  estimates the input below ``skew_check_bytes``: then even one task holding
-  every event stays small.
-* Each stage's scan carries its own ``event_type = '<stage>'`` pushed filter
-  and reads five columns, so a table partitioned or clustered by event type
-  reads each stage's files once.
-* A NULL session (often the largest "group") never enters a join: it counts
-  at stage 1 only, as in the reference.
+qualifies iff its time is >= the minimum of the earlier group minima:
+
+    T1 = min time of the session's stage-1 events
+    Tk = min time of its stage-k events with time >= T(k-1)
+
+and the counts are distinct (segment, stage, user) over qualifying events.
+
+* One scan reads every stage event (five columns, one pushed ``IN`` filter)
+  and one shuffle by session feeds a chain of ``min`` windows, one per
+  threshold. No join, no fan-out; the events table is read once, not once
+  per stage.
+* Hot sessions (a bot may hold a third of all events) would make one window
+  task hold all of it. For inputs that Catalyst estimates above
+  ``skew_check_bytes``, one counting job lists sessions with more than
+  ``hot_session_rows`` stage events (largest first, at most
+  ``MAX_HOT_SESSIONS``). Those take a join path instead: per stage, a join
+  to the previous thresholds, which have at most one row per hot session and
+  are therefore broadcast with a proven bound, so hot rows are never
+  shuffled and never gathered in one task. Every other session's window group
+  is bounded by ``hot_session_rows``; sessions beyond the list cap still get
+  the exact window path. Below ``skew_check_bytes`` the whole input is small
+  enough for one task, so no count runs.
+* A NULL session (often the largest "group") never enters a window: it
+  counts at stage 1 only, as in the reference.
+* Every count-distinct is a dedup with map-side partial aggregation, so hot
+  users or segments collapse before the shuffle.
+* On a table bucketed by session the windows need no shuffle at all.
 """
 
 from __future__ import annotations
@@ -76,11 +74,12 @@ def _stage_name(order_col, stages: Sequence[str]):
     return F.element_at(F.array(*[F.lit(s) for s in stages]), order_col)
 
 
-# A session is "hot" when it holds more stage events than this: more than
-# one task should sort and join on its own.
+# A session is "hot" when it holds more stage events than one window task
+# should hold on its own.
 HOT_SESSION_ROWS = 1_000_000
-# At most this many hot sessions are salted (largest first); any others take
-# the plain join path, which is exact too, so the cap only limits balancing.
+# At most this many hot sessions take the broadcast-join path (largest first);
+# any others take the window path, which is exact too: the cap bounds the
+# broadcast, not the result.
 MAX_HOT_SESSIONS = 10_000
 # The hot-session count runs only when Catalyst estimates the events input
 # above this size: below it, even a single task holding every event stays small.
@@ -96,68 +95,82 @@ def _estimated_bytes(df: DataFrame) -> int:
     return int(size if isinstance(size, int) else size.toString())
 
 
-def _hot_sessions(rows: DataFrame, stages: Sequence[str], floor: int, limit: int) -> list:
+def _hot_sessions(rows: DataFrame, floor: int, limit: int) -> list:
     """Sessions with more than ``floor`` stage events, largest first, at most
     ``limit`` of them (a bounded list, collected)."""
-    per_session = (rows.where(F.col("_e").isin(list(stages)) & F.col("_s").isNotNull())
+    per_session = (rows.where(F.col("_s").isNotNull())
                    .groupBy("_s").agg(F.count(F.lit(1)).alias("_n")))
     hot = per_session.where(F.col("_n") > F.lit(floor)).orderBy(F.col("_n").desc()).limit(limit)
     return [r["_s"] for r in hot.collect()]
 
 
-def _threshold_join(stage_rows: DataFrame, threshold: DataFrame, hot: list,
-                    splits: int) -> DataFrame:
-    """Stage rows at or after their session's threshold.
-
-    Rows of hot sessions are spread over ``splits`` salts by a hash of their
-    own columns, and those sessions' threshold rows are repeated once per
-    salt, so no join task receives a whole hot session.
-    """
-    if not hot:
-        return stage_rows.join(threshold, "_s").where(F.col("_t") >= F.col("_prev"))
-    is_hot = F.col("_s").isin(hot)
-    salted_rows = stage_rows.withColumn("_salt", F.when(
-        is_hot, F.pmod(F.xxhash64("_t", "_u", "_d"), F.lit(splits))).otherwise(F.lit(0)))
-    salted_threshold = threshold.withColumn("_salt", F.explode(F.when(
-        is_hot, F.sequence(F.lit(0), F.lit(splits - 1))).otherwise(F.array(F.lit(0)))))
-    return (salted_rows.join(salted_threshold, ["_s", "_salt"])
-            .where(F.col("_t") >= F.col("_prev")).drop("_salt"))
+def _windowed_reach(rows: DataFrame, n_stages: int) -> DataFrame:
+    """Reached stage rows of ordinary sessions: one shuffle by session, then a
+    chain of ``min`` windows, threshold k from threshold k-1. Each window group
+    is one session, bounded because hot sessions are routed elsewhere."""
+    w = Window.partitionBy("_s")
+    stage = F.col("stage_order")
+    reached = stage == 1
+    prev = None
+    for k in range(1, n_stages):
+        qualifies = (stage == k) if prev is None else (stage == k) & (F.col("_t") >= F.col(prev))
+        rows = rows.withColumn(f"_T{k}", F.min(F.when(qualifies, F.col("_t"))).over(w))
+        prev = f"_T{k}"
+        reached = reached | ((stage == k + 1) & (F.col("_t") >= F.col(prev)))
+    return rows.where(reached).select("_d", "stage_order", "_u")
+
+
+def _joined_reach(rows: DataFrame, n_stages: int) -> DataFrame:
+    """Reached stage rows of hot sessions: per stage, a join to the previous
+    stage's one-row-per-session thresholds. There are at most
+    ``MAX_HOT_SESSIONS`` such sessions, so each threshold table has a proven
+    bound and is broadcast: the hot rows themselves are never shuffled."""
+    reached, threshold = [], None
+    for k in range(1, n_stages + 1):
+        stage_rows = rows.where(F.col("stage_order") == k)
+        if threshold is not None:
+            stage_rows = (stage_rows.join(F.broadcast(threshold), "_s")
+                          .where(F.col("_t") >= F.col("_prev")))
+        reached.append(stage_rows.select("_d", "stage_order", "_u"))
+        if k < n_stages:
+            threshold = stage_rows.groupBy("_s").agg(F.min("_t").alias("_prev"))
+    out = reached[0]
+    for part in reached[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def _stage_users(events: DataFrame, stages: Sequence[str], session: str, user: str,
                  segment: str, ts: str, event_type: str, hot_session_rows: int | None,
-                 splits: int | None, skew_check_bytes: int) -> DataFrame:
+                 skew_check_bytes: int) -> DataFrame:
     """(_d, stage_order, _u) for every event that reached its stage.
 
     Stage 1: every stage-1 event. Stage k: stage-k events of a session at or
     after that session's threshold ``T(k-1)`` = earliest qualifying stage k-1
-    time. Thresholds are one-row-per-session aggregates joined on session;
-    sessions with more than ``hot_session_rows`` stage events are salted in
-    that join (``hot_session_rows=None`` turns the check off; it runs only for
-    inputs estimated above ``skew_check_bytes``).
+    time. One scan reads all stage events (one pushed ``IN`` filter).
+    NULL sessions count at stage 1 only; sessions with more than
+    ``hot_session_rows`` stage events take the broadcast-join path, the
+    others a window per session (``hot_session_rows=None`` turns the check
+    off; it runs only for inputs estimated above ``skew_check_bytes``).
     """
     require_columns(events, session, user, segment, ts, event_type)
-    rows = events.select(
-        F.col(session).alias("_s"), F.col(user).alias("_u"), F.col(segment).alias("_d"),
-        F.col(ts).alias("_t"), F.col(event_type).alias("_e"))
-    splits = splits or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = (events.where(F.col(event_type).isin(list(stages)))
+            .select(F.col(session).alias("_s"), F.col(user).alias("_u"),
+                    F.col(segment).alias("_d"), F.col(ts).alias("_t"),
+                    stage_index(F.col(event_type), stages).alias("stage_order")))
     hot = []
     if hot_session_rows is not None and len(stages) > 1 \
             and _estimated_bytes(rows) > skew_check_bytes:
-        hot = _hot_sessions(rows, stages, hot_session_rows, MAX_HOT_SESSIONS)
-    reached, threshold = [], None
-    for k, stage in enumerate(stages, start=1):
-        stage_rows = rows.where(F.col("_e") == F.lit(stage))
-        if threshold is not None:
-            stage_rows = _threshold_join(stage_rows, threshold, hot, splits)
-        reached.append(stage_rows.select("_d", F.lit(k).alias("stage_order"), "_u"))
-        if k < len(stages):
-            threshold = (stage_rows.where(F.col("_s").isNotNull())
-                         .groupBy("_s").agg(F.min("_t").alias("_prev")))
-    union = reached[0]
-    for part in reached[1:]:
-        union = union.unionByName(part)
-    return union
+        hot = _hot_sessions(rows, hot_session_rows, MAX_HOT_SESSIONS)
+    no_session = rows.where(F.col("_s").isNull() & (F.col("stage_order") == 1)) \
+        .select("_d", "stage_order", "_u")
+    keyed = rows.where(F.col("_s").isNotNull())
+    if not hot:
+        return _windowed_reach(keyed, len(stages)).unionByName(no_session)
+    is_hot = F.col("_s").isin(hot)
+    return (_windowed_reach(keyed.where(~is_hot), len(stages))
+            .unionByName(_joined_reach(keyed.where(is_hot), len(stages)))
+            .unionByName(no_session))
 
 
 def funnel_reach(events: DataFrame, stages: Sequence[str] = DEFAULT_STAGES, *,
@@ -165,7 +178,6 @@ def funnel_reach(events: DataFrame, stages: Sequence[str] = DEFAULT_STAGES, *,
                  segment: str = "device", ts: str = "timestamp",
                  event_type: str = "event_type",
                  hot_session_rows: int | None = HOT_SESSION_ROWS,
-                 splits: int | None = None,
                  skew_check_bytes: int = SKEW_CHECK_BYTES) -> DataFrame:
     """Distinct users per (segment, stage) in an ordered session funnel.
 
@@ -177,7 +189,7 @@ def funnel_reach(events: DataFrame, stages: Sequence[str] = DEFAULT_STAGES, *,
     """
     stages = _check_stages(stages)
     counts = (_stage_users(events, stages, session, user, segment, ts, event_type,
-                           hot_session_rows, splits, skew_check_bytes)
+                           hot_session_rows, skew_check_bytes)
               .groupBy("_d", "stage_order")
               .agg(F.count_distinct("_u").alias("unique_users")))
     return counts.select(
@@ -251,7 +263,6 @@ def funnel_by_segment(events: DataFrame, stages: Sequence[str] = DEFAULT_STAGES,
                       segment: str = "device", ts: str = "timestamp",
                       event_type: str = "event_type", ordered: bool = True,
                       hot_session_rows: int | None = HOT_SESSION_ROWS,
-                      splits: int | None = None,
                       skew_check_bytes: int = SKEW_CHECK_BYTES) -> DataFrame:
     """The reference's funnel report: for every segment seen in any event (not
     only stage events), every stage with unique_users and the three rates;
@@ -264,7 +275,7 @@ def funnel_by_segment(events: DataFrame, stages: Sequence[str] = DEFAULT_STAGES,
     """
     stages = _check_stages(stages)
     reached = _stage_users(events, stages, session, user, segment, ts, event_type,
-                           hot_session_rows, splits, skew_check_bytes)
+                           hot_session_rows, skew_check_bytes)
     every_segment = events.select(F.col(segment).alias("_d"), F.lit(0).alias("stage_order"),
                                   F.lit(None).cast(reached.schema["_u"].dataType).alias("_u"))
     distinct = reached.unionByName(every_segment).distinct()
