@@ -5,7 +5,6 @@ from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import EVENT_SCHEMA, event
 from tidemark.operators import cohort_matrix, cohort_matrix_freq, cohort_retention

@@ -3,7 +3,6 @@
 from datetime import datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import CUSTOMER_SCHEMA, EVENT_SCHEMA, TXN_SCHEMA
 from tidemark.operators import audit, event_mix, kpis
