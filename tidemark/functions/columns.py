@@ -47,3 +47,10 @@ def exact_money(df: DataFrame, name: str, scale: int | None) -> Column:
     if scale is None or dict(df.dtypes)[name].startswith("decimal"):
         return col
     return col.try_cast(f"decimal(38,{scale})")
+
+
+def sort_bounded(df: DataFrame, *order) -> DataFrame:
+    """Final ordering of a result whose row count has a fixed bound (one row per
+    stage, per segment label): one task sorts it, with no sampling job and
+    no range exchange. Results that grow with the data use ``orderBy``."""
+    return df.coalesce(1).sortWithinPartitions(*order)

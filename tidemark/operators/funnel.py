@@ -54,7 +54,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import pct_of, ratio_pct, require_columns, stage_index
+from tidemark.functions.columns import (
+    pct_of,
+    ratio_pct,
+    require_columns,
+    sort_bounded,
+    stage_index,
+)
 from tidemark.functions.rounding import round_even, round_sql
 
 # Stage list of the reference's funnel report (fixed values).
@@ -318,7 +324,7 @@ def funnel_all(funnel: DataFrame, *, ordered: bool = True) -> DataFrame:
            .withColumn("dropoff_pct", round_even(F.lit(100.0) - F.col("step_conversion_pct"), 2))
            .select("stage_order", "funnel_stage", "unique_users", "overall_conversion_pct",
                    "prev_users", "step_conversion_pct", "dropoff_pct"))
-    return out.orderBy("stage_order") if ordered else out
+    return sort_bounded(out, "stage_order") if ordered else out      # one row per stage
 
 
 def funnel_unordered(df: DataFrame, stage_col: str, user_col: str,
@@ -350,6 +356,6 @@ def funnel_unordered(df: DataFrame, stage_col: str, user_col: str,
             .withColumn("overall_conversion", round_even(ratio_pct(users, top), 2))
             .withColumn("step_conversion", round_even(ratio_pct(users, prev), 2))
             .withColumn("dropoff_rate", round_even(F.lit(100.0) - F.col("step_conversion"), 2))
-            .orderBy("_k")
+            .transform(lambda df: sort_bounded(df, "_k"))                  # one row per stage
             .select(_stage_name(F.col("_k"), stages).alias("stage"), "users",
                     "overall_conversion", "step_conversion", "dropoff_rate"))

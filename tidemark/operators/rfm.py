@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import exact_money, require_columns
+from tidemark.functions.columns import exact_money, require_columns, sort_bounded
 from tidemark.functions.rounding import round_sql
 from tidemark.operators.ntile import SINGLE_TASK_ROWS, global_ntile
 from tidemark.session import ensure_checkpoint_dir
@@ -123,4 +123,5 @@ def rfm_segments(labelled: DataFrame, *, customer: str = "customer_id",
         round_sql("_frequency", 1).alias("avg_frequency"),
         round_sql(F.col("_money") / F.nullif(F.col("_priced"), F.lit(0)), 2).alias("avg_monetary_spend"),
         round_sql("_money", 2).alias("total_segment_revenue"))
-    return out.orderBy(F.col("total_segment_revenue").desc_nulls_last()) if ordered else out
+    # At most five rows, one per segment label.
+    return sort_bounded(out, F.col("total_segment_revenue").desc_nulls_last()) if ordered else out
