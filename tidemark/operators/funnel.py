@@ -41,7 +41,9 @@ and the counts are distinct (segment, stage, user) over qualifying events.
   the exact window path. Below ``skew_check_bytes`` the whole input is small
   enough for one task, so no count runs.
 * A NULL session (often the largest "group") never enters a window: it
-  counts at stage 1 only, as in the reference.
+  counts at stage 1 only, as in the reference. Those rows come from a second
+  scan whose ``session IS NULL`` and ``event_type = <stage 1>`` filters reach
+  Parquet, so it skips every row group without NULL sessions.
 * Every count-distinct is a dedup with map-side partial aggregation, so hot
   users or segments collapse before the shuffle.
 * On a table bucketed by session the windows need no shuffle at all.
@@ -168,8 +170,12 @@ def _stage_users(events: DataFrame, stages: Sequence[str], session: str, user: s
     if hot_session_rows is not None and len(stages) > 1 \
             and _estimated_bytes(rows) > skew_check_bytes:
         hot = _hot_sessions(rows, hot_session_rows, MAX_HOT_SESSIONS)
-    no_session = rows.where(F.col("_s").isNull() & (F.col("stage_order") == 1)) \
-        .select("_d", "stage_order", "_u")
+    # NULL sessions count at stage 1 only. Their own scan pushes
+    # ``session IS NULL`` and ``event_type = <stage 1>`` to Parquet, so row
+    # groups without NULL sessions are skipped on their statistics.
+    no_session = (events.where(F.col(session).isNull() & (F.col(event_type) == F.lit(stages[0])))
+                  .select(F.col(segment).alias("_d"), F.lit(1).alias("stage_order"),
+                          F.col(user).alias("_u")))
     keyed = rows.where(F.col("_s").isNotNull())
     if not hot:
         return _windowed_reach(keyed, len(stages)).unionByName(no_session)
