@@ -38,28 +38,41 @@ AT_RISK = "At Risk"
 CHURNED = "Needs Attention / Churned"
 
 
-def rfm_base(transactions: DataFrame, *, customer: str = "customer_id",
-             ts: str = "transaction_timestamp", txn_id: str = "transaction_id",
-             amount: str = "amount", status: str = "status", completed="Completed",
-             money_scale: int | None = 2) -> DataFrame:
-    """customer, recency_days, frequency, monetary over completed rows.
-
-    A NULL customer forms one group of its own, as in SQL GROUP BY.
-    """
+def _customer_totals(transactions: DataFrame, customer: str, ts: str, txn_id: str,
+                     amount: str, status: str, completed, money_scale: int | None) -> DataFrame:
+    """customer, _last (latest completed time), frequency, _money per customer."""
     require_columns(transactions, customer, ts, txn_id, amount, status)
     done = transactions.where(F.col(status) == F.lit(completed))
-    reference_date = done.agg(F.max(ts)).scalar()
-    per_customer = done.groupBy(customer).agg(
+    return done.groupBy(customer).agg(
         F.max(ts).alias("_last"),
         F.count(txn_id).alias("frequency"),
         F.sum(exact_money(done, amount, money_scale)).alias("_money"))
-    return per_customer.select(
+
+
+def _with_recency(totals: DataFrame, customer: str, reference_date) -> DataFrame:
+    return totals.select(
         customer,
         F.datediff(reference_date, F.col("_last")).cast("long").alias("recency_days"),
         "frequency",
         F.col("_money").cast("double").alias("monetary"))
 
 
+def rfm_base(transactions: DataFrame, *, customer: str = "customer_id",
+             ts: str = "transaction_timestamp", txn_id: str = "transaction_id",
+             amount: str = "amount", status: str = "status", completed="Completed",
+             money_scale: int | None = 2) -> DataFrame:
+    """customer, recency_days, frequency, monetary over completed rows.
+
+    A NULL customer forms one group of its own, as in SQL GROUP BY. Lazy: the
+    reference date is a scalar subquery (a second, two-column read of the
+    completed rows); ``rfm_customers`` reads the transactions only once.
+    """
+    totals = _customer_totals(transactions, customer, ts, txn_id, amount, status, completed,
+                              money_scale)
+    done = transactions.where(F.col(status) == F.lit(completed))
+    return _with_recency(totals, customer, done.agg(F.max(ts)).scalar())
+
+
 def rfm_scores(base: DataFrame, *, customer: str = "customer_id", tiles: int = 4,
                partitions: int | None = None,
                single_task_rows: int | None = SINGLE_TASK_ROWS) -> DataFrame:
@@ -99,11 +112,23 @@ def rfm_label(scores: DataFrame) -> DataFrame:
                  .withColumn("rfm_segment", segment)
 
 
-def rfm_customers(transactions: DataFrame, **kw) -> DataFrame:
-    """Per-customer scores and labels."""
-    scoring = {k: kw.pop(k) for k in ("partitions", "single_task_rows", "tiles") if k in kw}
-    base = rfm_base(transactions, **kw)
-    return rfm_label(rfm_scores(base, customer=kw.get("customer", "customer_id"), **scoring))
+def rfm_customers(transactions: DataFrame, *, customer: str = "customer_id",
+                  ts: str = "transaction_timestamp", txn_id: str = "transaction_id",
+                  amount: str = "amount", status: str = "status", completed="Completed",
+                  money_scale: int | None = 2, tiles: int = 4, partitions: int | None = None,
+                  single_task_rows: int | None = SINGLE_TASK_ROWS) -> DataFrame:
+    """Per-customer scores and labels.
+
+    The transactions are read once: the per-customer totals are checkpointed
+    and the reference date is the latest of their last-transaction times,
+    read back from the checkpoint.
+    """
+    ensure_checkpoint_dir(transactions.sparkSession)
+    totals = _customer_totals(transactions, customer, ts, txn_id, amount, status, completed,
+                              money_scale).checkpoint(eager=True)
+    base = _with_recency(totals, customer, totals.agg(F.max("_last")).scalar())
+    return rfm_label(rfm_scores(base, customer=customer, tiles=tiles, partitions=partitions,
+                                single_task_rows=single_task_rows))
 
 
 def rfm_segments(labelled: DataFrame, *, customer: str = "customer_id",
