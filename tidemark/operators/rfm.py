@@ -75,18 +75,22 @@ def rfm_base(transactions: DataFrame, *, customer: str = "customer_id",
 
 def rfm_scores(base: DataFrame, *, customer: str = "customer_id", tiles: int = 4,
                partitions: int | None = None,
-               single_task_rows: int | None = SINGLE_TASK_ROWS) -> DataFrame:
+               single_task_rows: int | None = SINGLE_TASK_ROWS,
+               materialize: bool = True) -> DataFrame:
     """Adds r_score, f_score, m_score (1..tiles, NTILE semantics).
 
     The customer table is checkpointed first: the aggregation over all
     transactions then runs once, although the count and three quartile
     passes read its result. Up to ``single_task_rows`` customers (counted)
     the quartiles are plain windows (one small sort each); above it each is
-    a ``global_ntile`` over range partitions.
+    a ``global_ntile`` over range partitions. ``materialize=False`` skips the
+    checkpoint when ``base`` is already a cheap projection of one.
     """
     require_columns(base, customer, "recency_days", "frequency", "monetary")
-    ensure_checkpoint_dir(base.sparkSession)
-    frame = base.checkpoint(eager=True)
+    frame = base
+    if materialize:
+        ensure_checkpoint_dir(base.sparkSession)
+        frame = base.checkpoint(eager=True)
     total = frame.count()
     tie = F.col(customer).asc_nulls_last()
     kw = {"partitions": partitions, "total": total, "single_task_rows": single_task_rows}
@@ -128,7 +132,7 @@ def rfm_customers(transactions: DataFrame, *, customer: str = "customer_id",
                               money_scale).checkpoint(eager=True)
     base = _with_recency(totals, customer, totals.agg(F.max("_last")).scalar())
     return rfm_label(rfm_scores(base, customer=customer, tiles=tiles, partitions=partitions,
-                                single_task_rows=single_task_rows))
+                                single_task_rows=single_task_rows, materialize=False))
 
 
 def rfm_segments(labelled: DataFrame, *, customer: str = "customer_id",
