@@ -271,6 +271,8 @@ def test_hot_session_takes_the_broadcast_join_path(spark):
     assert "BroadcastHashJoin" in plan and "Window" in plan
     plain = funnel_reach(df, stages, hot_session_rows=None)
     assert {(r["device"], r["stage_order"]): r["unique_users"] for r in plain.collect()} == got
+    report = funnel_by_segment(df, stages, hot_session_rows=100, skew_check_bytes=0).collect()
+    assert report == funnel_by_segment(df, stages, hot_session_rows=None).collect()
 
 
 def test_session_bucketed_table_needs_no_session_shuffle(spark, tmp_path):
