@@ -36,9 +36,10 @@ and the counts are distinct (segment, stage, user) over qualifying events.
   ``MAX_HOT_SESSIONS``). Those take a join path instead: per stage, a join
   to the previous thresholds, which have at most one row per hot session and
   are therefore broadcast with a proven bound, so hot rows are never
-  shuffled and never gathered in one task. Every other session's window group
-  is bounded by ``hot_session_rows``; sessions beyond the list cap still get
-  the exact window path. Below ``skew_check_bytes`` the whole input is small
+  shuffled and never gathered in one task. The hot rows are checkpointed
+  once, so the per-stage passes read them, not the whole events table.
+  Every other session's window group is bounded by ``hot_session_rows``;
+  sessions beyond the list cap still get the exact window path. Below ``skew_check_bytes`` the whole input is small
   enough for one task, so no count runs.
 * A NULL session (often the largest "group") never enters a window: it
   counts at stage 1 only, as in the reference. Those rows come from a second
@@ -64,6 +65,7 @@ from tidemark.functions.columns import (
     stage_index,
 )
 from tidemark.functions.rounding import round_even, round_sql
+from tidemark.session import ensure_checkpoint_dir
 
 # Stage list of the reference's funnel report (fixed values).
 DEFAULT_STAGES = ("page_view", "product_view", "add_to_cart", "checkout_start", "purchase")
@@ -180,8 +182,12 @@ def _stage_users(events: DataFrame, stages: Sequence[str], session: str, user: s
     if not hot:
         return _windowed_reach(keyed, len(stages)).unionByName(no_session)
     is_hot = F.col("_s").isin(hot)
+    # The join path reads the hot rows once per stage: materialize them once
+    # (reliable checkpoint) instead of scanning the events table per stage.
+    ensure_checkpoint_dir(events.sparkSession)
+    hot_rows = keyed.where(is_hot).checkpoint(eager=True)
     return (_windowed_reach(keyed.where(~is_hot), len(stages))
-            .unionByName(_joined_reach(keyed.where(is_hot), len(stages)))
+            .unionByName(_joined_reach(hot_rows, len(stages)))
             .unionByName(no_session))
 
 
