@@ -294,3 +294,14 @@ def test_session_bucketed_table_needs_no_session_shuffle(spark, tmp_path):
     assert got == _literal_reach(rows, STAGES[:4])
     assert "Window" in plan
     assert all(not k.startswith("_s") for k in re.findall(r"Exchange hashpartitioning\(([^,)]*)", plan))
+
+
+def test_single_stage_and_quoted_stage_names(spark):
+    df = _events(spark, [event("A", "U1", "S1", ts(0, 1), "it's"),
+                         event("B", "U2", None, ts(0, 2), "it's"),
+                         event("C", "U3", "S3", ts(0, 3), "other")])
+    one = [(r["funnel_stage"], r["unique_users"], r["overall_conversion_pct"])
+           for r in funnel_by_segment(df, ["it's"]).collect()]
+    assert one == [("it's", 2, 100.0)]
+    two = funnel_by_segment(df, ["it's", 'say "hi"']).collect()
+    assert [(r["funnel_stage"], r["unique_users"]) for r in two] == [("it's", 2), ('say "hi"', 0)]
