@@ -249,6 +249,7 @@ def test_plan_reads_events_once_and_windows_by_session(spark, funnel_events, tmp
     funnel_events.write.parquet(path)
     text = plan_text(funnel_by_segment(spark.read.parquet(path)))
     assert "In(event_type, [" in text                        # one pushed filter for all stages
+    assert "IsNull(session_id)" in text and "EqualTo(event_type,page_view)" in text  # NULL sessions
     assert "windowspecdefinition(_s#" in text                # partitioned by session
     assert "SortMergeJoin" not in text and "BroadcastHashJoin" not in text
     assert "page_category" not in text.split("ReadSchema:")[1].split("\n")[0]
