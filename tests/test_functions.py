@@ -16,6 +16,9 @@ def test_round_sql_equals_duckdb_round(spark):
               66.66666666666667, 33.333333333333336]
     values += [rnd.randint(0, 20000) / rnd.randint(1, 3000) * 100 for _ in range(400)]
     values += [rnd.uniform(-1000, 1000) for _ in range(200)]
+    # decimal half-way cases (x.xx5, x.x5) over magnitudes, both signs
+    values += [sign * (n + 0.5) / 10 ** p for n in range(0, 2000, 7) for p in (1, 2, 3)
+               for sign in (1, -1)]
     df = spark.createDataFrame([(v,) for v in values], "x double")
     out = df.select(round_sql(F.col("x"), 2).alias("a"), round_sql(F.col("x"), 1).alias("b"),
                     round_sql("x", 2).alias("c"), round_sql("x", 1).alias("d")).collect()
