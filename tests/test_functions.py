@@ -41,6 +41,8 @@ def test_round_even_equals_numpy(spark):
     rnd = random.Random(5)
     values = [0.125, 0.375, 2.5, 3.5, -2.5] + [rnd.randint(0, 3000) / rnd.randint(1, 3000)
                                                for _ in range(500)]
+    values += [sign * (n + 0.5) / 10 ** p for n in range(0, 3000, 11) for p in (2, 4)
+               for sign in (1, -1)]
     df = spark.createDataFrame([(v,) for v in values], "x double")
     got = df.select(round_even(F.col("x"), 2).alias("a"), round_even(F.col("x"), 4).alias("b"),
                     round_even("x", 2).alias("c")).collect()
