@@ -270,6 +270,9 @@ def test_hot_session_takes_the_broadcast_join_path(spark):
     plan = split._jdf.queryExecution().executedPlan().toString()
     assert got == _literal_reach(rows, stages)
     assert "BroadcastHashJoin" in plan and "Window" in plan
+    import re
+    # the window path excludes the hot session (one value: IN becomes =)
+    assert re.search(r"NOT \(?\w+#\d+ (IN \(HOT\)|= HOT)", plan)
     plain = funnel_reach(df, stages, hot_session_rows=None)
     assert {(r["device"], r["stage_order"]): r["unique_users"] for r in plain.collect()} == got
     report = funnel_by_segment(df, stages, hot_session_rows=100, skew_check_bytes=0).collect()
