@@ -13,7 +13,9 @@ partial aggregation, so any hot user shrinks to at most one row per period
 before the shuffle. The cohort is a ``min`` window over a user's distinct
 periods (a group bounded by the calendar, not by activity), then one
 ``groupBy(cohort, period)``. The cohort size is the offset-0 count of the
-same small result, so no second pass over events is needed.
+same small result, so no second pass over events is needed. The matrices
+checkpoint that small long form once, then read their column list (one
+offset per calendar period) and pivot from it, so events are read once.
 """
 
 from __future__ import annotations
