@@ -3,7 +3,16 @@ can express them."""
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, packing, quality, simhash
+from tidemark.llm import (
+    exact_topk,
+    mixing,
+    nearest,
+    packing,
+    quality,
+    sharding,
+    simhash,
+    url_filter,
+)
 from tidemark.llm.frames import read
 
 
@@ -21,15 +30,62 @@ def op3_quality_classifier(spark, sf_dir):
     return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+# Verdict, host, path: the rules of the registered query (fixed values).
+URL_RULES = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
+
+
+def op4_url_filters(spark, sf_dir):
+    return url_filter.judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op5_exact_topk(spark, sf_dir):
+    return exact_topk.exact_topk(read(spark, sf_dir, "embeddings"))
+
+
 def op6_source_mixing(spark, sf_dir):
     return mixing.mix_sources(read(spark, sf_dir, "documents"))
 
 
+def op7_sharding(spark, sf_dir):
+    return sharding.shard_documents(read(spark, sf_dir, "documents"))
+
+
+def op8_nearest_neighbours(spark, sf_dir):
+    return nearest.nearest_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op10_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_simhash_near_dedup, op3_quality_classifier, op6_source_mixing, op10_best_fit_packing)}
-
-ORACLE_SQL: dict[str, str] = {}
+    op2_simhash_near_dedup, op3_quality_classifier, op4_url_filters, op5_exact_topk,
+    op6_source_mixing, op7_sharding, op8_nearest_neighbours, op10_best_fit_packing)}
+
+# Each url's fitting rules by plain comparison, the longest first.
+_URL_RULES_SQL = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_url_filters": f"""
+WITH rules AS (SELECT * FROM (VALUES {_URL_RULES_SQL}) r(kind, rule_host, rule_path)),
+parts AS (
+    SELECT page_id,
+           translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 1), ''),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 2), '') AS path
+    FROM pages)
+SELECT page_id, host, path,
+       (SELECT arg_max(rule_host || rule_path, length(rule_host || rule_path)) FROM rules
+        WHERE (host = rule_host OR ends_with(host, '.' || rule_host))
+              AND starts_with(path, rule_path)) AS rule,
+       coalesce((SELECT arg_max(kind, length(rule_host || rule_path)) FROM rules
+                 WHERE (host = rule_host OR ends_with(host, '.' || rule_host))
+                       AND starts_with(path, rule_path)), '{url_filter.DEFAULT_VERDICT}') AS verdict
+FROM parts""",
+}
