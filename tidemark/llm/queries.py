@@ -4,7 +4,9 @@ can express them."""
 from __future__ import annotations
 
 from tidemark.llm import (
+    chat,
     exact_topk,
+    license_scan,
     mixing,
     nearest,
     packing,
@@ -22,6 +24,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_license_scans(spark, sf_dir):
+    return license_scan.scan_licenses(read(spark, sf_dir, "documents"))
+
+
 def op2_simhash_near_dedup(spark, sf_dir):
     return simhash.simhash_components(read(spark, sf_dir, "documents"), shingle=3, max_bits=3)
 
@@ -60,13 +66,18 @@ def op8_nearest_neighbours(spark, sf_dir):
     return nearest.nearest_vectors(read(spark, sf_dir, "embeddings"))
 
 
+def op9_chat_formatting(spark, sf_dir):
+    return chat.format_chats(read(spark, sf_dir, "conversations"))
+
+
 def op10_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_simhash_near_dedup, op3_quality_classifier, op4_url_filters, op5_exact_topk,
-    op6_source_mixing, op7_sharding, op8_nearest_neighbours, op10_best_fit_packing)}
+    op1_license_scans, op2_simhash_near_dedup, op3_quality_classifier, op4_url_filters,
+    op5_exact_topk, op6_source_mixing, op7_sharding, op8_nearest_neighbours,
+    op9_chat_formatting, op10_best_fit_packing)}
 
 # Each url's fitting rules by plain comparison, the longest first.
 _URL_RULES_SQL = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
