@@ -57,9 +57,14 @@ def permuted(index: Column, n: Column, seed: Column, rounds: int = 24) -> Column
     ``n`` >= 1 without tables; ``seed`` selects the permutation. Built-in
     functions only.
     """
-    def one_round(x: Column, r: Column) -> Column:
-        mirror = F.pmod(F.xxhash64(seed, r, F.lit(0)).bitwiseAND(F.lit((1 << 62) - 1)) - x, n)
-        coin = F.xxhash64(seed, r, F.greatest(x, mirror)).bitwiseAND(F.lit(1))
+    def one_round(s: Column, x: Column, r: Column) -> Column:
+        point = F.xxhash64(s["seed"], r, F.lit(0)).bitwiseAND(F.lit((1 << 62) - 1))
+        mirror = F.pmod(point - x, s["n"])
+        coin = F.xxhash64(s["seed"], r, F.greatest(x, mirror)).bitwiseAND(F.lit(1))
         return F.when(coin == 1, mirror).otherwise(x)
 
-    return F.reduce(F.sequence(F.lit(1), F.lit(rounds)), index.cast("long"), one_round)
+    # One element, so that the rounds see values, not the expressions behind them.
+    given = F.array(F.struct(index.cast("long").alias("i"), n.cast("long").alias("n"),
+                             seed.cast("long").alias("seed")))
+    return F.get(F.transform(given, lambda s: F.reduce(
+        F.sequence(F.lit(1), F.lit(rounds)), s["i"], lambda x, r: one_round(s, x, r))), F.lit(0))

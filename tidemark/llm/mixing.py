@@ -131,7 +131,9 @@ def _slots(sources: DataFrame, shard_slots: int, seed: int) -> DataFrame:
         Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     numbered = (counts.withColumn("ahead", first).join(groups, ["number", "group"])
                 .select("number", (F.col("base") + F.col("ahead")).alias("first"), "n"))
-    slots = numbered.select("number", F.explode(
+    # Few rows of counts make many slots: deal the counts to all tasks.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slots = numbered.repartition(tasks, "number", "first").select("number", F.explode(
         F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("k"))
     # Draws above a source's quota, in one line, fill those below theirs.
     got = counts.groupBy("number").agg(F.sum("n").alias("got"))
