@@ -29,11 +29,12 @@ from tidemark.llm.frames import frozen, quoted
 
 CAPACITY = 2048
 END_ID = 0
-# Words remembered by one task (about 0.2 KB each).
-MEMO_WORDS = 500_000
+# Words remembered by a Python worker, twice (about 0.2 KB each).
+MEMO_WORDS = 400_000
 # Texts of one task tokenised together, by characters.
 BATCH_CHARS = 1 << 20
 
+_SPACE = re.compile(r"\s")
 _TWO_SPACES = re.compile(r"\s\s")
 # A space between two other characters always begins a token of its own.
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -59,6 +60,7 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.line = self._ids(["\n"])[0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -73,32 +75,41 @@ class Encoder:
         return text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
 
     def _learn(self, words: set[str]) -> None:
-        """Adds unknown words, in one text with a line break after each: a
-        break before a word or its space is always a token of its own."""
-        plain = [w for w in words if not w[-1:].isspace() and "\n" not in w and w[:2].strip()]
-        rest = list(words.difference(plain))
+        """Adds unknown words. Those without inner white space go in one text
+        with a line break after each, which is less work than a text each: a
+        break before a word, or before the space it begins with, is always a
+        token of its own."""
+        plain = [w for w in words if not _SPACE.search(w, 1) and w != " " and (w[0] == " " or not w[0].isspace())]
         if plain:
-            ids = np.frombuffer(self._ids(["\n".join(plain)])[0], dtype="<u4")
-            cuts = np.flatnonzero(ids == np.frombuffer(self.line, dtype="<u4")[0])
-            parts = np.split(ids, cuts)
-            if len(parts) == len(plain):
-                self.memo[plain[0]] = parts[0].tobytes()
-                self.memo.update((w, p[1:].tobytes()) for w, p in zip(plain[1:], parts[1:]))
-            else:
-                rest = list(words)
+            ids, = self._ids(["\n".join([*plain, ""])])
+            breaks = np.flatnonzero(np.frombuffer(ids, dtype="<u4")
+                                    == np.frombuffer(self.line, dtype="<u4")) * 4
+            begin = 0
+            for word, end in zip(plain, breaks.tolist(), strict=True):
+                self.memo[word] = ids[begin:end]
+                begin = end + 4
+        rest = list(words.difference(plain))
         self.memo.update(zip(rest, self._ids(rest)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self._words(t) if t else [] for t in texts]
         if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
+            # Words met again come back from here; the others are forgotten.
+            self.memo, self.older = {}, self.memo
         unknown = set().union(*split).difference(self.memo)
-        if unknown:
-            self._learn(unknown)
+        self.memo.update((w, self.older[w]) for w in unknown.intersection(self.older))
+        unknown.difference_update(self.older)
+        self._learn(unknown)
         known = self.memo.__getitem__
         return [b"".join(map(known, words)) for words in split]
 
 
+@functools.cache
+def _encoder(path: str) -> Encoder:
+    """Kept, with its memo, for the next tasks of a Python worker."""
+    return Encoder(path)
+
+
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: whole sequences, the first
     piece taking what is left over."""
@@ -118,7 +129,7 @@ def token_pieces(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, ranks = Encoder(tokenizer), [0] * (capacity + 1)
+        encoder, ranks = _encoder(tokenizer), [0] * (capacity + 1)
         for batch in batches:
             texts = ["" if t is None else t for t in batch["text"]]
             ids, at = batch["id"].array, 0
