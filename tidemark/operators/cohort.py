@@ -81,17 +81,28 @@ def _observed_offsets(long: DataFrame, offset_col: str) -> tuple[DataFrame, list
     return frozen, offsets
 
 
+def _listed(col: str, offsets: Sequence[int]):
+    """Whether the offset has a column; an offset outside the list is an error,
+    so that no cell is left out without a word."""
+    known = F.col(col).isin(list(offsets))
+    return F.when(known, F.lit(True)).otherwise(F.raise_error(F.concat(
+        F.lit(f"{col} outside the given offsets: "), F.col(col).cast("string"))).cast("boolean"))
+
+
 def cohort_matrix(long: DataFrame, offsets: Sequence[int] | None = None) -> DataFrame:
     """Pivot ``cohort_retention`` output: ``cohort_month`` as ``YYYY-MM`` text,
     one ``Month n`` column per offset, NULL where a cohort had no activity.
 
-    ``offsets`` fixes the columns; by default they are the observed offsets.
-    Rows with a NULL offset have no column and are left out.
+    ``offsets`` fixes the columns (an observed offset outside them raises when
+    the query runs); by default they are the observed offsets. Rows with a NULL offset have no column and are left out.
     """
+    known = long.where(F.col("period_offset").isNotNull())
     if offsets is None:
-        long, offsets = _observed_offsets(long, "period_offset")
+        known, offsets = _observed_offsets(known, "period_offset")
+    else:
+        known = known.where(_listed("period_offset", offsets))
     offsets = [int(o) for o in offsets]
-    wide = (long.where(F.col("period_offset").isNotNull())
+    wide = (known
             .groupBy(F.date_format("cohort_month", "yyyy-MM").alias("cohort_month"))
             .pivot("period_offset", offsets)
             .agg(F.first("retention_rate_pct")))
@@ -128,6 +139,8 @@ def cohort_matrix_freq(df: DataFrame, user_col: str, date_col: str, freq: str =
     long = cohort_counts(df, user_col, date_col, freq)
     if offsets is None:
         long, offsets = _observed_offsets(long, "period_idx")
+    else:
+        long = long.where(_listed("period_idx", offsets))
     offsets = [int(o) for o in offsets]
     wide = (long.groupBy("cohort").pivot("period_idx", offsets).agg(F.first("retention")))
     return (wide.orderBy("cohort")

@@ -352,8 +352,8 @@ def funnel_unordered(df: DataFrame, stage_col: str, user_col: str,
     require_columns(df, stage_col, user_col)
     spark = df.sparkSession
     idx = stage_index(F.col(stage_col), stages)
-    counts = (df.select(idx.alias("_k"), F.col(user_col).alias("_u"))
-              .where(F.col("_k") > 0)
+    counts = (df.where(F.col(stage_col).isin(stages))
+              .select(idx.alias("_k"), F.col(user_col).alias("_u"))
               .groupBy("_k").agg(F.count_distinct("_u").alias("users")))
     # The stage list itself is the inline relation that makes empty stages 0.
     listed = spark.createDataFrame([(i, 0) for i in range(1, len(stages) + 1)],
