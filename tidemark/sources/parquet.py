@@ -1,12 +1,7 @@
 """Parquet tables by name from a directory (one ``<name>.parquet`` per table).
 
-Schema inference opens Parquet footers, and Spark runs a small job for it on
-every ``spark.read.parquet``. A report reads the same tables again and again,
-so the schema found by the first read is remembered per path and handed to
-later reads (``spark.read.schema(...)``), which then only list files. For
-local paths the entry is keyed by the file's size and modification time, so
-a rewritten table is inferred again; ``read_table(..., infer=True)`` always
-infers.
+The schema is taken from the files at every read; a caller who knows it passes
+``schema`` and saves the footer job.
 
 Nanosecond timestamps (what pandas writes for ``datetime64[ns]``, and so the
 reference's data files) are not a Spark type: reading them fails with
@@ -20,30 +15,16 @@ into ``timestamp``.
 
 from __future__ import annotations
 
-import json
 import os
-import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-_SCHEMAS: dict[tuple, str] = {}
-_LOCK = threading.Lock()
-
-
 def table_path(base_dir: str, name: str) -> str:
     return os.path.join(base_dir, f"{name}.parquet")
 
 
-def _version(path: str):
-    try:
-        st = os.stat(path)
-    except OSError:
-        return None  # not a local path: key on the path alone
-    return (st.st_size, st.st_mtime_ns)
-
-
 def nanosecond_columns(path: str) -> dict[str, bool]:
     """Columns stored as nanosecond timestamps -> whether they are UTC-adjusted.
     Empty when the footer cannot be read here (the plain read then decides)."""
@@ -68,22 +49,15 @@ def _read_nanos(spark: SparkSession, path: str, nanos: dict[str, bool]) -> DataF
     return df
 
 
-def read_table(spark: SparkSession, base_dir: str, name: str, *, infer: bool = False) -> DataFrame:
+def read_table(spark: SparkSession, base_dir: str, name: str, *,
+               schema: StructType | str | None = None) -> DataFrame:
     """Read one table. Column pruning and filters of later operators reach the
     scan (``ReadSchema`` / ``PushedFilters`` in the plan)."""
     path = table_path(base_dir, name)
-    key = (path, _version(path))
-    if key not in _SCHEMAS or infer:
-        nanos = nanosecond_columns(path)
-        if nanos:
-            return _read_nanos(spark, path, nanos)
-    cached = None if infer else _SCHEMAS.get(key)
-    if cached is not None:
-        return spark.read.schema(StructType.fromJson(json.loads(cached))).parquet(path)
-    df = spark.read.parquet(path)
-    with _LOCK:
-        _SCHEMAS[key] = df.schema.json()
-    return df
+    if schema is not None:
+        return spark.read.schema(schema).parquet(path)
+    nanos = nanosecond_columns(path)
+    return _read_nanos(spark, path, nanos) if nanos else spark.read.parquet(path)
 
 
 def write_table(df: DataFrame, base_dir: str, name: str, mode: str = "overwrite") -> None:
