@@ -22,6 +22,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from tidemark.operators import (  # noqa: E402
     audit,
+    business_rule_audit,
     cohort_counts,
     cohort_matrix,
     cohort_matrix_freq,
@@ -36,12 +37,13 @@ from tidemark.operators import (  # noqa: E402
     funnel_unordered,
     global_ntile,
     kpis,
+    null_key_audit,
+    orphan_audit,
     rfm_base,
     rfm_customers,
     rfm_scores,
     rfm_segments,
 )
-from tidemark.operators.quality import NULL_KEYS, REFERENCES, RULES  # noqa: E402
 from tidemark.sources import driver_tables as dt  # noqa: E402
 from tidemark.sources.parquet import read_table  # noqa: E402
 
@@ -195,10 +197,11 @@ def q_dq_audit(spark, d):
     return _audit(spark, d)
 
 
-def _dq_row(label):
+def _dq_row(single_audit):
     def run(spark, d):
         _prepare(spark)
-        return _audit(spark, d, ordered=False).where(F.col("audit_category") == label)
+        return single_audit(dt.audit_customers(spark, d), dt.audit_events(spark, d),
+                            dt.audit_transactions(spark, d))
     return run
 
 
@@ -252,9 +255,9 @@ def reference_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "global_ntile": q_global_ntile,
         "rfm_customers": q_rfm_customers,
         "rfm_segments": q_rfm_segments,
-        "dq_nulls": _dq_row(NULL_KEYS),
-        "dq_orphans": _dq_row(REFERENCES),
-        "dq_rules": _dq_row(RULES),
+        "dq_nulls": _dq_row(null_key_audit),
+        "dq_orphans": _dq_row(orphan_audit),
+        "dq_rules": _dq_row(business_rule_audit),
         "dq_audit": q_dq_audit,
         "kpis": q_kpis,
         "event_mix": q_event_mix,
