@@ -52,3 +52,8 @@ def test_local_mode_gets_a_scratch_folder():
     ctx = _Context("local[2]")
     path = ensure_checkpoint_dir(_Session(ctx))
     assert path and ctx.set_to == path
+
+
+def test_local_cluster_is_a_cluster():
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(_Session(_Context("local-cluster[2,1,1024]")))

@@ -1,6 +1,5 @@
-"""Table sources: pandas-written files (nanosecond timestamps) and the schema cache."""
+"""Table sources: pandas-written files (nanosecond timestamps) and rewritten tables."""
 
-import time
 from datetime import datetime
 
 import pandas as pd
@@ -36,13 +35,23 @@ def test_reference_style_files_run_end_to_end(spark, tmp_path):
     assert users == [1, 1, 1, 0, 0]
 
 
-def test_schema_cache_sees_a_rewritten_table(spark, tmp_path):
-    path = table_path(str(tmp_path), "t")
-    pd.DataFrame({"a": [1, 2]}).to_parquet(path, index=False)
-    assert read_table(spark, str(tmp_path), "t").columns == ["a"]
-    assert read_table(spark, str(tmp_path), "t").columns == ["a"]      # from the cache
-    time.sleep(0.01)
-    pd.DataFrame({"a": ["x"], "b": [3]}).to_parquet(path, index=False)
+def test_nanosecond_read_leaves_the_session_setting(spark, tmp_path):
+    from tidemark.sources.parquet import NANOS_AS_LONG
+    pd.DataFrame({"ts": [pd.Timestamp("1969-12-31 23:59:59.999999999")]}).astype(
+        {"ts": "datetime64[ns]"}).to_parquet(table_path(str(tmp_path), "t"), index=False)
+    before = spark.conf.get(NANOS_AS_LONG)
     df = read_table(spark, str(tmp_path), "t")
-    assert dict(df.dtypes) == {"a": "string", "b": "bigint"}
-    assert df.collect()[0]["b"] == 3
+    assert spark.conf.get(NANOS_AS_LONG) == before
+    assert df.collect()[0]["ts"] == datetime(1969, 12, 31, 23, 59, 59, 999999)
+    named = read_table(spark, f"file://{tmp_path}", "t", nanos={"ts": True})
+    assert dict(named.dtypes) == {"ts": "timestamp"} and named.count() == 1
+
+
+def test_a_rewritten_table_is_read_with_its_new_columns(spark, tmp_path):
+    path, base = table_path(str(tmp_path), "t"), f"file://{tmp_path}"
+    pd.DataFrame({"a": [1, 2]}).to_parquet(path, index=False)
+    assert read_table(spark, base, "t").columns == ["a"]
+    pd.DataFrame({"renamed": ["x"], "b": [3]}).to_parquet(path, index=False)
+    df = read_table(spark, base, "t")
+    assert dict(df.dtypes) == {"renamed": "string", "b": "bigint"}
+    assert [tuple(r) for r in df.collect()] == [("x", 3)]

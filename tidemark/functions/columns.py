@@ -35,18 +35,25 @@ def stage_index(col: Column, stages: Iterable[str]) -> Column:
     return F.array_position(F.array(*[F.lit(s) for s in stages]), col).cast("int")
 
 
-def exact_money(df: DataFrame, name: str, scale: int | None) -> Column:
-    """An amount column ready for an exact, order-independent ``sum``.
-
-    Floating amounts become ``decimal(38, scale)`` (``try_cast``: NaN and
-    infinities, which no decimal holds, become NULL and are skipped instead of
-    failing the job under ANSI mode); decimal amounts are already exact and
-    pass through. ``scale=None`` leaves the column as it is (plain double sums).
+def money_sum(df: DataFrame, name: str, scale: int | None = 2) -> Column:
+    """``sum`` of an amount column, as a double: an aggregate expression.
+
+    Plain ``SUM`` semantics (NaN and infinities included). Where every amount
+    of the group is the double nearest to a decimal of ``scale`` places (cents),
+    the sum is taken over those decimals, so it is exact and does not depend on
+    task order; any other amount in the group (sub-cent, widened float32, NaN,
+    infinite, beyond ``decimal(38)``) gives the plain double sum.
+    ``scale=None`` always gives the plain sum. Integer and decimal columns are
+    exact as they are.
     """
     col = F.col(name)
-    if scale is None or dict(df.dtypes)[name].startswith("decimal"):
-        return col
-    return col.try_cast(f"decimal(38,{scale})")
+    if scale is None or dict(df.dtypes)[name] not in ("double", "float"):
+        return F.sum(col).cast("double")
+    amount = col.cast("double")
+    money = amount.try_cast(f"decimal(38,{scale})")
+    inexact = amount.isNotNull() & ~money.cast("double").eqNullSafe(amount)
+    exact = F.when(~F.bool_or(inexact), F.try_sum(money).cast("double"))
+    return F.coalesce(exact, F.sum(amount))
 
 
 def sort_bounded(df: DataFrame, *order) -> DataFrame:

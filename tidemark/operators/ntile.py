@@ -1,35 +1,32 @@
 """Exact global ``NTILE(n) OVER (ORDER BY ...)`` without a one-task sort.
 
-``Window.orderBy`` with no partition moves every row into one partition. For
-large inputs ``global_ntile`` instead:
-
-1. range-partitions the rows on the full (total) order into P buckets with
-   ``repartitionByRange`` (Spark samples the keys, so heavy ties on the first
-   key still spread when a unique tie-break column ends the order), sorts
-   within each bucket, and tags each row with its bucket and its position in
-   the bucket;
-2. cuts lineage with a reliable ``checkpoint()`` into the session's
-   ``spark.checkpoint.dir``, so the tags are fixed data that survive executor
-   loss and any recomputation;
-3. counts rows per bucket (P numbers) and turns them into offsets;
-4. rank = offset[bucket] + position + 1, then the NTILE formula: with
-   q = N div n and m = N mod n, the first m tiles hold q+1 rows.
-
-Inputs whose row count is at most ``single_task_rows`` (checked with a
-count, not assumed) use the plain window, which is the faster plan when the
-data fits one task.
+``Window.orderBy`` with no partition moves every row into one partition. Both
+operators here use range partitions instead, at every size: the rows are
+range-partitioned on the full (total) order with ``repartitionByRange`` (Spark
+samples the keys; a unique tie-break at the end of the order lets heavy ties
+spread), sorted within each partition and tagged with ``partition << 33 |
+position``. Row counts per partition (one number each) turn tags into ranks.
+
+* ``global_ntile``  - one NTILE over any order; whole rows move once, and the
+  tagged rows are checkpointed, so that the tags stay fixed when executors go.
+* ``ntile_columns`` - several NTILEs over numeric keys of one frame with a
+  unique id. Only (key, id) pairs are sorted, all the scores in one shuffle,
+  to find the row at the end of each tile; the frame itself is never moved: its
+  rows are compared with those cut rows in one narrow projection.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_right
+from collections.abc import Mapping, Sequence
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.session import ensure_checkpoint_dir
 
-SINGLE_TASK_ROWS = 1_000_000
+_POSITION_BITS = 33      # of monotonically_increasing_id
 
 
 def ntile_of_rank(rank: Column, total: int, n: int) -> Column:
@@ -45,40 +42,98 @@ def ntile_of_rank(rank: Column, total: int, n: int) -> Column:
     return F.when(rank <= F.lit(big), first).otherwise(rest).cast("long")
 
 
+def tile_ends(total: int, n: int) -> list[int]:
+    """Last rank of each tile but the last one, empty tiles left out."""
+    if n < 1:
+        raise ValueError("NTILE needs n >= 1")
+    q, m = divmod(total, n)
+    return [t * q + min(t, m) for t in range(1, n) if t <= m or q]
+
+
+def _tagged(df: DataFrame, order: Sequence[Column], partitions: int | None) -> tuple[DataFrame, int]:
+    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+            .withColumn("_tag", F.monotonically_increasing_id())), parts
+
+
+def _starts(tagged: DataFrame, parts: int) -> tuple[list[int], int]:
+    """Rows before each range partition (``parts`` numbers), and all rows."""
+    bucket = F.shiftright("_tag", _POSITION_BITS).cast("int").alias("_bucket")
+    sizes = dict(tagged.groupBy(bucket).count().collect())
+    ends = list(accumulate(sizes.get(b, 0) for b in range(parts)))
+    return [0, *ends[:-1]], ends[-1]
+
+
 def global_ntile(df: DataFrame, order: Sequence[Column], n: int, alias: str = "ntile", *,
-                 partitions: int | None = None, single_task_rows: int | None = SINGLE_TASK_ROWS,
-                 total: int | None = None) -> DataFrame:
+                 partitions: int | None = None) -> DataFrame:
     """``df`` with ``alias`` = NTILE(n) over ``order``.
 
     ``order`` must be a total order (end it with a unique column) for the
     result to be deterministic; ties are then never split arbitrarily.
-    ``total`` may be passed when the row count is already known; the
-    distributed path takes it from its per-bucket counts.
     """
-    order = list(order)
-    if single_task_rows is not None:
-        if total is None:
-            total = df.count()
-        if total <= single_task_rows:
-            # Proven small (counted): one sort in one task is the cheaper plan.
-            return df.withColumn(alias, F.ntile(n).over(Window.orderBy(*order)).cast("long"))
-
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bucket = F.spark_partition_id()
-    tagged = (df.repartitionByRange(parts, *order)
-              .sortWithinPartitions(*order)
-              .withColumn("_bucket", bucket)
-              .withColumn("_pos", F.monotonically_increasing_id()
-                          - F.shiftleft(bucket.cast("long"), 33))
-              .checkpoint(eager=True))
-    sizes = dict(tagged.groupBy("_bucket").count().collect())  # at most `parts` rows
-    offsets, running = [], 0
-    for b in range(parts):
-        offsets.append(running)
-        running += sizes.get(b, 0)
-    offset = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]),
-                          F.col("_bucket") + 1)
-    rank = offset + F.col("_pos") + 1
-    return tagged.withColumn(alias, ntile_of_rank(rank, running, n)).drop("_bucket", "_pos")
+    tagged, parts = _tagged(df, list(order), partitions)
+    tagged = tagged.checkpoint(eager=True)
+    starts, total = _starts(tagged, parts)
+    # One row per range partition: broadcast.
+    offsets = spark.createDataFrame(list(enumerate(starts)), "_bucket int, _start long")
+    position = F.col("_tag").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
+    return (tagged.withColumn("_bucket", F.shiftright("_tag", _POSITION_BITS).cast("int"))
+            .join(F.broadcast(offsets), "_bucket")
+            .withColumn(alias, ntile_of_rank(F.col("_start") + position + 1, total, n))
+            .drop("_bucket", "_tag", "_start"))
+
+
+def _after(key: Column, row_id: Column, cut_key, cut_id: Column) -> Column:
+    """(key, row_id) > (cut_key, cut_id), ascending, NULLs last."""
+    if cut_key is None:
+        greater, equal = F.lit(False), key.isNull()
+    else:
+        greater = key.isNull() | (key > F.lit(cut_key))
+        equal = key.eqNullSafe(F.lit(cut_key))
+    id_greater = cut_id.isNotNull() & (row_id.isNull() | (row_id > cut_id))
+    return F.coalesce(greater, F.lit(False)) | (equal & F.coalesce(id_greater, F.lit(False)))
+
+
+def ntile_columns(df: DataFrame, row_id: str, keys: Mapping[str, Column], n: int, *,
+                  partitions: int | None = None) -> DataFrame:
+    """``df`` with one column per entry of ``keys``: NTILE(n) over that numeric
+    key ascending (as a double, NULLs last), ``row_id`` (unique) breaking ties.
+
+    ``df`` is read once for the sort and once for the result, so it should be
+    checkpointed or a cheap projection of something that is. The sorted pairs
+    are persisted between the two small jobs that read them; a lost block is
+    rebuilt the same, from fixed range bounds and a total order.
+    """
+    names = list(keys)
+    pairs = F.array(*[F.struct(F.lit(i).alias("_score"), keys[name].cast("double").alias("_key"))
+                      for i, name in enumerate(names)])
+    long = df.select(F.col(row_id).alias("_id"), F.inline(pairs))
+    tagged, parts = _tagged(long, ["_score", F.col("_key").asc_nulls_last(),
+                                   F.col("_id").asc_nulls_last()], partitions)
+    tagged = tagged.persist()
+    try:
+        starts, rows = _starts(tagged, parts)
+        total = rows // len(names)
+        tags = []
+        for i in range(len(names)):
+            for end in tile_ends(total, n):
+                rank = i * total + end - 1                       # from 0, over all scores
+                bucket = bisect_right(starts, rank) - 1
+                tags.append((bucket << _POSITION_BITS) + rank - starts[bucket])
+        # The cut rows: at most (n - 1) a score.
+        cuts = tagged.where(F.col("_tag").isin(tags)).select("_score", "_key", "_id").collect()
+    finally:
+        tagged.unpersist()
+    id_type = df.schema[row_id].dataType
+    scores = {}
+    for i, name in enumerate(names):
+        tile = F.lit(1).cast("long")
+        for cut in cuts:
+            if cut["_score"] == i:
+                later = _after(keys[name].cast("double"), F.col(row_id), cut["_key"],
+                               F.lit(cut["_id"]).cast(id_type))
+                tile = tile + later.cast("long")
+        scores[name] = tile
+    return df.withColumns(scores)

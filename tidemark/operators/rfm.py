@@ -8,16 +8,14 @@
 * ``rfm_label``    - total score and the segment label.
 * ``rfm_segments`` - the reference's RFM report, one row per segment.
 
-Money: with ``money_scale`` set (default 2, cents), floating amounts are
-summed as decimals of that scale (``exact_money``). The sum is then exact and
-independent of task order, so quartiles over monetary are reproducible run to
-run; results are doubles. NaN or infinite amounts, which no decimal holds,
-are skipped. ``money_scale=None`` sums the raw doubles.
+Money: ``money_sum``, the plain sum of the amounts; exact, and so independent
+of task order, wherever they are whole cents (``money_scale`` places).
 
 Plan shape: one aggregation of the completed rows by customer (partial
-aggregation first), the reference date as a scalar subquery (a separate
-one-row aggregate, no join), and the customer table checkpointed once, since
-a count and three quartile passes read it.
+aggregation first), checkpointed once, since the reference date and the
+quartiles read it; the quartiles sort only (key, id) pairs, all three in one
+range shuffle, and score the customers by comparison with nine cut rows
+(``ntile_columns``), the same plan at every size.
 """
 
 from __future__ import annotations
@@ -25,9 +23,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import exact_money, require_columns, sort_bounded
+from tidemark.functions.columns import money_sum, require_columns, sort_bounded
 from tidemark.functions.rounding import round_sql
-from tidemark.operators.ntile import SINGLE_TASK_ROWS, global_ntile
+from tidemark.operators.ntile import ntile_columns
 from tidemark.session import ensure_checkpoint_dir
 
 # Segment labels of the reference, in rule order (fixed values).
@@ -40,21 +38,20 @@ CHURNED = "Needs Attention / Churned"
 
 def _customer_totals(transactions: DataFrame, customer: str, ts: str, txn_id: str,
                      amount: str, status: str, completed, money_scale: int | None) -> DataFrame:
-    """customer, _last (latest completed time), frequency, _money per customer."""
+    """customer, _last (latest completed time), frequency, monetary per customer."""
     require_columns(transactions, customer, ts, txn_id, amount, status)
     done = transactions.where(F.col(status) == F.lit(completed))
     return done.groupBy(customer).agg(
         F.max(ts).alias("_last"),
         F.count(txn_id).alias("frequency"),
-        F.sum(exact_money(done, amount, money_scale)).alias("_money"))
+        money_sum(done, amount, money_scale).alias("monetary"))
 
 
 def _with_recency(totals: DataFrame, customer: str, reference_date) -> DataFrame:
     return totals.select(
         customer,
         F.datediff(reference_date, F.col("_last")).cast("long").alias("recency_days"),
-        "frequency",
-        F.col("_money").cast("double").alias("monetary"))
+        "frequency", "monetary")
 
 
 def rfm_base(transactions: DataFrame, *, customer: str = "customer_id",
@@ -74,34 +71,24 @@ def rfm_base(transactions: DataFrame, *, customer: str = "customer_id",
 
 
 def rfm_scores(base: DataFrame, *, customer: str = "customer_id", tiles: int = 4,
-               partitions: int | None = None,
-               single_task_rows: int | None = SINGLE_TASK_ROWS,
-               materialize: bool = True) -> DataFrame:
-    """Adds r_score, f_score, m_score (1..tiles, NTILE semantics).
+               partitions: int | None = None, materialize: bool = True) -> DataFrame:
+    """Adds r_score, f_score, m_score (1..tiles, NTILE semantics); customer ids
+    must be unique, as ``rfm_base`` leaves them.
 
     The customer table is checkpointed first: the aggregation over all
-    transactions then runs once, although the count and three quartile
-    passes read its result. Up to ``single_task_rows`` customers (counted)
-    the quartiles are plain windows (one small sort each); above it each is
-    a ``global_ntile`` over range partitions. ``materialize=False`` skips the
-    checkpoint when ``base`` is already a cheap projection of one.
+    transactions then runs once, although the quartiles read its result twice.
+    ``materialize=False`` skips the checkpoint when ``base`` is already a cheap
+    projection of one.
     """
     require_columns(base, customer, "recency_days", "frequency", "monetary")
     frame = base
     if materialize:
         ensure_checkpoint_dir(base.sparkSession)
         frame = base.checkpoint(eager=True)
-    total = frame.count()
-    tie = F.col(customer).asc_nulls_last()
-    kw = {"partitions": partitions, "total": total, "single_task_rows": single_task_rows}
-    frame = global_ntile(frame, [F.col("recency_days").desc_nulls_last(), tie], tiles,
-                         "r_score", **kw)
-    frame = global_ntile(frame, [F.col("frequency").asc_nulls_last(), tie], tiles,
-                         "f_score", **kw)
-    frame = global_ntile(frame, [F.col("monetary").asc_nulls_last(), tie], tiles,
-                         "m_score", **kw)
-    return frame.select(customer, "recency_days", "frequency", "monetary",
-                        "r_score", "f_score", "m_score")
+    keys = {"r_score": -F.col("recency_days"), "f_score": F.col("frequency"),
+            "m_score": F.col("monetary")}
+    return (ntile_columns(frame, customer, keys, tiles, partitions=partitions)
+            .select(customer, "recency_days", "frequency", "monetary", *keys))
 
 
 def rfm_label(scores: DataFrame) -> DataFrame:
@@ -119,8 +106,8 @@ def rfm_label(scores: DataFrame) -> DataFrame:
 def rfm_customers(transactions: DataFrame, *, customer: str = "customer_id",
                   ts: str = "transaction_timestamp", txn_id: str = "transaction_id",
                   amount: str = "amount", status: str = "status", completed="Completed",
-                  money_scale: int | None = 2, tiles: int = 4, partitions: int | None = None,
-                  single_task_rows: int | None = SINGLE_TASK_ROWS) -> DataFrame:
+                  money_scale: int | None = 2, tiles: int = 4,
+                  partitions: int | None = None) -> DataFrame:
     """Per-customer scores and labels.
 
     The transactions are read once: the per-customer totals are checkpointed
@@ -132,20 +119,19 @@ def rfm_customers(transactions: DataFrame, *, customer: str = "customer_id",
                               money_scale).checkpoint(eager=True)
     base = _with_recency(totals, customer, totals.agg(F.max("_last")).scalar())
     return rfm_label(rfm_scores(base, customer=customer, tiles=tiles, partitions=partitions,
-                                single_task_rows=single_task_rows, materialize=False))
+                                materialize=False))
 
 
 def rfm_segments(labelled: DataFrame, *, customer: str = "customer_id",
                  money_scale: int | None = 2, ordered: bool = True) -> DataFrame:
     """Segment summary: customer_count (non-NULL ids), average recency and
     frequency (1 place), average and total monetary (2 places), by revenue."""
-    money = exact_money(labelled, "monetary", money_scale)
     sums = labelled.groupBy("rfm_segment").agg(
         F.count(customer).alias("customer_count"),
         F.avg("recency_days").alias("_recency"),
         F.avg("frequency").alias("_frequency"),
-        F.sum(money).cast("double").alias("_money"),
-        F.count(money).alias("_priced"))
+        money_sum(labelled, "monetary", money_scale).alias("_money"),
+        F.count("monetary").alias("_priced"))
     out = sums.select(
         "rfm_segment", "customer_count",
         round_sql("_recency", 1).alias("avg_recency_days"),

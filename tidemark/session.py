@@ -15,7 +15,7 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Checkpoints (NTILE tags, RFM customer table, cohort long form) are
+    # Checkpoints (NTILE tags, RFM customer table, cohort long form, hot sessions) are
     # removed once nothing references them.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
@@ -56,7 +56,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
-    if sc.master.startswith("local"):
+    if sc.master == "local" or sc.master.startswith("local["):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-ckpt-"))
         return sc.getCheckpointDir()
     raise RuntimeError(
