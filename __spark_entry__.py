@@ -96,6 +96,13 @@ def q_funnel_rates(spark, d):
     return funnel_rates(densify_stages(funnel_reach(ev, dt.STAGES), ev.select("device"), dt.STAGES))
 
 
+def q_funnel_hot_sessions(spark, d):
+    """The funnel with every session of two or more stage events on the join
+    path that very large sessions take, and the others in their windows."""
+    _prepare(spark)
+    return funnel_by_segment(dt.events(spark, d), dt.STAGES, hot_session_rows=1)
+
+
 def q_funnel_one_device(spark, d):
     _prepare(spark)
     return funnel_segment(funnel_by_segment(dt.events(spark, d), dt.STAGES, ordered=False),
@@ -238,6 +245,7 @@ def reference_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "funnel_dense": q_funnel_dense,
         "funnel_by_device": q_funnel_by_device,
         "funnel_rates": q_funnel_rates,
+        "funnel_hot_sessions": q_funnel_hot_sessions,
         "funnel_one_device": q_funnel_one_device,
         "funnel_all": q_funnel_all,
         "funnel_unordered": q_funnel_unordered,
@@ -471,6 +479,7 @@ def reference_oracles() -> dict[str, str]:
         "funnel_dense": f"WITH {_FUNNEL_CTES} SELECT * FROM dense",
         "funnel_by_device": f"WITH {_FUNNEL_CTES} SELECT * FROM funnel ORDER BY device, stage_order",
         "funnel_rates": f"WITH {_FUNNEL_CTES} SELECT * FROM funnel",
+        "funnel_hot_sessions": f"WITH {_FUNNEL_CTES} SELECT * FROM funnel",
         "funnel_one_device": f"WITH {_FUNNEL_CTES} SELECT * FROM funnel WHERE device = 'desktop'",
         "funnel_all": _FUNNEL_ALL,
         "funnel_unordered": _FUNNEL_UNORDERED,

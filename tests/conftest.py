@@ -1,6 +1,6 @@
 import os
 import sys
-from datetime import datetime, timedelta
+from datetime import datetime
 
 import pytest
 
@@ -24,14 +24,24 @@ def spark():
     session.stop()
 
 
-def ts(day: int, hour: int = 0) -> datetime:
-    return datetime(2025, 1, 1) + timedelta(days=day, hours=hour)
+def at(clock: str, day: str = "2024-09-02") -> datetime:
+    """A time of day; the test worlds happen on one day unless they name another."""
+    return datetime.fromisoformat(f"{day}T{clock}")
 
 
-def event(eid, cust, sess, when, etype, device="desktop", page="x"):
+def event(eid, cust, sess, when, etype, device="web", page="p"):
     return (eid, cust, sess, when, etype, device, page)
 
 
+def event_log(spark, text):
+    """An events frame from lines of ``session user device type time``; ``-`` is NULL."""
+    out = []
+    for n, line in enumerate(text.strip().splitlines()):
+        session, user, device, kind, clock = (None if w == "-" else w for w in line.split())
+        out.append(event(f"ev{n}", user, session, clock and at(clock), kind, device))
+    return spark.createDataFrame(out, EVENT_SCHEMA)
+
+
 def rows(df, *cols):
     """Collected rows as tuples of the given columns, in result order."""
     return [tuple(r[c] for c in cols) for r in df.collect()]

@@ -34,4 +34,4 @@ def test_reports_on_empty_tables(spark):
         "total_customers": 0, "total_events": 0, "total_orders": 0, "total_revenue": None}
     assert event_mix(events).collect() == []
     ids = spark.range(0).withColumn("v", F.col("id"))
-    assert global_ntile(ids, [F.col("v")], 4, "t", partitions=3, single_task_rows=None).collect() == []
+    assert global_ntile(ids, [F.col("v")], 4, "t", partitions=3).collect() == []

@@ -3,7 +3,7 @@ same results as the reference's default names."""
 
 from datetime import datetime
 
-from conftest import EVENT_SCHEMA, TXN_SCHEMA, event, ts
+from conftest import EVENT_SCHEMA, TXN_SCHEMA, at, event
 from tidemark.operators import cohort_retention, funnel_by_segment, rfm_customers
 
 RENAMES = {"customer_id": "uid", "session_id": "sid", "timestamp": "at",
@@ -18,9 +18,9 @@ def _rename(df, mapping):
 
 def test_funnel_and_cohort_with_other_column_names(spark):
     events = spark.createDataFrame(
-        [event("A", "U1", "S1", ts(0, 1), "page_view", "NL"),
-         event("B", "U1", "S1", ts(0, 2), "product_view", "NL"),
-         event("C", "U2", "S2", ts(31, 2), "page_view", "DE")], EVENT_SCHEMA)
+        [event("A", "U1", "S1", at("01:00"), "page_view", "NL"),
+         event("B", "U1", "S1", at("02:00"), "product_view", "NL"),
+         event("C", "U2", "S2", at("02:00", "2024-10-03"), "page_view", "DE")], EVENT_SCHEMA)
     renamed = _rename(events, RENAMES)
     base = [tuple(r) for r in funnel_by_segment(events).collect()]
     other = [tuple(r) for r in funnel_by_segment(

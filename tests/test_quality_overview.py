@@ -1,81 +1,91 @@
 """Data-quality audit and overview figures."""
 
-from datetime import datetime
-
 import pytest
 
-from conftest import CUSTOMER_SCHEMA, EVENT_SCHEMA, TXN_SCHEMA
-from tidemark.operators import audit, event_mix, kpis
+from conftest import CUSTOMER_SCHEMA, EVENT_SCHEMA, TXN_SCHEMA, at, event
+from tidemark.operators import (
+    audit,
+    business_rule_audit,
+    event_mix,
+    kpis,
+    null_key_audit,
+    orphan_audit,
+)
+from tidemark.plans.inspect import plan_text
 
-T0 = datetime(2025, 1, 1)
+NOON = at("12:00")
 
 
 def _customers(spark, ids):
-    return spark.createDataFrame([(i, T0, "US", "mobile", "Organic") for i in ids], CUSTOMER_SCHEMA)
+    return spark.createDataFrame([(i, NOON, "PT", "web", "Referral") for i in ids], CUSTOMER_SCHEMA)
 
 
-def _events(spark, pairs, etype="page_view"):
-    return spark.createDataFrame([(e, c, "S1", T0, etype, "desktop", "x") for e, c in pairs],
-                                 EVENT_SCHEMA)
+def _events(spark, pairs, kind="page_view"):
+    return spark.createDataFrame([event(e, c, "s", NOON, kind) for e, c in pairs], EVENT_SCHEMA)
 
 
 def _txns(spark, rows):
-    return spark.createDataFrame([(t, c, T0, a, "Credit Card", s) for t, c, a, s in rows],
-                                 TXN_SCHEMA)
+    return spark.createDataFrame([(t, c, NOON, a, "Card", s) for t, c, a, s in rows], TXN_SCHEMA)
 
 
 @pytest.fixture(scope="module")
-def defects(spark):
-    return (_customers(spark, ["C1", "C2", None]),
-            _events(spark, [("E1", "C1"), ("E1", "C2"), ("E2", "ORPHAN"), ("E3", None)]),
-            _txns(spark, [("T1", "C1", 10.0, "Completed"), ("T2", "ORPHAN2", -5.0, "Completed")]))
-
-
-def test_audit_detects_each_defect_class(defects):            # FIXTURES 8, E23
-    out = audit(*defects)
+def shop(spark):
+    """Three known customers and several defects of every class."""
+    customers = _customers(spark, ["k1", "k2", "k3", None, None])
+    events = _events(spark, [("ev1", "k1"), ("ev2", "k2"), ("ev2", "k3"), ("ev2", "k1"),
+                             ("ev3", "x7"), ("ev4", "x7"), ("ev5", "x8"),
+                             (None, "k1"), ("ev6", None), (None, None)])
+    txns = _txns(spark, [("t1", "k1", 12.0, "Completed"), ("t2", "x7", 0.0, "Completed"),
+                         ("t3", "x9", -4.0, "Failed"), (None, "k2", 3.0, "Completed"),
+                         ("t5", "k3", None, "Completed"), ("t6", None, float("nan"), "Refunded")])
+    return customers, events, txns
+
+
+def test_audit_counts_every_defect(shop):                     # E23 to E25, P8
+    out = audit(*shop)
     assert out.columns == ["audit_category", "missing_customer_ids", "missing_event_keys",
                            "missing_txn_keys"]
-    nulls, orphans, rules = [tuple(r) for r in out.collect()]   # E25: row order
-    assert nulls == ("Null Key Audit", 1, 1, 0)
-    assert orphans == ("Referential Integrity Audit", 1, 1, 0)
-    assert rules == ("Business Rule Audit", 1, 1, 0)
+    assert [tuple(r) for r in out.collect()] == [
+        ("Null Key Audit", 2, 3, 2),
+        # x7 and x8 among the events, x7 and x9 among the transactions
+        ("Referential Integrity Audit", 2, 2, 0),
+        # 0.0 and -4.0 (not NULL, not NaN); ids seen again: ev2, NULL
+        ("Business Rule Audit", 2, 2, 0)]
+
+
+def test_single_audit_rows_equal_the_audit(shop):
+    rows = [tuple(r) for part in (null_key_audit, orphan_audit, business_rule_audit)
+            for r in part(*shop).collect()]
+    assert rows == [tuple(r) for r in audit(*shop).collect()]
 
 
-def test_audit_is_clean_on_sound_data(spark):                 # FIXTURES 9
-    out = audit(_customers(spark, ["C1"]), _events(spark, [("E1", "C1")]),
-                _txns(spark, [("T1", "C1", 10.0, "Completed")])).collect()
-    assert all(r[c] == 0 for r in out for c in ("missing_customer_ids", "missing_event_keys",
-                                                 "missing_txn_keys"))
+def test_null_key_row_neither_shuffles_ids_nor_joins(shop):
+    text = plan_text(null_key_audit(*shop))
+    assert "hashpartitioning" not in text and "Join" not in text
 
 
-def test_duplicates_and_null_ids(spark):                      # E24, P8
-    events = _events(spark, [(None, "C1"), (None, "C1"), ("E1", "C1"), ("E2", None), ("E2", "C1"),
-                             ("E3", "C9"), ("E3", "C9")])
-    txns = _txns(spark, [(None, "C1", 0.0, "Completed"), ("T2", "C1", None, "Completed"),
-                         ("T3", None, float("nan"), "Completed")])
-    out = [tuple(r) for r in audit(_customers(spark, ["C1"]), events, txns).collect()]
-    assert out[0] == ("Null Key Audit", 0, 3, 2)      # two NULL event ids + one NULL customer
-    assert out[1] == ("Referential Integrity Audit", 1, 0, 0)   # C9, counted once
-    # 0.0 is a bad amount, NULL and NaN are not; ids seen twice: NULL, E2, E3
-    assert out[2] == ("Business Rule Audit", 1, 3, 0)
+def test_sound_tables_give_zeros(spark):
+    ids = [f"k{i}" for i in range(20)]
+    out = audit(_customers(spark, ids), _events(spark, [(f"ev{i}", c) for i, c in enumerate(ids)]),
+                _txns(spark, [(f"t{i}", c, 0.01 + i, "Completed") for i, c in enumerate(ids)]))
+    assert [tuple(r)[1:] for r in out.collect()] == [(0, 0, 0)] * 3
 
 
-def test_kpis(spark, defects):
-    customers, events, txns = defects
-    txns = txns.unionByName(_txns(spark, [("T3", "C2", 7.5, "Refunded")]))
-    row = kpis(customers, events, txns).collect()[0]
-    assert row.asDict() == {"total_customers": 2, "total_events": 4, "total_orders": 2,
-                            "total_revenue": 5.0}
+def test_kpis(spark, shop):
+    customers, events, _ = shop
+    txns = _txns(spark, [("t1", "k1", 12.5, "Completed"), ("t2", "k1", 0.75, "Completed"),
+                         ("t3", "k2", 80.0, "Refunded")])
+    assert kpis(customers, events, txns).collect()[0].asDict() == {
+        "total_customers": 3, "total_events": 10, "total_orders": 2, "total_revenue": 13.25}
 
 
 def test_event_mix_most_frequent_first(spark):
-    events = _events(spark, [("E1", "C1"), ("E2", "C1")]).unionByName(
-        _events(spark, [("E3", "C1")], "purchase"))
+    events = _events(spark, [("m1", "k1"), ("m2", "k1")]).unionByName(
+        _events(spark, [("m3", "k2")], "purchase"))
     assert [tuple(r) for r in event_mix(events).collect()] == [("page_view", 2), ("purchase", 1)]
 
 
-def test_audit_reads_each_table_in_few_passes(defects):
-    from tidemark.plans.inspect import plan_text
-    text = plan_text(audit(*defects))
+def test_audit_reads_each_table_in_few_passes(shop):
+    text = plan_text(audit(*shop))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert "LeftAnti" in text

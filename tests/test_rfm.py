@@ -1,129 +1,173 @@
-"""RFM scoring and the distributed global NTILE."""
+"""RFM scoring, money sums and the distributed NTILEs."""
 
+import math
 import random
-from datetime import datetime, timedelta
+
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import TXN_SCHEMA
-from tidemark.operators import global_ntile, ntile_of_rank, rfm_base, rfm_customers, rfm_segments
+from conftest import TXN_SCHEMA, at
+from tidemark.operators import (
+    global_ntile,
+    kpis,
+    ntile_columns,
+    ntile_of_rank,
+    rfm_base,
+    rfm_customers,
+    rfm_label,
+    rfm_scores,
+    rfm_segments,
+)
 from tidemark.plans.inspect import plan_text
 
 
 def _txns(spark, rows):
-    return spark.createDataFrame(rows, TXN_SCHEMA)
+    """(customer, day or None, amount, status) rows."""
+    return spark.createDataFrame(
+        [(f"x{i}", c, d and at("10:30", d), a, "Cash", s) for i, (c, d, a, s) in enumerate(rows)],
+        TXN_SCHEMA)
 
 
-def _txn(i, cust, when, amount, status="Completed"):
-    return (f"T{i:04d}", cust, when, amount, "Credit Card", status)
+def _paid(customer, last_day, amount, times=1):
+    return [(customer, last_day, amount, "Completed")] * times
 
 
-def _segments(df, **kw):
-    return {r["rfm_segment"]: r for r in rfm_segments(rfm_customers(df, **kw)).collect()}
+@pytest.fixture(scope="module")
+def bakery(spark):
+    """Six customers: tiles of 2, 2, 1 and 1."""
+    return _txns(spark, _paid("kim", "2024-11-30", 40.0, 5) + _paid("lou", "2024-11-20", 10.5, 3)
+                 + _paid("max", "2024-11-29", 99.99) + _paid("ned", "2024-06-30", 5.25, 4)
+                 + _paid("oda", "2024-05-01", 7.0) + _paid("pam", "2024-11-25", 12.25, 2))
 
 
-@pytest.fixture(scope="module")
-def ranked_txns(spark):
-    rows, n = [], 0
-    for i, cust in enumerate("ABCDEFGH"):
-        for _ in range(8 - i):
-            n += 1
-            rows.append(_txn(n, cust, datetime(2025, 6, 1) - timedelta(days=i), 10.0))
-    return _txns(spark, rows)
-
-
-def test_quartile_segmentation(ranked_txns):                  # FIXTURES 5
-    seg = _segments(ranked_txns)
-    assert seg["Champions"]["customer_count"] == 2
-    assert seg["Champions"]["avg_frequency"] == 7.5
-    assert seg["Champions"]["total_segment_revenue"] == 150.0
-    assert seg["Loyal Customers"]["customer_count"] == 2
-    assert sum(r["customer_count"] for r in seg.values()) == 8
-    assert sum(r["total_segment_revenue"] for r in seg.values()) == 360.0
-
-
-def test_segments_ordered_by_revenue(ranked_txns):
-    out = rfm_segments(rfm_customers(ranked_txns)).collect()
-    revenue = [r["total_segment_revenue"] for r in out]
-    assert revenue == sorted(revenue, reverse=True)
-
-
-def test_distributed_scores_equal_single_task(ranked_txns):
-    small = sorted(tuple(r) for r in rfm_customers(ranked_txns).collect())
-    wide = sorted(tuple(r) for r in rfm_customers(ranked_txns, partitions=3,
-                                                     single_task_rows=0).collect())
-    assert small == wide
-
-
-def test_deterministic_on_heavy_ties(spark):                  # FIXTURES 6
-    rows, n = [], 0
-    for c in range(40):
-        for _ in range(c % 4 + 1):
-            n += 1
-            rows.append(_txn(n, f"C{c:03d}", datetime(2025, 6, 1) - timedelta(days=c % 5),
-                             10.0 * (c % 3 + 1)))
-    df = _txns(spark, rows)
-    runs = [sorted(tuple(r) for r in rfm_segments(rfm_customers(df, **kw)).collect())
-            for kw in ({}, {}, {"partitions": 4, "single_task_rows": 0},
-                       {"partitions": 7, "single_task_rows": 0})]
-    assert all(r == runs[0] for r in runs)
-
-
-def test_only_completed_rows_count(spark):                    # FIXTURES 7, E18
-    df = _txns(spark, [_txn(1, "A", datetime(2025, 6, 1), 100.0),
-                       _txn(2, "A", datetime(2025, 6, 2), 999.0, "Refunded"),
-                       _txn(3, "B", datetime(2025, 6, 2), 500.0, "Failed")])
-    seg = _segments(df)
-    assert sum(r["customer_count"] for r in seg.values()) == 1
-    assert sum(r["total_segment_revenue"] for r in seg.values()) == 100.0
-
-
-def test_recency_to_latest_completed_and_day_boundaries(spark):   # E17, F3
-    df = _txns(spark, [_txn(1, "A", datetime(2025, 6, 1, 23), 1.0),
-                       _txn(2, "B", datetime(2025, 6, 2, 1), 1.0),
-                       _txn(3, "C", datetime(2025, 6, 9), 1.0, "Refunded")])
-    rec = {r["customer_id"]: r["recency_days"] for r in rfm_base(df).collect()}
-    assert rec == {"A": 1, "B": 0}
-
-
-def test_null_customer_takes_a_tile_but_no_count(spark):      # E19
-    df = _txns(spark, [_txn(1, None, datetime(2025, 6, 1), 50.0),
-                       _txn(2, "A", datetime(2025, 6, 1), 10.0)])
-    seg = _segments(df)
-    assert sum(r["customer_count"] for r in seg.values()) == 1
-    assert sum(r["total_segment_revenue"] for r in seg.values()) == 60.0
-
-
-def test_nulls_sort_last_both_ways(spark):                    # E20
-    df = _txns(spark, [_txn(1, "A", datetime(2025, 6, 1), None),
-                       _txn(2, "B", datetime(2025, 6, 1), 5.0),
-                       _txn(3, "C", datetime(2025, 6, 1), 6.0),
-                       _txn(4, "D", datetime(2025, 6, 1), 7.0)])
-    scores = {r["customer_id"]: r["m_score"] for r in rfm_customers(df).collect()}
-    assert scores == {"B": 1, "C": 2, "D": 3, "A": 4}
-
-
-def test_extra_rows_go_to_first_tiles_and_ids_break_ties(spark):   # E21
-    df = _txns(spark, [_txn(i, c, datetime(2025, 6, 1), 10.0) for i, c in enumerate("EDCBA")])
-    scores = {r["customer_id"]: r["f_score"] for r in rfm_customers(df).collect()}
-    assert scores == {"A": 1, "B": 1, "C": 2, "D": 3, "E": 4}
-
-
-def test_labels_follow_rule_order(spark):                     # E22
-    from tidemark.operators import rfm_label
-    cases = [(4, 4, 4, "Champions"), (4, 4, 1, "Loyal Customers"), (3, 2, 4, "Promising / Recent"),
-             (2, 3, 1, "At Risk"), (2, 2, 4, "Needs Attention / Churned")]
-    df = spark.createDataFrame([(r, f, m) for r, f, m, _ in cases],
-                               "r_score long, f_score long, m_score long")
-    got = [(r["r_score"], r["f_score"], r["m_score"], r["rfm_segment"]) for r in rfm_label(df).collect()]
-    assert got == cases
-
-
-def test_money_is_summed_exactly(spark):
-    df = _txns(spark, [_txn(i, "A", datetime(2025, 6, 1), 0.1) for i in range(10)])
-    assert rfm_base(df).collect()[0]["monetary"] == 1.0
+def test_scores_and_labels_of_each_customer(bakery):          # E17, E21, E22
+    got = {r["customer_id"]: tuple(r)[1:] for r in rfm_customers(bakery).collect()}
+    assert got == {
+        "kim": (0, 5, 200.0, 4, 4, 4, 12, "Champions"),
+        "lou": (10, 3, 31.5, 2, 2, 2, 6, "Needs Attention / Churned"),
+        "max": (1, 1, 99.99, 3, 1, 3, 7, "Promising / Recent"),
+        "ned": (153, 4, 21.0, 1, 3, 1, 5, "At Risk"),
+        "oda": (213, 1, 7.0, 1, 1, 1, 3, "Needs Attention / Churned"),
+        "pam": (5, 2, 24.5, 2, 2, 2, 6, "Needs Attention / Churned")}
+
+
+def test_segment_summary_by_revenue(bakery):
+    assert [tuple(r) for r in rfm_segments(rfm_customers(bakery)).collect()] == [
+        ("Champions", 1, 0.0, 5.0, 200.0, 200.0),
+        ("Promising / Recent", 1, 1.0, 1.0, 99.99, 99.99),
+        ("Needs Attention / Churned", 3, 76.0, 2.0, 21.0, 63.0),
+        ("At Risk", 1, 153.0, 4.0, 21.0, 21.0)]
+
+
+def test_reruns_and_partitionings_agree_on_ties(spark):
+    rnd = random.Random(23)
+    df = _txns(spark, [row for c in range(90) for row in _paid(
+        f"c{c}", rnd.choice(["2024-03-01", "2024-03-02"]), rnd.choice([2.5, 5.0]), rnd.randint(1, 2))])
+    runs = [sorted(tuple(r) for r in rfm_customers(df.repartition(p), partitions=p).collect())
+            for p in (1, 3, 3, 11)]
+    assert runs[1:] == runs[:1] * 3
+
+
+def test_scores_move_no_customer_row(spark, bakery):
+    scored = rfm_scores(rfm_base(bakery))
+    text = plan_text(scored)
+    assert "Exchange" not in text and "Window" not in text and "SinglePartition" not in text
+
+
+def test_status_decides_which_rows_count(spark):              # E18
+    df = _txns(spark, [("ria", "2024-04-01", 30.0, "Completed"), ("ria", "2024-04-09", 70.0, "Failed"),
+                       ("sam", "2024-04-08", 15.0, "Refunded")])
+    assert [tuple(r) for r in rfm_base(df).collect()] == [("ria", 0, 1, 30.0)]
+
+
+def test_recency_counts_calendar_days(spark):                 # E17, F3
+    rows = [("x1", "tom", at("23:50", "2024-04-01"), 1.0, "Cash", "Completed"),
+            ("x2", "uma", at("00:10", "2024-04-02"), 1.0, "Cash", "Completed")]
+    df = spark.createDataFrame(rows, TXN_SCHEMA)
+    assert {r["customer_id"]: r["recency_days"] for r in rfm_base(df).collect()} == {"tom": 1, "uma": 0}
+
+
+def test_null_customer_is_ranked_but_not_counted(spark):      # E19
+    df = _txns(spark, _paid(None, "2024-04-02", 9.0) + _paid("vic", "2024-04-02", 4.0))
+    out = rfm_segments(rfm_customers(df)).collect()
+    assert sum(r["customer_count"] for r in out) == 1
+    assert sum(r["total_segment_revenue"] for r in out) == 13.0
+
+
+def test_missing_money_and_time_rank_last(spark):             # E20
+    df = _txns(spark, _paid("a", "2024-04-02", None) + _paid("b", None, 1.0)
+               + _paid("c", "2024-04-03", 2.0) + _paid("d", "2024-04-04", 3.0))
+    got = {r["customer_id"]: (r["r_score"], r["m_score"]) for r in rfm_customers(df).collect()}
+    assert got == {"a": (1, 4), "b": (4, 1), "c": (2, 2), "d": (3, 3)}
+
+
+def test_label_rules(spark):                                  # E22
+    scores = [(r, f, m) for r in (1, 2, 3, 4) for f in (1, 2, 3, 4) for m in (1, 4)]
+    df = spark.createDataFrame(scores, "r_score long, f_score long, m_score long")
+    for row in rfm_label(df).collect():
+        r, f, m = row["r_score"], row["f_score"], row["m_score"]
+        if r + f + m == 12:
+            want = "Champions"
+        elif r > 2:
+            want = "Loyal Customers" if f > 2 else "Promising / Recent"
+        else:
+            want = "At Risk" if f > 2 else "Needs Attention / Churned"
+        assert row["rfm_segment"] == want and row["total_rfm_score"] == r + f + m
+
+
+# ------------------------------------------------------------ money
+
+def _money(spark, amounts):
+    df = _txns(spark, [row for a in amounts for row in _paid("w", "2024-04-02", a)])
+    return rfm_base(df).collect()[0]["monetary"], kpis(
+        spark.createDataFrame([("w",)], "customer_id string"), df, df).collect()[0]["total_revenue"]
+
+
+def test_cents_are_summed_exactly(spark):
+    assert _money(spark, [0.1] * 10) == (1.0, 1.0)
+
+
+def test_sub_cent_amounts_are_not_rounded_away(spark):
+    assert _money(spark, [0.004, 0.004]) == (0.008, 0.01)
+
+
+def test_widened_float32_amounts_keep_their_plain_sum(spark):
+    import numpy as np
+    amounts = [float(np.float32(19.99)), float(np.float32(0.3))]
+    assert _money(spark, amounts)[0] == sum(amounts)
+
+
+def test_nan_and_infinity_sum_as_doubles_do(spark):
+    assert all(math.isnan(v) for v in _money(spark, [float("nan"), 5.0]))
+    assert _money(spark, [float("inf"), 5.0])[0] == math.inf
+    assert _money(spark, [None, None]) == (None, None)
+
+
+def test_decimal_amounts_and_huge_ones(spark):
+    df = _txns(spark, _paid("w", "2024-04-02", 1.125) + _paid("w", "2024-04-02", 2.5))
+    dec = df.withColumn("amount", F.col("amount").cast("decimal(10,3)"))
+    assert rfm_base(dec).collect()[0]["monetary"] == 3.625
+    assert _money(spark, [1e36, 1e40])[0] == 1e36 + 1e40
+
+
+# ------------------------------------------------------------ NTILEs over several keys
+
+@pytest.mark.parametrize("size", [0, 1, 3, 4, 6, 257])
+def test_ntile_columns_equal_window_ntiles(spark, size):
+    rnd = random.Random(size)
+    rows = [(None if i == 2 else f"id{i}", rnd.choice([None, 0, 1, 1, 2]),
+             rnd.choice([None, float("nan"), -1.5, 0.0, 7.25])) for i in range(size)]
+    df = spark.createDataFrame(rows, "id string, a long, b double")
+    tie = F.col("id").asc_nulls_last()
+    expected = df.withColumns({
+        "ta": F.ntile(4).over(Window.orderBy(F.col("a").desc_nulls_last(), tie)).cast("long"),
+        "tb": F.ntile(4).over(Window.orderBy(F.col("b").asc_nulls_last(), tie)).cast("long")})
+    got = ntile_columns(df, "id", {"ta": -F.col("a"), "tb": F.col("b")}, 4, partitions=5)
+    key = lambda r: str(r["id"])
+    assert [(r["id"], r["ta"], r["tb"]) for r in sorted(got.collect(), key=key)] == \
+        [(r["id"], r["ta"], r["tb"]) for r in sorted(expected.collect(), key=key)]
 
 
 # ------------------------------------------------------------ global NTILE
@@ -138,14 +182,14 @@ def test_global_ntile_equals_window_ntile(spark, n):
     expected = {r["id"]: r["t"] for r in
                 df.withColumn("t", F.ntile(n).over(Window.orderBy(*order))).collect()}
     got = {r["id"]: r["t"] for r in
-           global_ntile(df, order, n, "t", partitions=6, single_task_rows=None).collect()}
+           global_ntile(df, order, n, "t", partitions=6).collect()}
     assert got == expected
 
 
 def test_global_ntile_fewer_rows_than_tiles(spark):
     df = spark.createDataFrame([(i,) for i in range(3)], "id long")
     got = sorted((r["id"], r["t"]) for r in
-                 global_ntile(df, [F.col("id")], 4, "t", partitions=2, single_task_rows=None).collect())
+                 global_ntile(df, [F.col("id")], 4, "t", partitions=2).collect())
     assert got == [(0, 1), (1, 2), (2, 3)]
 
 
@@ -163,17 +207,7 @@ def test_ntile_formula_matches_definition(spark):
 
 def test_distributed_ntile_plan_has_no_single_partition_sort(spark):
     df = spark.range(0, 1000).withColumn("v", F.col("id") % 7)
-    out = global_ntile(df, [F.col("v"), F.col("id")], 4, "t", partitions=4, single_task_rows=None)
+    out = global_ntile(df, [F.col("v"), F.col("id")], 4, "t", partitions=4)
     text = plan_text(out)
     assert "SinglePartition" not in text
     assert sorted(r["t"] for r in out.collect()).count(1) == 250
-
-
-def test_non_finite_and_decimal_amounts(spark):
-    df = _txns(spark, [_txn(1, "A", datetime(2025, 6, 1), float("nan")),
-                       _txn(2, "A", datetime(2025, 6, 1), 2.5),
-                       _txn(3, "B", datetime(2025, 6, 1), 1.25)])
-    money = {r["customer_id"]: r["monetary"] for r in rfm_base(df).collect()}
-    assert money == {"A": 2.5, "B": 1.25}          # NaN is skipped, not a failed job
-    dec = df.withColumn("amount", F.col("amount").try_cast("decimal(10,3)"))
-    assert {r["customer_id"]: r["monetary"] for r in rfm_base(dec).collect()} == money

@@ -11,7 +11,7 @@ from tidemark.operators.funnel import (
     funnel_segment,
     funnel_unordered,
 )
-from tidemark.operators.ntile import global_ntile, ntile_of_rank
+from tidemark.operators.ntile import global_ntile, ntile_columns, ntile_of_rank
 from tidemark.operators.overview import event_mix, kpis
 from tidemark.operators.quality import audit, business_rule_audit, null_key_audit, orphan_audit
 from tidemark.operators.rfm import rfm_base, rfm_customers, rfm_label, rfm_scores, rfm_segments
@@ -20,6 +20,6 @@ __all__ = [
     "DEFAULT_STAGES", "audit", "business_rule_audit", "cohort_counts", "cohort_matrix",
     "cohort_matrix_freq", "cohort_retention", "densify_stages", "event_mix", "funnel_all",
     "funnel_by_segment", "funnel_rates", "funnel_reach", "funnel_segment", "funnel_unordered",
-    "global_ntile", "kpis", "ntile_of_rank", "null_key_audit", "orphan_audit", "rfm_base",
+    "global_ntile", "kpis", "ntile_columns", "ntile_of_rank", "null_key_audit", "orphan_audit", "rfm_base",
     "rfm_customers", "rfm_label", "rfm_scores", "rfm_segments",
 ]

@@ -27,20 +27,19 @@ and the counts are distinct (segment, stage, user) over qualifying events.
 
 * One scan reads every stage event (five columns, one pushed ``IN`` filter)
   and one shuffle by session feeds a chain of ``min`` windows, one per
-  threshold. No join, no fan-out; the events table is read once, not once
-  per stage.
+  threshold: no join, no fan-out, no pass per stage.
 * Hot sessions (a bot may hold a third of all events) would make one window
-  task hold all of it. For inputs that Catalyst estimates above
-  ``skew_check_bytes``, one counting job lists sessions with more than
-  ``hot_session_rows`` stage events (largest first, at most
-  ``MAX_HOT_SESSIONS``). Those take a join path instead: per stage, a join
-  to the previous thresholds, which have at most one row per hot session and
-  are therefore broadcast with a proven bound, so hot rows are never
-  shuffled and never gathered in one task. The hot rows are checkpointed
-  once, so the per-stage passes read them, not the whole events table.
-  Every other session's window group is bounded by ``hot_session_rows``;
-  sessions beyond the list cap still get the exact window path. Below ``skew_check_bytes`` the whole input is small
-  enough for one task, so no count runs.
+  task hold all of it. So one pass over (session) alone counts each session's
+  stage events, map-side combined, and keeps the sessions with more than
+  ``hot_session_rows`` as a table: at most stage rows / ``hot_session_rows``
+  of them. Their rows leave by a semi join and take a join path: per stage, a
+  join to the previous thresholds, which hold one row per hot session. That
+  list and the thresholds are broadcast while the counted list has at most
+  ``BROADCAST_SESSIONS`` rows; beyond it the joins are plain and adaptive
+  execution splits the skewed side. The hot rows are checkpointed once, so
+  that the passes per stage read them and not the whole events table. Every
+  other session's window group is bounded by ``hot_session_rows``. Where the
+  count finds no hot session there is no join at all.
 * A NULL session (often the largest "group") never enters a window: it
   counts at stage 1 only, as in the reference. Those rows come from a second
   scan whose ``session IS NULL`` and ``event_type = <stage 1>`` filters reach
@@ -87,31 +86,17 @@ def _stage_name(order_col, stages: Sequence[str]):
 # A session is "hot" when it holds more stage events than one window task
 # should hold on its own.
 HOT_SESSION_ROWS = 1_000_000
-# At most this many hot sessions take the broadcast-join path (largest first);
-# any others take the window path, which is exact too: the cap bounds the
-# broadcast, not the result.
-MAX_HOT_SESSIONS = 10_000
-# The hot-session count runs only when Catalyst estimates the events input
-# above this size: below it, even a single task holding every event stays small.
-SKEW_CHECK_BYTES = 256 * 1024 * 1024
+# Hot-session tables of up to this many rows (some 20 MB of ids) are broadcast.
+BROADCAST_SESSIONS = 200_000
 
 
-def _estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate; unknown (e.g. no JVM handle) counts as large."""
-    try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    except Exception:  # noqa: BLE001 - any failure: be safe and run the check
-        return 1 << 62
-    return int(size if isinstance(size, int) else size.toString())
-
-
-def _hot_sessions(rows: DataFrame, floor: int, limit: int) -> list:
-    """Sessions with more than ``floor`` stage events, largest first, at most
-    ``limit`` of them (a bounded list, collected)."""
-    per_session = (rows.where(F.col("_s").isNotNull())
-                   .groupBy("_s").agg(F.count(F.lit(1)).alias("_n")))
-    hot = per_session.where(F.col("_n") > F.lit(floor)).orderBy(F.col("_n").desc()).limit(limit)
-    return [r["_s"] for r in hot.collect()]
+def _hot_sessions(rows: DataFrame, floor: int) -> tuple[DataFrame, int]:
+    """(_s) of the sessions with more than ``floor`` stage events, checkpointed
+    (the split reads it twice), and how many they are."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    hot = (rows.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"))
+           .where(F.col("_n") > F.lit(floor)).select("_s").checkpoint(eager=True))
+    return hot, hot.count()
 
 
 def _windowed_reach(rows: DataFrame, n_stages: int) -> DataFrame:
@@ -130,16 +115,15 @@ def _windowed_reach(rows: DataFrame, n_stages: int) -> DataFrame:
     return rows.where(reached).select("_d", "stage_order", "_u")
 
 
-def _joined_reach(rows: DataFrame, n_stages: int) -> DataFrame:
+def _joined_reach(rows: DataFrame, n_stages: int, small) -> DataFrame:
     """Reached stage rows of hot sessions: per stage, a join to the previous
-    stage's one-row-per-session thresholds. There are at most
-    ``MAX_HOT_SESSIONS`` such sessions, so each threshold table has a proven
-    bound and is broadcast: the hot rows themselves are never shuffled."""
+    stage's thresholds, one row per hot session (``small`` broadcasts a table
+    of that many rows where the count allows it)."""
     reached, threshold = [], None
     for k in range(1, n_stages + 1):
         stage_rows = rows.where(F.col("stage_order") == k)
         if threshold is not None:
-            stage_rows = (stage_rows.join(F.broadcast(threshold), "_s")
+            stage_rows = (stage_rows.join(small(threshold), "_s")
                           .where(F.col("_t") >= F.col("_prev")))
         reached.append(stage_rows.select("_d", "stage_order", "_u"))
         if k < n_stages:
@@ -151,43 +135,40 @@ def _joined_reach(rows: DataFrame, n_stages: int) -> DataFrame:
 
 
 def _stage_users(events: DataFrame, stages: Sequence[str], session: str, user: str,
-                 segment: str, ts: str, event_type: str, hot_session_rows: int | None,
-                 skew_check_bytes: int) -> DataFrame:
+                 segment: str, ts: str, event_type: str,
+                 hot_session_rows: int | None) -> DataFrame:
     """(_d, stage_order, _u) for every event that reached its stage.
 
     Stage 1: every stage-1 event. Stage k: stage-k events of a session at or
     after that session's threshold ``T(k-1)`` = earliest qualifying stage k-1
-    time. One scan reads all stage events (one pushed ``IN`` filter).
-    NULL sessions count at stage 1 only; sessions with more than
-    ``hot_session_rows`` stage events take the broadcast-join path, the
-    others a window per session (``hot_session_rows=None`` turns the check
-    off; it runs only for inputs estimated above ``skew_check_bytes``).
+    time. NULL sessions count at stage 1 only; sessions with more than
+    ``hot_session_rows`` stage events take the join path, the others a window
+    per session (``hot_session_rows=None``, for tables known to have no such
+    session, saves the count).
     """
     require_columns(events, session, user, segment, ts, event_type)
-    rows = (events.where(F.col(event_type).isin(list(stages)))
-            .select(F.col(session).alias("_s"), F.col(user).alias("_u"),
-                    F.col(segment).alias("_d"), F.col(ts).alias("_t"),
-                    stage_index(F.col(event_type), stages).alias("stage_order")))
-    hot = []
-    if hot_session_rows is not None and len(stages) > 1 \
-            and _estimated_bytes(rows) > skew_check_bytes:
-        hot = _hot_sessions(rows, hot_session_rows, MAX_HOT_SESSIONS)
+    keyed = (events.where(F.col(event_type).isin(list(stages)) & F.col(session).isNotNull())
+             .select(F.col(session).alias("_s"), F.col(user).alias("_u"),
+                     F.col(segment).alias("_d"), F.col(ts).alias("_t"),
+                     stage_index(F.col(event_type), stages).alias("stage_order")))
     # NULL sessions count at stage 1 only. Their own scan pushes
     # ``session IS NULL`` and ``event_type = <stage 1>`` to Parquet, so row
     # groups without NULL sessions are skipped on their statistics.
     no_session = (events.where(F.col(session).isNull() & (F.col(event_type) == F.lit(stages[0])))
                   .select(F.col(segment).alias("_d"), F.lit(1).alias("stage_order"),
                           F.col(user).alias("_u")))
-    keyed = rows.where(F.col("_s").isNotNull())
-    if not hot:
+    if hot_session_rows is None or len(stages) == 1:      # one stage: no window
+        return _windowed_reach(keyed, len(stages)).unionByName(no_session)
+    hot, n_hot = _hot_sessions(keyed, hot_session_rows)
+    if n_hot == 0:
         return _windowed_reach(keyed, len(stages)).unionByName(no_session)
-    is_hot = F.col("_s").isin(hot)
-    # The join path reads the hot rows once per stage: materialize them once
-    # (reliable checkpoint) instead of scanning the events table per stage.
-    ensure_checkpoint_dir(events.sparkSession)
-    hot_rows = keyed.where(is_hot).checkpoint(eager=True)
-    return (_windowed_reach(keyed.where(~is_hot), len(stages))
-            .unionByName(_joined_reach(hot_rows, len(stages)))
+
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if n_hot <= BROADCAST_SESSIONS else df
+
+    hot_rows = keyed.join(small(hot), "_s", "left_semi").checkpoint(eager=True)
+    return (_windowed_reach(keyed.join(small(hot), "_s", "left_anti"), len(stages))
+            .unionByName(_joined_reach(hot_rows, len(stages), small))
             .unionByName(no_session))
 
 
@@ -195,8 +176,7 @@ def funnel_reach(events: DataFrame, stages: Sequence[str] = DEFAULT_STAGES, *,
                  session: str = "session_id", user: str = "customer_id",
                  segment: str = "device", ts: str = "timestamp",
                  event_type: str = "event_type",
-                 hot_session_rows: int | None = HOT_SESSION_ROWS,
-                 skew_check_bytes: int = SKEW_CHECK_BYTES) -> DataFrame:
+                 hot_session_rows: int | None = HOT_SESSION_ROWS) -> DataFrame:
     """Distinct users per (segment, stage) in an ordered session funnel.
 
     Returns ``segment, stage_order, funnel_stage, unique_users`` with a row
@@ -207,7 +187,7 @@ def funnel_reach(events: DataFrame, stages: Sequence[str] = DEFAULT_STAGES, *,
     """
     stages = _check_stages(stages)
     counts = (_stage_users(events, stages, session, user, segment, ts, event_type,
-                           hot_session_rows, skew_check_bytes)
+                           hot_session_rows)
               .groupBy("_d", "stage_order")
               .agg(F.count_distinct("_u").alias("unique_users")))
     return counts.select(
@@ -280,8 +260,7 @@ def funnel_by_segment(events: DataFrame, stages: Sequence[str] = DEFAULT_STAGES,
                       session: str = "session_id", user: str = "customer_id",
                       segment: str = "device", ts: str = "timestamp",
                       event_type: str = "event_type", ordered: bool = True,
-                      hot_session_rows: int | None = HOT_SESSION_ROWS,
-                      skew_check_bytes: int = SKEW_CHECK_BYTES) -> DataFrame:
+                      hot_session_rows: int | None = HOT_SESSION_ROWS) -> DataFrame:
     """The reference's funnel report: for every segment seen in any event (not
     only stage events), every stage with unique_users and the three rates;
     ordered by segment, stage.
@@ -293,7 +272,7 @@ def funnel_by_segment(events: DataFrame, stages: Sequence[str] = DEFAULT_STAGES,
     """
     stages = _check_stages(stages)
     reached = _stage_users(events, stages, session, user, segment, ts, event_type,
-                           hot_session_rows, skew_check_bytes)
+                           hot_session_rows)
     every_segment = events.select(F.col(segment).alias("_d"), F.lit(0).alias("stage_order"),
                                   F.lit(None).cast(reached.schema["_u"].dataType).alias("_u"))
     distinct = reached.unionByName(every_segment).distinct()
@@ -344,21 +323,27 @@ def funnel_unordered(df: DataFrame, stage_col: str, user_col: str,
     """Distinct users per stage with conversion rates; no session or time rule.
 
     Returns ``stage, users, overall_conversion, step_conversion, dropoff_rate``
-    in stage order. The top divisor is the first stage's users, or 1 when that
-    is 0; the first stage's previous is itself; a zero previous gives NULL.
-    Rates are pandas-rounded (half to even).
+    in stage order, one row per entry of ``stage_order`` (a repeated stage has
+    its users on each of its rows). The top divisor is the first stage's users,
+    or 1 when that is 0; the first stage's previous is itself; a zero previous
+    gives NULL. Rates are pandas-rounded (half to even).
     """
-    stages = _check_stages(stage_order)
+    listed_stages = list(stage_order)
+    stages = _check_stages(list(dict.fromkeys(listed_stages)))
     require_columns(df, stage_col, user_col)
     spark = df.sparkSession
     idx = stage_index(F.col(stage_col), stages)
     counts = (df.where(F.col(stage_col).isin(stages))
               .select(idx.alias("_k"), F.col(user_col).alias("_u"))
               .groupBy("_k").agg(F.count_distinct("_u").alias("users")))
-    # The stage list itself is the inline relation that makes empty stages 0.
-    listed = spark.createDataFrame([(i, 0) for i in range(1, len(stages) + 1)],
-                                   "_k int, users long")
-    per_stage = listed.unionByName(counts).groupBy("_k").agg(F.sum("users").alias("users"))
+    # The stage list itself is the inline relation that makes empty stages 0:
+    # one row per entry, with the index its stage is counted under.
+    listed = spark.createDataFrame(
+        [(i, stages.index(s) + 1) for i, s in enumerate(listed_stages, start=1)],
+        "_place int, _k int")
+    per_stage = (listed.join(F.broadcast(counts), "_k", "left")   # one row per distinct stage
+                 .select(F.col("_place").alias("_k"),
+                         F.coalesce("users", F.lit(0)).cast("long").alias("users")))
     w = Window.orderBy("_k")
     users = F.col("users")
     first = F.first(users).over(w)
@@ -369,5 +354,5 @@ def funnel_unordered(df: DataFrame, stage_col: str, user_col: str,
             .withColumn("step_conversion", round_even(ratio_pct(users, prev), 2))
             .withColumn("dropoff_rate", round_even(F.lit(100.0) - F.col("step_conversion"), 2))
             .transform(lambda df: sort_bounded(df, "_k"))                  # one row per stage
-            .select(_stage_name(F.col("_k"), stages).alias("stage"), "users",
+            .select(_stage_name(F.col("_k"), listed_stages).alias("stage"), "users",
                     "overall_conversion", "step_conversion", "dropoff_rate"))
