@@ -129,7 +129,8 @@ def q_cohort_retention(spark, d):
 
 # Columns of the matrices: every offset of the check tables' calendar (orders
 # 1995-01 to 2001-08, events 30 days). An offset outside the list raises.
-OFFSETS = {"D": range(30), "W": range(5), "M": range(80), "Q": range(27), "Y": range(7)}
+OFFSETS = {"D": range(30), "W": range(5), "M": range(80), "Q": range(27), "Y": range(7),
+           "W-SAT": range(5), "Q-APR": range(28), "Y-JUN": range(8)}
 
 
 def q_cohort_matrix(spark, d):
@@ -149,11 +150,11 @@ def _cohort_freq(source: str, freq: str):
     return run
 
 
-def _cohort_counts(freq: str):
-    """The long form on orders."""
+def _cohort_counts(source: str, freq: str):
+    """The long form."""
     def run(spark, d):
         _prepare(spark)
-        return cohort_counts(read_table(spark, d, "orders"), *_FREQ_SOURCES["orders"], freq)
+        return cohort_counts(read_table(spark, d, source), *_FREQ_SOURCES[source], freq)
     return run
 
 
@@ -256,8 +257,12 @@ def reference_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cohort_freq_month": _cohort_freq("orders", "M"),
         "cohort_freq_quarter": _cohort_freq("orders", "Q"),
         "cohort_freq_year": _cohort_freq("orders", "Y"),
-        "cohort_counts_day": _cohort_counts("D"),
-        "cohort_counts_week": _cohort_counts("W"),
+        "cohort_freq_week_sat": _cohort_freq("events", "W-SAT"),
+        "cohort_freq_quarter_apr": _cohort_freq("orders", "Q-APR"),
+        "cohort_freq_year_jun": _cohort_freq("orders", "Y-JUN"),
+        "cohort_counts_hour": _cohort_counts("events", "H"),
+        "cohort_counts_day": _cohort_counts("orders", "D"),
+        "cohort_counts_week": _cohort_counts("orders", "W"),
         "rfm_base": q_rfm_base,
         "rfm_scores": q_rfm_scores,
         "global_ntile": q_global_ntile,
@@ -366,6 +371,17 @@ _PERIOD_SQL = {
           "CAST(year({c}) AS VARCHAR) || 'Q' || CAST(quarter({c}) AS VARCHAR)"),
     "Y": ("CAST(DATE_TRUNC('year', {c}) AS DATE)", "DATEDIFF('year', {a}, {b})",
           "CAST(year({c}) AS VARCHAR)"),
+    "H": ("DATE_TRUNC('hour', {c})", "DATEDIFF('hour', {a}, {b})", "strftime({c}, '%Y-%m-%d %H:%M')"),
+    # Weeks of Sunday to Saturday; quarters of years that end in April; years that end in June.
+    "W-SAT": ("CAST(DATE_TRUNC('week', {c} + INTERVAL 1 DAY) - INTERVAL 1 DAY AS DATE)",
+              "DATEDIFF('day', {a}, {b}) // 7",
+              "strftime({c}, '%Y-%m-%d') || '/' || strftime({c} + INTERVAL 6 DAY, '%Y-%m-%d')"),
+    "Q-APR": ("CAST(DATE_TRUNC('quarter', DATE_TRUNC('month', {c}) - INTERVAL 1 MONTH) + INTERVAL 1 MONTH AS DATE)",
+              "DATEDIFF('month', {a}, {b}) // 3",
+              "CAST(year({c} + INTERVAL 8 MONTH) AS VARCHAR) || 'Q' || "
+              "CAST(quarter({c} + INTERVAL 8 MONTH) AS VARCHAR)"),
+    "Y-JUN": ("CAST(DATE_TRUNC('year', DATE_TRUNC('month', {c}) + INTERVAL 6 MONTH) - INTERVAL 6 MONTH AS DATE)",
+              "DATEDIFF('month', {a}, {b}) // 12", "CAST(year({c} + INTERVAL 6 MONTH) AS VARCHAR)"),
 }
 
 
@@ -494,6 +510,11 @@ def reference_oracles() -> dict[str, str]:
         "cohort_freq_month": _cohort_freq_sql("orders", "o_custkey", "o_orderdate", "M"),
         "cohort_freq_quarter": _cohort_freq_sql("orders", "o_custkey", "o_orderdate", "Q"),
         "cohort_freq_year": _cohort_freq_sql("orders", "o_custkey", "o_orderdate", "Y"),
+        "cohort_freq_week_sat": _cohort_freq_sql("events", "user_id", "ts", "W-SAT"),
+        "cohort_freq_quarter_apr": _cohort_freq_sql("orders", "o_custkey", "o_orderdate", "Q-APR"),
+        "cohort_freq_year_jun": _cohort_freq_sql("orders", "o_custkey", "o_orderdate", "Y-JUN"),
+        "cohort_counts_hour": f"""WITH {_cohort_long_ctes("events", "user_id", "ts", "H")}
+            SELECT * FROM long""",
         "cohort_counts_day": f"""WITH {_cohort_long_ctes("orders", "o_custkey", "o_orderdate", "D")}
             SELECT * FROM long""",
         "cohort_counts_week": f"""WITH {_cohort_long_ctes("orders", "o_custkey", "o_orderdate", "W")}

@@ -4,87 +4,89 @@ import random
 from datetime import date, datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from conftest import EVENT_SCHEMA, event
-from tidemark.operators import cohort_matrix, cohort_matrix_freq, cohort_retention
+from conftest import EVENT_SCHEMA, at, event
+from tidemark.operators import cohort_counts, cohort_matrix, cohort_matrix_freq, cohort_retention
+from tidemark.functions.periods import period_index, period_label, period_start
 
+# Active days of each reader; "" is an event without a time.
+READERS = {"flo": "2023-10-31 2023-11-01 2024-01-09 2024-01-30", "gus": "2023-10-02 2024-01-31",
+           "hal": "2023-10-15", "ivy": "2023-12-24 2024-01-01 2024-02-29", "jon": "2023-12-31 2024-02-01"}
 
-def _events(spark, pairs):
+
+@pytest.fixture(scope="module")
+def reading(spark):
+    days = [(user, day) for user, text in READERS.items() for day in text.split()]
     return spark.createDataFrame(
-        [event(f"E{i}", cust, f"S{i}", when, "page_view") for i, (cust, when) in enumerate(pairs)],
+        [event(f"r{n}", user, f"s{n}", at("21:15", day), "page_view") for n, (user, day) in enumerate(days)],
         EVENT_SCHEMA)
 
 
-@pytest.fixture(scope="module")
-def cohort_events(spark):
-    return _events(spark, [("C1", datetime(2025, 1, 15)), ("C1", datetime(2025, 2, 15)),
-                           ("C1", datetime(2025, 3, 15)), ("C2", datetime(2025, 1, 20)),
-                           ("C2", datetime(2025, 3, 20)), ("C3", datetime(2025, 2, 10))])
-
-
-def test_cohort_retention_long_form(cohort_events):          # FIXTURES 4
-    out = cohort_retention(cohort_events).collect()
-    m = {(r["cohort_month"].strftime("%Y-%m"), r["period_offset"]): r for r in out}
-    assert m[("2025-01", 0)]["initial_cohort_size"] == 2
-    assert [m[("2025-01", k)]["active_users"] for k in (0, 1, 2)] == [2, 1, 2]
-    assert [m[("2025-01", k)]["retention_rate_pct"] for k in (0, 1, 2)] == [100.0, 50.0, 100.0]
-    assert m[("2025-02", 0)]["initial_cohort_size"] == 1
-    assert ("2025-02", 1) not in m                           # E14: sparse
-    assert [(r["cohort_month"].month, r["period_offset"]) for r in out] == \
-        [(1, 0), (1, 1), (1, 2), (2, 0)]                      # ordered
-
-
-def test_cohort_month_types(cohort_events):
-    schema = {f.name: f.dataType.simpleString() for f in cohort_retention(cohort_events).schema}
-    assert schema == {"cohort_month": "timestamp_ntz", "initial_cohort_size": "bigint",
-                      "period_offset": "bigint", "active_users": "bigint",
-                      "retention_rate_pct": "double"}
-
-
-def test_cohort_is_first_event_of_any_type_and_nulls(spark):  # E13, E15, E16
-    rows = [event("A", "U1", "S", datetime(2025, 1, 5), "purchase"),
-            event("B", "U1", "S", datetime(2025, 2, 5), "page_view"),
-            event("C", "U1", "S", None, "page_view"),
-            event("D", "U2", "S", None, "page_view"),
-            event("E", None, "S", datetime(2024, 12, 5), "page_view")]
+def test_every_row_of_the_readers(reading):                   # E14: months without activity have none
+    out = cohort_retention(reading)
+    assert [f.dataType.simpleString() for f in out.schema] == \
+        ["timestamp_ntz", "bigint", "bigint", "bigint", "double"]
+    assert [(r["cohort_month"].strftime("%Y-%m"), *tuple(r)[1:]) for r in out.collect()] == [
+        ("2023-10", 3, 0, 3, 100.0), ("2023-10", 3, 1, 1, 33.33), ("2023-10", 3, 3, 2, 66.67),
+        ("2023-12", 2, 0, 2, 100.0), ("2023-12", 2, 1, 1, 50.0), ("2023-12", 2, 2, 2, 100.0)]
+
+
+def test_first_event_of_any_type_and_missing_values(spark):   # E13, E15, E16
+    rows = [event("r1", "kai", "s", at("08:00", "2024-03-30"), "refund"),
+            event("r2", "kai", "s", at("08:00", "2024-04-01"), "page_view"),
+            event("r3", "kai", "s", None, "page_view"), event("r4", "lea", "s", None, "refund"),
+            event("r5", None, "s", at("08:00", "2024-02-01"), "page_view")]
     out = cohort_retention(spark.createDataFrame(rows, EVENT_SCHEMA)).collect()
-    got = [(r["cohort_month"].strftime("%Y-%m"), r["period_offset"], r["active_users"],
-            r["initial_cohort_size"]) for r in out]
-    assert got == [("2025-01", 0, 1, 1), ("2025-01", 1, 1, 1), ("2025-01", None, 1, 1)]
+    assert [(r["cohort_month"].month, *tuple(r)[1:4]) for r in out] == \
+        [(3, 1, 0, 1), (3, 1, 1, 1), (3, 1, None, 1)]
+
+
+def test_month_matrix(reading):
+    out = cohort_matrix(cohort_retention(reading, ordered=False))
+    assert out.columns == ["cohort_month", "Month 0", "Month 1", "Month 2", "Month 3"]
+    assert [tuple(r) for r in out.collect()] == [
+        ("2023-10", 100.0, 33.33, None, 66.67), ("2023-12", 100.0, 50.0, 100.0, None)]
+
+
+def test_offsets_given_fix_the_columns_or_raise(reading):
+    long = cohort_retention(reading, ordered=False)
+    assert cohort_matrix(long, range(5)).columns[-1] == "Month 4"
+    with pytest.raises(Exception, match="outside the given offsets"):
+        cohort_matrix(long, range(3)).collect()
 
 
-def test_cohort_matrix_month_columns(cohort_events):          # heatmap pivot
-    out = cohort_matrix(cohort_retention(cohort_events, ordered=False))
-    assert out.columns == ["cohort_month", "Month 0", "Month 1", "Month 2"]
-    rows = {r["cohort_month"]: r for r in out.collect()}
-    assert (rows["2025-01"]["Month 0"], rows["2025-01"]["Month 1"], rows["2025-01"]["Month 2"]) \
-        == (100.0, 50.0, 100.0)
-    assert rows["2025-02"]["Month 1"] is None
+def test_matrix_of_dates_as_text(spark):
+    days = [(u, d) for u, text in READERS.items() for d in text.split()]
+    df = spark.createDataFrame(days, "who string, day string")
+    out = cohort_matrix_freq(df, "who", "day", "Q")
+    assert [tuple(r) for r in out.collect()] == [("2023Q4", 100.0, 80.0)]
+    assert out.columns == ["cohort", "0", "1"]
 
 
-def test_cohort_matrix_freq_month(spark):                      # FIXTURES 11
-    data = spark.createDataFrame(
-        [(1, "2026-01-10"), (1, "2026-02-15"), (1, "2026-03-20"), (2, "2026-01-12"),
-         (2, "2026-02-18")], "user_id long, timestamp string")
-    m = cohort_matrix_freq(data, "user_id", "timestamp", "M")
-    assert "0" in m.columns and "1" in m.columns
-    row = {r["cohort"]: r for r in m.collect()}["2026-01"]
-    assert row["0"] == 100.0 and row["1"] == 100.0 and row["2"] == 50.0
+ANCHORED = ["W-WED", "W-SAT", "Q-JAN", "Q-MAR", "Q-APR", "Q-DEC", "Y-JUN", "Y-FEB"]
 
 
-def test_cohort_labels_per_frequency(spark):
-    data = spark.createDataFrame([(1, datetime(2026, 1, 7, 13))], "u long, t timestamp_ntz")
-    labels = {f: cohort_matrix_freq(data, "u", "t", f).collect()[0]["cohort"]
-              for f in ("D", "W", "M", "Q", "Y")}
-    assert labels == {"D": "2026-01-07", "W": "2026-01-05/2026-01-11", "M": "2026-01",
-                      "Q": "2026Q1", "Y": "2026"}
+@pytest.mark.parametrize("freq", ["s", "min", "h", "D", "W", "M", "Q", "Y", *ANCHORED])
+def test_periods_equal_those_of_pandas(spark, freq):
+    rnd = random.Random(5)
+    times = [datetime(1968, 2, 27) + timedelta(seconds=rnd.randint(0, 60 * 366 * 86400)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(times)), "i int, t timestamp_ntz")
+    start = period_start(F.col("t"), freq)
+    got = df.select("i", period_label(start, freq).alias("label"),
+                    period_index(start, freq).alias("n")).orderBy("i").collect()
+    want = [pd.Period(t, freq) for t in times]
+    assert [r["label"] for r in got] == [str(p) for p in want]
+    assert [r["n"] - got[0]["n"] for r in got] == [p.ordinal - want[0].ordinal for p in want]
 
 
-def test_unknown_frequency_is_rejected(spark):
-    data = spark.createDataFrame([(1, datetime(2026, 1, 7))], "u long, t timestamp_ntz")
+@pytest.mark.parametrize("freq", ["B", "2M", "W-ABC", "M-JAN", "QS-MAR", ""])
+def test_unknown_frequency_is_rejected(spark, freq):
+    data = spark.createDataFrame([(1, at("07:00"))], "u long, t timestamp_ntz")
     with pytest.raises(ValueError):
-        cohort_matrix_freq(data, "u", "t", "H")
+        cohort_matrix_freq(data, "u", "t", freq)
 
 
 # ------------------------------------------------------------ brute force
@@ -130,7 +132,6 @@ def test_matrix_equals_brute_force(spark, freq):
               None if rnd.random() < 0.03 else start + timedelta(hours=rnd.randint(0, 24 * 500)))
              for _ in range(1500)]
     df = spark.createDataFrame(pairs, "u long, t timestamp_ntz")
-    from tidemark.operators import cohort_counts
     got = {(r["cohort"], r["period_idx"]): r["retention"]
            for r in cohort_counts(df, "u", "t", freq).collect()}
     assert got == _brute_matrix(pairs, freq)

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import EVENT_SCHEMA, by_key, event, ts
+from conftest import EVENT_SCHEMA, at, event, event_log
 from tidemark.operators import (
     DEFAULT_STAGES,
     densify_stages,
@@ -26,167 +26,138 @@ def _events(spark, rows):
     return spark.createDataFrame(rows, EVENT_SCHEMA)
 
 
+def _reached(df, device):
+    """Users per stage of one device."""
+    return [r["unique_users"] for r in funnel_segment(funnel_by_segment(df), device)
+            .orderBy("stage_order").collect()]
+
+
 @pytest.fixture(scope="module")
-def funnel_events(spark):
-    rows = []
-    for i, stage in enumerate(STAGES):                       # C1: all five, in order
-        rows.append(event(f"E1{i}", "C1", "S1", ts(0, i), stage))
-    rows += [event("E20", "C2", "S2", ts(0, 0), "page_view"),
-             event("E21", "C2", "S2", ts(0, 1), "product_view"),
-             event("E30", "C3", "S3", ts(0, 0), "page_view"),
-             event("E40", "C4", "S4", ts(0, 0), "page_view", "mobile"),
-             event("E41", "C4", "S4", ts(0, 1), "product_view", "mobile"),
-             event("E42", "C4", "S4", ts(0, 2), "add_to_cart", "mobile")]
-    return _events(spark, rows)
+def visits(spark):
+    """Six sessions: skipped stages, a stage before its turn, one user in two
+    devices, repeated events."""
+    return event_log(spark, """
+        v1 ana app page_view      09:00
+        v1 ana app product_view   09:02
+        v1 ana app add_to_cart    09:04
+        v1 ana app product_view   09:05
+        v1 ana app checkout_start 09:10
+        v2 ana web page_view      20:00
+        v2 ana web add_to_cart    20:05
+        v3 bo  web product_view   08:59
+        v3 bo  web page_view      09:00
+        v3 bo  web product_view   09:30
+        v3 bo  web purchase       10:00
+        v4 cy  app page_view      11:00
+        v4 cy  app page_view      11:01
+        v4 cy  app product_view   11:02
+        v4 cy  app add_to_cart    11:03
+        v4 cy  app checkout_start 11:04
+        v4 cy  app purchase       11:05
+        v4 cy  app purchase       11:06
+        v5 di  app page_view      12:00
+        v6 bo  app page_view      13:00
+        v6 bo  app product_view   13:01""")
 
 
 @pytest.fixture(scope="module")
-def funnel(funnel_events):
-    return funnel_by_segment(funnel_events).cache()
-
-
-def test_counts_unique_users_per_device_stage(funnel):
-    users = by_key(funnel, ["device", "stage_order"], "unique_users")
-    assert [users[("desktop", k)] for k in range(1, 6)] == [3, 2, 1, 1, 1]
-    assert users[("mobile", 1)] == 1
-    assert users[("mobile", 3)] == 1
-    assert users[("mobile", 4)] == 0
-    assert users[("mobile", 5)] == 0
-
-
-def test_conversion_and_dropoff_math(funnel):
-    overall = by_key(funnel, ["device", "stage_order"], "overall_conversion_pct")
-    step = by_key(funnel, ["device", "stage_order"], "step_conversion_pct")
-    drop = by_key(funnel, ["device", "stage_order"], "dropoff_pct")
-    assert [overall[("desktop", k)] for k in (1, 2, 3)] == [100.0, 66.67, 33.33]
-    assert [step[("desktop", k)] for k in (2, 3, 4)] == [66.67, 50.0, 100.0]
-    assert [drop[("desktop", k)] for k in (2, 3)] == [33.33, 50.0]
-    assert step[("mobile", 4)] == 0.0
-    assert drop[("mobile", 4)] == 100.0
-    # first stage: step 100, drop-off 0 (the stage is its own previous)
-    assert (step[("desktop", 1)], drop[("desktop", 1)]) == (100.0, 0.0)
-
-
-def test_result_is_ordered_and_dense(funnel):
-    keys = [(r["device"], r["stage_order"]) for r in funnel.collect()]
-    assert keys == [(d, k) for d in ("desktop", "mobile") for k in range(1, 6)]
-    assert funnel.columns == ["device", "stage_order", "funnel_stage", "unique_users",
-                              "overall_conversion_pct", "step_conversion_pct", "dropoff_pct"]
+def funnel(visits):
+    return funnel_by_segment(visits).cache()
 
 
-def test_stages_must_be_in_chronological_order(spark):
-    df = _events(spark, [event("A", "C1", "S1", ts(0, 5), "page_view"),
-                         event("B", "C1", "S1", ts(0, 1), "product_view")])
-    users = by_key(funnel_by_segment(df), ["device", "stage_order"], "unique_users")
-    assert users[("desktop", 1)] == 1
-    assert users[("desktop", 2)] == 0
-
-
-def test_equal_timestamps_qualify(spark):                     # E1
-    df = _events(spark, [event("A", "C1", "S1", ts(0, 1), "page_view"),
-                         event("B", "C1", "S1", ts(0, 1), "product_view"),
-                         event("C", "C1", "S1", ts(0, 1), "add_to_cart")])
-    users = by_key(funnel_by_segment(df), ["device", "stage_order"], "unique_users")
-    assert [users[("desktop", k)] for k in range(1, 6)] == [1, 1, 1, 0, 0]
-
-
-def test_later_event_user_and_device_are_counted(spark):      # E2, E10
-    df = _events(spark, [event("A", "U1", "S1", ts(0, 1), "page_view", "desktop"),
-                         event("B", "U2", "S1", ts(0, 2), "product_view", "mobile")])
-    out = funnel_by_segment(df)
-    users = by_key(out, ["device", "stage_order"], "unique_users")
-    assert users[("desktop", 1)] == 1 and users[("desktop", 2)] == 0
-    assert users[("mobile", 1)] == 0 and users[("mobile", 2)] == 1
-    total = by_key(funnel_all(out), ["stage_order"], "unique_users")
-    assert total[1] == 1 and total[2] == 1
-
-
-def test_null_session_time_and_user(spark):                   # E3, E4, E5
-    df = _events(spark, [
-        event("A", "U1", None, ts(0, 1), "page_view"),
-        event("B", "U1", None, ts(0, 2), "product_view"),
-        event("C", "U2", "S2", None, "page_view"),
-        event("D", "U2", "S2", ts(0, 3), "product_view"),
-        event("E", None, "S3", ts(0, 1), "page_view"),
-        event("F", None, "S3", ts(0, 2), "product_view")])
-    users = by_key(funnel_by_segment(df), ["device", "stage_order"], "unique_users")
-    assert users[("desktop", 1)] == 2     # U1 (NULL session), U2 (NULL time); NULL user not counted
-    assert users[("desktop", 2)] == 0
-
-
-def test_null_device_is_all_zero_with_null_rates(spark):     # E6
-    df = _events(spark, [event("A", "U1", "S1", ts(0, 1), "page_view", None),
-                         event("B", "U2", "S2", ts(0, 1), "page_view", "desktop")])
-    out = funnel_by_segment(df).where(F.col("device").isNull()).collect()
-    assert len(out) == 5
-    assert all(r["unique_users"] == 0 for r in out)
-    assert all(r["overall_conversion_pct"] is None and r["step_conversion_pct"] is None
-               and r["dropoff_pct"] is None for r in out)
-
-
-def test_devices_come_from_all_events(spark):                # E7, E8
-    df = _events(spark, [event("A", "U1", "S1", ts(0, 1), "page_view", "desktop"),
-                         event("B", "U2", "S2", ts(0, 1), "search", "tablet")])
-    out = funnel_by_segment(df).where(F.col("device") == "tablet").collect()
-    assert [r["unique_users"] for r in out] == [0] * 5
-    assert all(r["overall_conversion_pct"] is None for r in out)
-    assert out[0]["step_conversion_pct"] is None
-
-
-def test_zero_previous_stage_gives_null_step(spark):         # E8, E11
-    df = _events(spark, [event("A", "U1", "S1", ts(0, 1), "page_view")])
-    out = {r["stage_order"]: r for r in funnel_by_segment(df).collect()}
-    assert out[2]["step_conversion_pct"] == 0.0 and out[2]["dropoff_pct"] == 100.0
-    assert out[3]["step_conversion_pct"] is None and out[3]["dropoff_pct"] is None
-    assert out[3]["overall_conversion_pct"] == 0.0
-
-
-def test_all_segment_view_rounds_dropoff_from_rounded_step(spark, funnel):   # E9
-    allseg = {r["stage_order"]: r for r in funnel_all(funnel).collect()}
-    # summed: 4, 3, 2, 1, 1
-    assert [allseg[k]["unique_users"] for k in range(1, 6)] == [4, 3, 2, 1, 1]
-    assert allseg[2]["overall_conversion_pct"] == 75.0
-    assert allseg[3]["step_conversion_pct"] == 66.67
-    assert allseg[3]["dropoff_pct"] == 33.33
-    assert allseg[1]["prev_users"] == 4
-
-
-def test_segment_filter(funnel):
-    mobile = funnel_segment(funnel, "mobile").collect()
-    assert {r["device"] for r in mobile} == {"mobile"} and len(mobile) == 5
-
-
-def test_composed_operators_equal_fused_report(funnel_events):
-    reach = funnel_reach(funnel_events)
-    dense = densify_stages(reach, funnel_events.select("device"))
-    composed = sorted(tuple(r) for r in funnel_rates(dense).collect())
-    fused = sorted(tuple(r) for r in funnel_by_segment(funnel_events).collect())
-    assert composed == fused
-
-
-def test_unordered_funnel(spark):                            # FIXTURES 10
+def test_every_figure_of_the_visits(funnel):
+    assert funnel.columns == ["device", "stage_order", "funnel_stage", "unique_users",
+                              "overall_conversion_pct", "step_conversion_pct", "dropoff_pct"]
+    assert [tuple(r) for r in funnel.collect()] == [
+        ("app", 1, "page_view", 4, 100.0, 100.0, 0.0),
+        ("app", 2, "product_view", 3, 75.0, 75.0, 25.0),
+        ("app", 3, "add_to_cart", 2, 50.0, 66.67, 33.33),
+        ("app", 4, "checkout_start", 2, 50.0, 100.0, 0.0),
+        ("app", 5, "purchase", 1, 25.0, 50.0, 50.0),
+        ("web", 1, "page_view", 2, 100.0, 100.0, 0.0),
+        ("web", 2, "product_view", 1, 50.0, 50.0, 50.0),
+        ("web", 3, "add_to_cart", 0, 0.0, 0.0, 100.0),
+        # a stage nobody reached: no rate for the next one (E8, E11)
+        ("web", 4, "checkout_start", 0, 0.0, None, None),
+        ("web", 5, "purchase", 0, 0.0, None, None)]
+
+
+def test_all_devices_summed(funnel):                          # E9: drop-off from the rounded step
+    rows = {r["stage_order"]: tuple(r)[2:] for r in funnel_all(funnel).collect()}
+    assert rows == {1: (6, 100.0, 6, 100.0, 0.0), 2: (4, 66.67, 6, 66.67, 33.33),
+                    3: (2, 33.33, 4, 50.0, 50.0), 4: (2, 33.33, 2, 100.0, 0.0),
+                    5: (1, 16.67, 2, 50.0, 50.0)}
+
+
+def test_one_device(funnel):
+    web = funnel_segment(funnel, "web").collect()
+    assert {r["device"] for r in web} == {"web"} and len(web) == len(STAGES)
+
+
+def test_separate_operators_equal_the_report(visits, funnel):
+    dense = densify_stages(funnel_reach(visits), visits.select("device"))
+    separate = sorted(funnel_rates(dense).collect(), key=lambda r: (r[0], r[1]))
+    assert [tuple(r) for r in separate] == [tuple(r) for r in funnel.collect()]
+
+
+# Rules one at a time: the log, and users per stage and device.
+RULES = {
+    "a stage before its turn does not count": (
+        "s u web product_view 07:00\n s u web page_view 07:30", {"web": [1, 0, 0, 0, 0]}),
+    "equal times qualify (E1)": (
+        """s u web add_to_cart 07:00
+           s u web page_view 07:00
+           s u web product_view 07:00""", {"web": [1, 1, 1, 0, 0]}),
+    "the later event's user and device count (E2, E10)": (
+        "s u web page_view 07:00\n s w app product_view 07:10",
+        {"web": [1, 0, 0, 0, 0], "app": [0, 1, 0, 0, 0]}),
+    "no session: first stage only (E3)": (
+        "- u web page_view 07:00\n - u web product_view 07:10", {"web": [1, 0, 0, 0, 0]}),
+    "no time: first stage only (E4)": (
+        "s u web page_view -\n s u web product_view 07:10", {"web": [1, 0, 0, 0, 0]}),
+    "no user: never counted (E5)": (
+        "s - web page_view 07:00\n s u web product_view 07:10", {"web": [0, 1, 0, 0, 0]}),
+    "devices of other events are listed (E7)": (
+        "s u web page_view 07:00\n t w kiosk search 07:10",
+        {"web": [1, 0, 0, 0, 0], "kiosk": [0] * 5}),
+}
+
+
+@pytest.mark.parametrize("rule", RULES)
+def test_rule(spark, rule):
+    log, expected = RULES[rule]
+    df = event_log(spark, log)
+    assert {d: _reached(df, d) for d in expected} == expected
+
+
+def test_null_device_has_rows_without_figures(spark):        # E6, E8
+    out = funnel_by_segment(event_log(spark, "s u - page_view 07:00\n t w web page_view 07:00"))
+    null_rows = [tuple(r)[3:] for r in out.collect() if r["device"] is None]
+    assert null_rows == [(0, None, None, None)] * len(STAGES)
+
+
+def test_unordered_funnel(spark):                            # E11, E12
     data = spark.createDataFrame(
-        list(zip([1, 2, 3, 4, 1, 2, 3, 1, 2, 1],
-                 ["homepage"] * 4 + ["product_view"] * 3 + ["cart"] * 2 + ["checkout"])),
-        "user_id long, stage string")
-    stages = ["homepage", "product_view", "cart", "checkout"]
-    out = funnel_unordered(data, "stage", "user_id", stages).collect()
-    assert [r["stage"] for r in out] == stages
-    assert [r["users"] for r in out] == [4, 3, 2, 1]
-    assert out[3]["overall_conversion"] == 25.0
-    assert out[1]["step_conversion"] == 75.0 and out[1]["dropoff_rate"] == 25.0
-
-
-def test_unordered_funnel_edges(spark):                      # E11, E12
-    data = spark.createDataFrame([(1, "b"), (None, "b")], "user_id long, stage string")
-    out = funnel_unordered(data, "stage", "user_id", ["a", "b", "c"]).collect()
-    assert [r["users"] for r in out] == [0, 1, 0]
-    assert out[1]["overall_conversion"] == 100.0        # top of 0 is replaced by 1
-    assert out[1]["step_conversion"] is None            # previous stage 0: NULL, not inf
+        [(u, s) for s, users in {"land": range(8), "read": range(3, 8), "join": [4, 4, 6]}.items()
+         for u in users] + [(None, "join"), (1, "other")], "user_id long, stage string")
+    out = funnel_unordered(data, "stage", "user_id", ["land", "read", "join", "pay", "renew"])
+    assert [tuple(r) for r in out.collect()] == [
+        ("land", 8, 100.0, 100.0, 0.0), ("read", 5, 62.5, 62.5, 37.5), ("join", 2, 25.0, 40.0, 60.0),
+        ("pay", 0, 0.0, 0.0, 100.0), ("renew", 0, 0.0, None, None)]
+    # a first stage of 0 divides by 1; a previous stage of 0 gives NULL
+    late = funnel_unordered(data, "stage", "user_id", ["pay", "join"]).collect()
+    assert [tuple(r)[1:4] for r in late] == [(0, 0.0, None), (2, 200.0, None)]
     with pytest.raises(ValueError):
         funnel_unordered(data, "stage", "user_id", [])
 
 
+def test_unordered_funnel_counts_each_entry_of_a_repeated_stage(spark):
+    data = spark.createDataFrame([(1, "a"), (2, "a"), (1, "b")], "user_id long, stage string")
+    out = funnel_unordered(data, "stage", "user_id", ["a", "b", "a"])
+    assert [tuple(r)[:4] for r in out.collect()] == [
+        ("a", 2, 100.0, 100.0), ("b", 1, 50.0, 50.0), ("a", 2, 100.0, 200.0)]
+
+
 # ------------------------------------------------------------ brute force
 
 def _literal_reach(events, stages):
@@ -229,7 +200,7 @@ def _random_events(seed, worlds=40):
             user = rnd.choice([None, f"{w}u1", f"{w}u2", f"{w}u3", f"{w}u4"])
             dev = rnd.choice([None, f"{w}d1", f"{w}d2"])
             hour = rnd.choice([None, 0, 1, 1, 2, 3, 3, 4, 5])
-            when = None if hour is None else ts(0, hour)
+            when = None if hour is None else at(f"{hour:02}:00")
             etype = rnd.choice(STAGES[:4] + ["search"])
             out.append((f"{w}e{i}", user, sess, when, etype, dev, "x"))
     return out
@@ -244,9 +215,9 @@ def test_threshold_plan_equals_literal_join_chain(spark, seed):
     assert got == _literal_reach(rows, stages)
 
 
-def test_plan_reads_events_once_and_windows_by_session(spark, funnel_events, tmp_path):
+def test_plan_filters_stage_events_and_windows_by_session(spark, visits, tmp_path):
     path = str(tmp_path / "events")
-    funnel_events.write.parquet(path)
+    visits.write.parquet(path)
     text = plan_text(funnel_by_segment(spark.read.parquet(path)))
     assert "In(event_type, [" in text                        # one pushed filter for all stages
     assert "IsNull(session_id)" in text and "EqualTo(event_type,page_view)" in text  # NULL sessions
@@ -255,27 +226,30 @@ def test_plan_reads_events_once_and_windows_by_session(spark, funnel_events, tmp
     assert "page_category" not in text.split("ReadSchema:")[1].split("\n")[0]
 
 
-def test_hot_session_takes_the_broadcast_join_path(spark):
+@pytest.mark.parametrize("broadcast_sessions", [200_000, 0])
+def test_hot_sessions_take_the_join_path(spark, monkeypatch, broadcast_sessions):
+    from tidemark.operators import funnel as module
+    monkeypatch.setattr(module, "BROADCAST_SESSIONS", broadcast_sessions)
     rnd = random.Random(11)
     stages = STAGES[:4]
     rows = []
     for i in range(3000):        # two of three events sit in one session
         sess = "HOT" if i % 3 else rnd.choice([None, f"s{i % 41}"])
         rows.append((f"e{i}", rnd.choice([None, f"u{rnd.randint(0, 200)}"]), sess,
-                     rnd.choice([None, ts(0, rnd.randint(0, 23))]), rnd.choice(stages + ["x"]),
+                     rnd.choice([None, at(f"{rnd.randint(0, 23):02}:00")]), rnd.choice(stages + ["x"]),
                      rnd.choice(["d1", "d2", None]), "x"))
     df = _events(spark, rows).repartition(8)
-    split = funnel_reach(df, stages, hot_session_rows=100, skew_check_bytes=0)
+    split = funnel_reach(df, stages, hot_session_rows=100)
     got = {(r["device"], r["stage_order"]): r["unique_users"] for r in split.collect()}
-    plan = split._jdf.queryExecution().executedPlan().toString()
     assert got == _literal_reach(rows, stages)
-    assert "BroadcastHashJoin" in plan and "Window" in plan
-    import re
-    # the window path excludes the hot session (one value: IN becomes =)
-    assert re.search(r"NOT \(?\w+#\d+ (IN \(HOT\)|= HOT)", plan)
-    plain = funnel_reach(df, stages, hot_session_rows=None)
-    assert {(r["device"], r["stage_order"]): r["unique_users"] for r in plain.collect()} == got
-    report = funnel_by_segment(df, stages, hot_session_rows=100, skew_check_bytes=0).collect()
+    plan = plan_text(split)
+    assert "LeftAnti" in plan and "Window" in plan       # the window path leaves the hot session out
+    assert "BroadcastHashJoin" in plan or broadcast_sessions == 0
+    # every session of three or more events on the join path, and none
+    for floor in (2, None):
+        again = funnel_reach(df, stages, hot_session_rows=floor)
+        assert {(r["device"], r["stage_order"]): r["unique_users"] for r in again.collect()} == got
+    report = funnel_by_segment(df, stages, hot_session_rows=100).collect()
     assert report == funnel_by_segment(df, stages, hot_session_rows=None).collect()
 
 
@@ -300,12 +274,10 @@ def test_session_bucketed_table_needs_no_session_shuffle(spark, tmp_path):
     assert all(not k.startswith("_s") for k in re.findall(r"Exchange hashpartitioning\(([^,)]*)", plan))
 
 
-def test_single_stage_and_quoted_stage_names(spark):
-    df = _events(spark, [event("A", "U1", "S1", ts(0, 1), "it's"),
-                         event("B", "U2", None, ts(0, 2), "it's"),
-                         event("C", "U3", "S3", ts(0, 3), "other")])
-    one = [(r["funnel_stage"], r["unique_users"], r["overall_conversion_pct"])
-           for r in funnel_by_segment(df, ["it's"]).collect()]
-    assert one == [("it's", 2, 100.0)]
-    two = funnel_by_segment(df, ["it's", 'say "hi"']).collect()
-    assert [(r["funnel_stage"], r["unique_users"]) for r in two] == [("it's", 2), ('say "hi"', 0)]
+def test_one_stage_and_quotes_in_stage_names(spark):
+    names = ["it's", 'say "hi"']
+    df = _events(spark, [event("q1", "u", "s", at("07:00"), names[0]),
+                         event("q2", "w", None, at("07:10"), names[0]),
+                         event("q3", "z", "t", at("07:20"), "other")])
+    assert [tuple(r)[2:5] for r in funnel_by_segment(df, names[:1]).collect()] == [(names[0], 2, 100.0)]
+    assert [tuple(r)[2:4] for r in funnel_by_segment(df, names).collect()] == [(names[0], 2), (names[1], 0)]

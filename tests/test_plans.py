@@ -1,7 +1,6 @@
 """Plan shapes of the registered queries: every scan of a large table reaches
 its first shuffle through a partial aggregate (map-side combine), except the
-funnel's session joins, which shuffle stage rows by session only when the
-threshold table is too large to broadcast."""
+funnel, whose stage rows go by session into their windows."""
 
 import os
 
@@ -61,3 +60,13 @@ def test_funnel_stage_scans_prune_columns_and_filter(spark):
     assert "In(event_type, [click,purchase,signup,view])" in text
     assert "value" not in "".join(line for line in text.splitlines() if "ReadSchema" in line)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_unordered_funnel_pushes_its_stages(spark):
+    text = plan_text(entry.queries()["funnel_unordered"](spark, SF), "simple")
+    assert "In(event_type, [click,purchase,signup,view])" in text
+
+
+def test_rfm_scores_put_no_customers_in_one_task(spark):
+    text = plan_text(entry.queries()["rfm_scores"](spark, SF), "simple")
+    assert "SinglePartition" not in text and "Window" not in text and "Exchange" not in text

@@ -5,8 +5,8 @@
   active_users, retention_rate_pct.
 * ``cohort_matrix``      - that long form pivoted to ``YYYY-MM`` rows and
   ``Month n`` columns.
-* ``cohort_matrix_freq`` - retention matrix at a day, week, month, quarter or
-  year frequency, values = share of the cohort, rounded to 4 places, x100.
+* ``cohort_matrix_freq`` - retention matrix at any frequency from seconds to
+  years, values = share of the cohort, rounded to 4 places, x100.
 
 Plan shape: (user, period) pairs are deduplicated first, with map-side
 partial aggregation, so any hot user shrinks to at most one row per period
@@ -127,13 +127,14 @@ def cohort_counts(df: DataFrame, user: str, ts: str, freq: str = "M") -> DataFra
 
 def cohort_matrix_freq(df: DataFrame, user_col: str, date_col: str, freq: str = "ME",
                        offsets: Sequence[int] | None = None) -> DataFrame:
-    """Retention matrix at any frequency (D, W, M/ME, Q, Y).
+    """Retention matrix at any frequency of ``functions.periods`` (s, min, h, D,
+    W and W-SAT, M/ME, Q and Q-MAR, Y and Y-JUN).
 
     Rows are cohorts labelled as pandas prints the period (``2026-01``,
     ``2026Q1``, ``2026``, ``2026-01-05/2026-01-11``, ``2026-01-10``), in
     time order; columns ``0..n`` are periods since the cohort; values are
     ``round(users / cohort size, 4) * 100``, NULL where nobody was active.
-    Weeks run Monday to Sunday. ``date_col`` may be a timestamp, date or ISO
+    Weeks run Monday to Sunday unless anchored. ``date_col`` may be a timestamp, date or ISO
     text column.
     """
     long = cohort_counts(df, user_col, date_col, freq)
