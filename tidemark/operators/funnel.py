@@ -90,12 +90,15 @@ HOT_SESSION_ROWS = 1_000_000
 BROADCAST_SESSIONS = 200_000
 
 
-def _hot_sessions(rows: DataFrame, floor: int) -> tuple[DataFrame, int]:
-    """(_s) of the sessions with more than ``floor`` stage events, checkpointed
-    (the split reads it twice), and how many they are."""
-    ensure_checkpoint_dir(rows.sparkSession)
+def _hot_sessions(rows: DataFrame, floor: int) -> tuple[DataFrame | None, int]:
+    """(_s) of the sessions with more than ``floor`` stage events, and how many
+    they are; where there are some, checkpointed, since the split reads them twice."""
     hot = (rows.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"))
-           .where(F.col("_n") > F.lit(floor)).select("_s").checkpoint(eager=True))
+           .where(F.col("_n") > F.lit(floor)).select("_s"))
+    if hot.isEmpty():
+        return None, 0
+    ensure_checkpoint_dir(rows.sparkSession)
+    hot = hot.checkpoint(eager=True)
     return hot, hot.count()
 
 
@@ -160,7 +163,7 @@ def _stage_users(events: DataFrame, stages: Sequence[str], session: str, user: s
     if hot_session_rows is None or len(stages) == 1:      # one stage: no window
         return _windowed_reach(keyed, len(stages)).unionByName(no_session)
     hot, n_hot = _hot_sessions(keyed, hot_session_rows)
-    if n_hot == 0:
+    if hot is None:
         return _windowed_reach(keyed, len(stages)).unionByName(no_session)
 
     def small(df: DataFrame) -> DataFrame:
