@@ -2,13 +2,13 @@
 
 import os
 
-from conftest import EVENT_SCHEMA, event, ts
+from conftest import EVENT_SCHEMA, at, event
 from tidemark.operators import event_mix
 
 
 def test_event_mix_on_a_stream(spark, tmp_path):
     src = str(tmp_path / "events")
-    rows = [event(f"E{i}", "C1", "S1", ts(0, i), t) for i, t in
+    rows = [event(f"E{i}", "C1", "S1", at(f"0{i}:00"), t) for i, t in
             enumerate(["page_view", "page_view", "purchase", "page_view", "add_to_cart"])]
     spark.createDataFrame(rows, EVENT_SCHEMA).write.parquet(src)
     stream = spark.readStream.schema(EVENT_SCHEMA).parquet(src)
