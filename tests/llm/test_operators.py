@@ -274,3 +274,18 @@ def test_empty_tables(spark):
                exact_topk.exact_topk(vectors), nearest.nearest_vectors(vectors), chat.format_chats(chats),
                url_filter.judge_urls(pages, URL_RULES)):
         assert df.collect() == []
+
+
+def test_encoder_equals_the_tokenizer_library():
+    rng = random.Random(5)
+    letters = [*" \t\n\r'.,;:!?-_0123456789abcdefghijklmnopqrstuvwxyzABCéèßüñ ­\u0085中\U0001f600",
+               "  ", "'ll", "'RE", "<|endoftext|>", "\n\n", " the", "ing"]
+    texts = ["".join(rng.choices(letters, k=rng.randrange(60))) for _ in range(5000)]
+    texts += ["a" * 5000, " " * 5000, "a" * 900 + " " * 900 + "!" * 999, "", "x中", "x中"]
+    encoder = packing.Encoder(tokenizer_path())
+    assert encoder.fast is not None
+    want = [np.array(e.ids, dtype="<u4").tobytes()
+            for e in encoder.slow.encode_batch(texts, add_special_tokens=False)]
+    assert list(encoder.encode(texts)) == want
+    encoder.fast = None  # a vocabulary that tiktoken cannot run
+    assert list(encoder.encode(texts)) == want

@@ -15,6 +15,7 @@ partition; no window or task holds the pieces of a length.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,84 +30,98 @@ from tidemark.llm.frames import frozen, quoted
 
 CAPACITY = 2048
 END_ID = 0
-# Words remembered by a Python worker, twice (about 0.2 KB each).
-MEMO_WORDS = 400_000
-# Texts of one task tokenised together, by characters.
+# Texts of one task that `tokenizers` encodes together, by characters.
 BATCH_CHARS = 1 << 20
+# Longest run without, or of, white space that tiktoken is given: its time grows
+# with the square of a run.
+RUN_CHARS = 1000
 
-_SPACE = re.compile(r"\s")
-_TWO_SPACES = re.compile(r"\s\s")
-# A space between two other characters always begins a token of its own.
-_SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+# What the byte-level pre-tokeniser splits by (fixed value).
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+# Characters whose class is the same in every Unicode table, and no long white space.
+_PLAIN = "\t-\r\x20-\x7e\u00a0-\u024f"
+_OTHER = re.compile(rf"[^{_PLAIN}]|\s{{{RUN_CHARS}}}")
 
 
-@functools.cache
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tokenizer
+def _byte_alphabet() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for:
+    visible Latin-1 characters for themselves, then the others from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = (b for b in range(256) if b not in shown)
+    return {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(hidden)}
 
 
 class Encoder:
-    """Token ids as little-endian 32-bit bytes, with a memo of words.
+    """Token ids as little-endian 32-bit bytes, as `tokenizers` gives them.
 
-    The vocabulary's pre-tokeniser never joins characters across a single
-    space between two others, so a text's ids are its words' ids in order,
-    each word taken with the space before it.
+    Where the vocabulary allows it (``_same_ids``), tiktoken runs it at a
+    fraction of the CPU time; texts with characters outside ``_PLAIN`` or with
+    very long runs go to `tokenizers` itself.
     """
 
     def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.line = self._ids(["\n"])[0]
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes()
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    @staticmethod
-    def _words(text: str) -> list[str]:
-        if _TWO_SPACES.search(text) or text[:1].isspace() or text[-1:].isspace():
-            words = _SAFE_SPACE.split(text)
-            return [words[0], *[" " + w for w in words[1:]]]
-        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
-
-    def _learn(self, words: set[str]) -> None:
-        """Adds unknown words. Those without inner white space go in one text
-        with a line break after each, which is less work than a text each: a
-        break before a word, or before the space it begins with, is always a
-        token of its own."""
-        plain = [w for w in words if not _SPACE.search(w, 1) and w != " " and (w[0] == " " or not w[0].isspace())]
-        if plain:
-            ids, = self._ids(["\n".join([*plain, ""])])
-            breaks = np.flatnonzero(np.frombuffer(ids, dtype="<u4")
-                                    == np.frombuffer(self.line, dtype="<u4")) * 4
-            begin = 0
-            for word, end in zip(plain, breaks.tolist(), strict=True):
-                self.memo[word] = ids[begin:end]
-                begin = end + 4
-        rest = list(words.difference(plain))
-        self.memo.update(zip(rest, self._ids(rest)))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._words(t) if t else [] for t in texts]
-        if len(self.memo) > MEMO_WORDS:
-            # Words met again come back from here; the others are forgotten.
-            self.memo, self.older = {}, self.memo
-        unknown = set().union(*split).difference(self.memo)
-        self.memo.update((w, self.older[w]) for w in unknown.intersection(self.older))
-        unknown.difference_update(self.older)
-        self._learn(unknown)
-        known = self.memo.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+        from tokenizers import Tokenizer
+
+        self.slow = Tokenizer.from_file(path)
+        self.slow.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.fast = None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        ranks = self._same_ids(spec)
+        if ranks:
+            import tiktoken
+
+            self.fast = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks,
+                                          special_tokens={})
+
+    def _same_ids(self, spec: dict) -> dict[bytes, int] | None:
+        """The vocabulary as bytes and ids, if tiktoken gives the same ids.
+
+        tiktoken merges the neighbours whose joined bytes have the smallest id,
+        `tokenizers` those whose pair stands first in the list of merges. With
+        one merge for each id, in the order of the ids, they differ only if two
+        neighbours join to an entry by another pair than its own. Up to there
+        the entry's bytes were merged as if they stood alone, so this cannot
+        happen where every entry alone encodes to itself.
+        """
+        model, split = spec["model"], spec["pre_tokenizer"] or {}
+        usual = (model["type"] == "BPE" and split.get("type") == "ByteLevel"
+                 and split.get("use_regex", True) and not split.get("add_prefix_space")
+                 and not spec["normalizer"] and not any(model.get(k) for k in (
+                     "dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")))
+        if not usual:
+            return None
+        vocab, alphabet = model["vocab"], _byte_alphabet()
+        merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        ids = [vocab[m] for m in merged]
+        entries = set(alphabet).union(merged)
+        if ids != sorted(set(ids)) or not entries.issubset(vocab):
+            return None
+        tokenize = self.slow.model.tokenize
+        if not all(len(tokenize(e)) == 1 for e in entries):
+            return None
+        return {bytes(alphabet[c] for c in e): vocab[e] for e in entries}
+
+    def _runs_fast(self, text: str) -> bool:
+        return (self.fast is not None and not _OTHER.search(text)
+                and max(map(len, text.split()), default=0) <= RUN_CHARS)
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        slow = [t for t in texts if not self._runs_fast(t)]
+        others = iter(self.slow.encode_batch_fast(slow, add_special_tokens=False)) if slow else iter(())
+        ask = iter(slow)
+        waiting = next(ask, None)
+        for text in texts:
+            if text is waiting:
+                waiting = next(ask, None)
+                yield np.array(next(others).ids, dtype="<u4").tobytes()
+            else:
+                yield self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
 
 @functools.cache
 def _encoder(path: str) -> Encoder:
-    """Kept, with its memo, for the next tasks of a Python worker."""
+    """Kept for the next tasks of a Python worker."""
     return Encoder(path)
 
 
