@@ -32,7 +32,8 @@ def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
     """Number of good items among ``draws`` taken without replacement.
 
     Inversion outward from the mode: the steps taken are of the order of the
-    standard deviation.
+    standard deviation, also where rounding leaves a rest of ``u`` after the
+    last value with any probability.
     """
     low, high = max(0, draws - bad), min(good, draws)
     if low == high:
@@ -45,7 +46,7 @@ def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
     p = math.exp(log_choose(good, mode) + log_choose(bad, draws - mode)
                  - log_choose(good + bad, draws))
     u, below, above, p_below, p_above = rng.random() - p, mode, mode, p, p
-    while u > 0 and (below > low or above < high):
+    while u > 0 and ((below > low and p_below) or (above < high and p_above)):
         if above < high:
             p_above *= (good - above) * (draws - above) / ((above + 1) * (bad - draws + above + 1))
             above += 1
