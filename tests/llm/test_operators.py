@@ -132,6 +132,7 @@ def test_urls_equal_plain_rules(spark):
     hosts = ["org", "example.org", "a.Example.ORG", "notexample.org", "x.com", "com", "net", "", "org.", "a..org"]
     paths = ["", "/", "/es/1", "/es", "/en/1x", "/en/2", "/fr/", "/de/é", "?/es/", "#/"]
     urls = [f"http://{h}{p}" for h in hosts for p in paths] + [None, "", "example.org/es/", "x://y://org/"]
+    urls += ["http://" + "a." * 20_000 + "com/de/", "http://example.org/es/" + "x" * 100_000]
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls + urls[:5])], "page_id long, url string, host string")
 
     def judged(url):

@@ -3,7 +3,8 @@
 A rule or url becomes canonical keys: a host with its labels reversed, then
 the path. A rule fits exactly the keys that begin with its own, which is an
 interval of the key order; the intervals nest. A url has one key for each
-suffix of its host, since a rule fits its host and all subdomains.
+suffix of its host, since a rule fits its host and all subdomains; suffixes of
+more labels than any rule's host has are left out, as no rule can fit them.
 
 The rules (a list, so as small as the driver's memory) are swept once in key
 order with a stack of open rules; every interval end leaves the innermost rule
@@ -101,7 +102,8 @@ def judge_urls(df: DataFrame, rules: Sequence[tuple[str, str, str]], page_id: st
     pages = pages.withColumn("slice", F.pmod(
         F.col("place") + F.shiftright("place", 33), F.lit(slices)).cast("int"))
     labels = F.reverse(F.split("host", r"\."))
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.concat(
+    deepest = max((h.count(".") + 1 for _, h, _ in rules), default=1)
+    suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(deepest))), lambda n: F.concat(
         F.array_join(F.slice(labels, F.lit(1), n), "."), F.col("path")))
     keys = (pages.withColumn("keys", suffixes)
             .select("slice", "place", "page_id", "host", "path", F.posexplode("keys").alias("nth", "key"))
