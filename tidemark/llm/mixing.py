@@ -250,16 +250,19 @@ def mixed_documents(df: DataFrame, text: str = "text", source: str = "source",
              .groupBy("place").agg(
                  F.sum(F.col("words") * F.col("times")).alias("taken"), F.max("times").alias("most"),
                  F.array_sort(F.collect_list(F.struct("from", "words", "times"))).alias("spans")))
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    copy = F.transform(F.sequence(F.lit(1).cast("long"), F.col("most")), lambda c: F.array_join(
-        F.flatten(F.transform(
-            F.filter("spans", lambda s: s["times"] >= c),
-            lambda s: F.slice(F.col("all"), (s["from"] + 1).cast("int"), s["words"].cast("int")))),
-        " "))
+
+    def mixed(words: Column) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), F.col("most")), lambda c: F.array_join(
+            F.flatten(F.transform(
+                F.filter("spans", lambda s: s["times"] >= c),
+                lambda s: F.slice(words, (s["from"] + 1).cast("int"), s["words"].cast("int")))),
+            " ")), " ")
+
     once = (F.col("taken") == F.col("size")) & (F.col("most") == 1)
-    out = (whole.join(spans, "place")
-           .withColumn("all", F.when(~once, words))
-           .select("row", F.when(once, F.col("text")).otherwise(F.array_join(copy, " ")).alias("mixed")))
+    # One element, so that the spans see the words, not the expression that finds them.
+    all_words = F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    out = whole.join(spans, "place").select(
+        "row", F.when(once, F.col("text")).otherwise(F.get(F.transform(all_words, mixed), F.lit(0))).alias("mixed"))
     changed = {text: F.col("mixed")}
     if n_chars is not None and n_chars in df.columns:
         changed[n_chars] = F.length("mixed").cast(df.schema[n_chars].dataType)
