@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import require_columns
@@ -48,6 +49,40 @@ def place_index(place: Column) -> Column:
     return place.bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
 
 
+# Runs of equal groups (one for each group and range partition that meet) are
+# broadcast up to this many rows, some 10 MB.
+BROADCAST_RUNS = 100_000
+
+
+def ranked(df: DataFrame, group: str, order: Sequence[str],
+           partitions: int | None = None) -> DataFrame:
+    """``df`` with ``rank`` (from 0, in ``order``, NULLs first) and ``total``
+    (rows) within its ``group``; NULL is a group. The order should be total.
+
+    No group meets in one task: the rows are range partitioned on group and
+    order together and tagged with their places; what is summed up is one count
+    for each run (a group's rows in one partition). The runs are broadcast where
+    a count shows at most ``BROADCAST_RUNS`` of them, else joined plainly.
+    """
+    spark = df.sparkSession
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tagged = frozen(df.repartitionByRange(parts, group, *order).sortWithinPartitions(group, *order)
+                    .withColumn("_tag", F.monotonically_increasing_id()))
+    run = place_partition(F.col("_tag"))
+    in_group = Window.partitionBy("_group")
+    before = in_group.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = (tagged.groupBy(F.col(group).alias("_group"), run.alias("_run"))
+            .agg(F.min("_tag").alias("_first"), F.count(F.lit(1)).alias("_n"))
+            .select("_group", "_run", F.sum("_n").over(in_group).alias("total"),
+                    (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift")))
+    runs = frozen(runs)
+    few = runs.count() <= BROADCAST_RUNS
+    return (tagged.join(F.broadcast(runs) if few else runs,
+                        F.col(group).eqNullSafe(F.col("_group")) & (run == F.col("_run")))
+            .withColumn("rank", F.col("_tag") + F.col("_shift"))
+            .drop("_tag", "_group", "_run", "_first", "_shift"))
+
+
 def permuted(index: Column, n: Column, seed: Column, rounds: int = 24) -> Column:
     """Place of ``index`` in a pseudorandom permutation of ``0 .. n-1``.
 

@@ -7,6 +7,7 @@ from tidemark.llm import (
     chat,
     exact_topk,
     license_scan,
+    merkle,
     mixing,
     nearest,
     packing,
@@ -74,15 +75,82 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op13_merkle_manifest(spark, sf_dir):
+    return merkle.manifest(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scans, op2_simhash_near_dedup, op3_quality_classifier, op4_url_filters,
     op5_exact_topk, op6_source_mixing, op7_sharding, op8_nearest_neighbours,
-    op9_chat_formatting, op10_best_fit_packing)}
+    op9_chat_formatting, op10_best_fit_packing,
+    op13_merkle_manifest)}
 
 # Each url's fitting rules by plain comparison, the longest first.
 _URL_RULES_SQL = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
 
+
+
+def _field_sql(value: str, size: str) -> str:
+    return f"coalesce({size} || ':' || {value}, '-')"
+
+
+def _merkle_sql(levels: int = 7, group_levels: int = 2) -> str:
+    """The manifest level by level, for up to 8 ** ``levels`` rows in a language:
+    each level's nodes, and each leaf's proof and folded digest, as one table."""
+    upper, lower = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+    number = [_field_sql(f"CAST({c} AS VARCHAR)", f"length(CAST({c} AS VARCHAR))")
+              for c in ("doc_id", "n_chars")]
+    word = [_field_sql(c, f"strlen({c})") for c in ("source", "lang")]
+    head = f"{number[0]} || {word[0]} || {word[1]} || {number[1]}"
+    low = f"translate(text, {upper}, {lower})"
+    # CRC-32 by its polynomial, bit by bit, over the digits of the id.
+    step = "xor(x >> 1, 3988292384 * (x & 1))"
+    crc = (f"xor(list_reduce([ascii(c) for c in string_split(CAST(doc_id AS VARCHAR), '')], "
+           f"lambda a, c: list_reduce(range(8), lambda x, i: {step}, xor(a, c)), 4294967295::BIGINT), "
+           f"4294967295)")
+    sql = [f"""rows0 AS (
+    SELECT doc_id, lang, sha256({head} || {_field_sql('text', 'strlen(text)')}) AS leaf,
+           CASE WHEN {crc} % 3 = 0
+                THEN sha256({head} || {_field_sql(low, f'strlen({low})')}) END AS other
+    FROM documents),
+at0 AS (
+    SELECT doc_id, lang, leaf, coalesce(other, leaf) AS folded, '' AS proof,
+           row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM rows0),
+n0 AS (SELECT lang, i, leaf AS h, count(*) OVER (PARTITION BY lang) AS total FROM at0)"""]
+
+    def climb(at: str, nodes: str, new_at: str, new_nodes: str, keep: str, key: str) -> list[str]:
+        run = f"SELECT {key}, i // 8 AS run, total, list(h ORDER BY i) AS hs FROM {nodes} GROUP BY ALL"
+        up = (f"{new_nodes} AS (SELECT {key}, CASE WHEN total > 1 THEN run ELSE i0 END AS i, "
+              f"CASE WHEN total > 1 THEN sha256(array_to_string(hs, '')) ELSE hs[1] END AS h, "
+              f"CASE WHEN total > 1 THEN (total + 7) // 8 ELSE total END AS total "
+              f"FROM (SELECT *, 0 AS i0 FROM ({run})))")
+        down = (f"{new_at} AS (SELECT {keep}, a.i // 8 AS i, "
+                f"CASE WHEN total > 1 THEN proof || array_to_string(hs[:a.i % 8], '') "
+                f"|| array_to_string(hs[a.i % 8 + 2:], '') ELSE proof END AS proof, "
+                f"CASE WHEN total > 1 THEN sha256(array_to_string(hs[:a.i % 8], '') || folded "
+                f"|| array_to_string(hs[a.i % 8 + 2:], '')) ELSE folded END AS folded "
+                f"FROM {at} a JOIN ({run}) r ON r.{key} IS NOT DISTINCT FROM a.{key} AND r.run = a.i // 8)")
+        return [down, up]
+
+    for k in range(levels):
+        sql += climb(f"at{k}", f"n{k}", f"at{k + 1}", f"n{k + 1}", "doc_id, a.lang, leaf", "lang")
+    sql.append(f"""g0 AS (SELECT 0 AS one, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i,
+    count(*) OVER () AS total FROM n{levels})""")
+    sql.append(f"""top0 AS (SELECT 0 AS one, a.doc_id, a.lang, a.leaf, a.proof, a.folded, g.i, n.h AS subroot
+    FROM at{levels} a JOIN n{levels} n ON n.lang IS NOT DISTINCT FROM a.lang
+    JOIN g0 g ON g.h = n.h AND g.i = (SELECT count(*) FROM n{levels} b WHERE n.lang IS NOT NULL
+                                      AND (b.lang IS NULL OR b.lang < n.lang)))""")
+    for k in range(group_levels):
+        sql += climb(f"top{k}", f"g{k}", f"top{k + 1}", f"g{k + 1}",
+                     "a.one, doc_id, lang, leaf, subroot", "one")
+    return f"""WITH {", ".join(sql)}
+SELECT doc_id, lang, leaf, subroot, h AS root, sha256(proof) AS proof_sha256,
+       folded AS folded_root, folded = h AS verified
+FROM top{group_levels} t JOIN g{group_levels} g ON g.one = t.one"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_merkle_manifest": _merkle_sql(),
     "op4_url_filters": f"""
 WITH rules AS (SELECT * FROM (VALUES {_URL_RULES_SQL}) r(kind, rule_host, rule_path)),
 parts AS (
