@@ -6,6 +6,7 @@ from __future__ import annotations
 from tidemark.llm import (
     chat,
     exact_topk,
+    html_text,
     license_scan,
     merkle,
     mixing,
@@ -75,6 +76,10 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op12_html_extraction(spark, sf_dir):
+    return html_text.extract_main_text(read(spark, sf_dir, "pages"))
+
+
 def op13_merkle_manifest(spark, sf_dir):
     return merkle.manifest(read(spark, sf_dir, "documents"))
 
@@ -83,7 +88,7 @@ QUERIES = {f.__name__: f for f in (
     op1_license_scans, op2_simhash_near_dedup, op3_quality_classifier, op4_url_filters,
     op5_exact_topk, op6_source_mixing, op7_sharding, op8_nearest_neighbours,
     op9_chat_formatting, op10_best_fit_packing,
-    op13_merkle_manifest)}
+    op12_html_extraction, op13_merkle_manifest)}
 
 # Each url's fitting rules by plain comparison, the longest first.
 _URL_RULES_SQL = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
