@@ -1,0 +1,122 @@
+"""Source divergence against plain integer arithmetic, and the transducer against
+a sorted list."""
+
+import itertools
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+
+from tidemark.llm import divergence
+from tidemark.llm.transducer import Transducer
+
+TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
+SCHEMA = "doc_id long, text string, lang string, source string, rank int, Term string, n int"
+
+
+def terms(text):
+    return TERM.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def expected(rows, min_docs, top=10):
+    df, groups, whole = defaultdict(Counter), defaultdict(Counter), defaultdict(Counter)
+    for r in rows:
+        lang, source, found = r[2] or "", r[3] or "", terms(r[1])
+        df[lang].update(set(found))
+        groups[lang, source].update(found)
+        whole[lang].update(found)
+    out = []
+    for (lang, source), counts in groups.items():
+        kept = sorted(t for t, n in df[lang].items() if n >= min_docs)
+
+        def shares(c):
+            total = sum(c[t] for t in kept) + 2 * len(kept)
+            return {t: 1 + 10**9 * (c[t] + 2) // total for t in kept}
+
+        def ranked(part, values, limit=None):
+            order = sorted(values.items(), key=lambda x: (-x[1], x[0].encode()))[:limit]
+            return [(lang, source, part, item, v, i) for i, (item, v) in enumerate(order, 1)]
+
+        p, q = shares(counts), shares(whole[lang])
+        others = {s: shares(c) for (g, s), c in groups.items() if g == lang and s != source}
+        out += ranked("pair", {s: sum((p[t] - o[t]) ** 2 // (p[t] + o[t]) for t in kept)
+                               for s, o in others.items()})
+        out += ranked("term", {t: (p[t] - q[t]) ** 2 // (p[t] + q[t]) for t in kept
+                               if counts[t] and p[t] > q[t]}, top)
+    return out
+
+
+def world(seed, n=160):
+    rng = random.Random(seed)
+    words = "Alpha BETA gamma éA ÉA ß zz z ab abc abd x漢字 naïve ſ K".split() + ["q" * 300]
+    rows = [(None, None, "a", "s1"), (1, "", None, None), (2, "12 !? 3", "none", "s1"),
+            (3, "rare", "none", "s2"), (4, "rare", "none", None), (5, "alpha " * 400_000, "a", "long")]
+    for i in range(n):
+        text = "".join(rng.choice(words) + rng.choice([" ", "-", "7", "\n", " "])
+                       for _ in range(rng.randrange(9)))
+        rows.append((i, text, rng.choice(["a", "a", "b", "", None]),
+                     rng.choice(["s1", "s2", "é", "z", "s3", "S3", None, "𝄞", "￿"])))
+    return [r + (7, "x", 1) for r in rows + rows[20:30] * 2]
+
+
+@pytest.mark.parametrize("sizes", [
+    {}, {"segment_terms": 3, "pass_terms": 6, "block_terms": 2, "block_sources": 2, "partitions": 3}])
+def test_divergence_equals_plain_arithmetic(spark, sizes):
+    rows = world(3)
+    got = divergence.source_divergence(spark.createDataFrame(rows, SCHEMA), min_docs=4, **sizes)
+    assert got.columns == ["lang", "source", "part", "item", "value", "rank"]
+    want = expected(rows, 4)
+    assert {r[2] for r in want} == {"pair", "term"} and any(r[4] > 0 for r in want)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_ties_and_a_vocabulary_of_none(spark):
+    rows = [(i, "one two", "x", f"s{i % 4}", 0, "", 0) for i in range(12)]
+    rows += [(i, "few", "y", f"s{i}", 0, "", 0) for i in range(3)]
+    got = divergence.source_divergence(spark.createDataFrame(rows, SCHEMA), min_docs=5)
+    assert sorted(map(tuple, got.collect())) == sorted(expected(rows, 5))
+    assert got.where("lang = 'y' AND value <> 0").count() == 0
+    assert divergence.source_divergence(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_pieces_of_a_long_text_part_no_term(monkeypatch):
+    text = " ".join(random.Random(1).choice(["ab", "cde", "漢字"]) for _ in range(500)).encode()
+    whole = [w for part in divergence.terms(text) for w in part]
+    monkeypatch.setattr(divergence, "PIECE", 7)
+    assert [w for part in divergence.terms(text) for w in part] == whole == [w for w in text.split()]
+
+
+def test_held_counts_are_given_away_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(divergence, "HELD", 3)
+    found = Counter()
+    part = divergence._counted({("a",): Counter({b"x": 2, b"y": 1}), ("b",): Counter({b"x": 5})}, ["lang"])
+    for row in part.to_pylist():
+        found[row["lang"], row["term"]] += row["n"]
+    assert found == {("a", "x"): 2, ("a", "y"): 1, ("b", "x"): 5}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_transducer_is_minimal_and_gives_ordinals(seed):
+    rng = random.Random(seed)
+    words = sorted({"".join(rng.choice("abé") for _ in range(rng.randrange(0 if seed else 1, 7))).encode()
+                    for _ in range(200)})
+    t = Transducer.loads(Transducer.build(words).dumps())
+    assert list(t.ordinals(words)) == list(range(len(words)))
+    others = ["".join(x).encode() for x in itertools.product("abéc", repeat=4)] + [b"", b"zz", b"a" * 400]
+    place = {w: i for i, w in enumerate(words)}
+    assert list(t.ordinals(others)) == [place.get(w, -1) for w in others]
+    # Minimal: as many states as the words' prefixes have different sets of endings.
+    endings = defaultdict(set)
+    for w in words:
+        for i in range(len(w) + 1):
+            endings[w[:i]].add(w[i:])
+    assert t.states == len({frozenset(e) for e in endings.values()})
+
+
+def test_transducer_of_nothing_and_of_unsorted_words():
+    assert list(Transducer.build([]).ordinals([b"", b"a"])) == [-1, -1]
+    assert list(Transducer.build([b""]).ordinals([b"", b"a"])) == [0, -1]
+    assert list(Transducer.build([b"a"]).ordinals([])) == []
+    with pytest.raises(ValueError):
+        Transducer.build([b"b", b"a"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from tidemark.llm import (
     chat,
+    divergence,
     exact_topk,
     html_text,
     license_scan,
@@ -76,6 +77,10 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_source_divergence(spark, sf_dir):
+    return divergence.source_divergence(read(spark, sf_dir, "documents"))
+
+
 def op12_html_extraction(spark, sf_dir):
     return html_text.extract_main_text(read(spark, sf_dir, "pages"))
 
@@ -88,7 +93,7 @@ QUERIES = {f.__name__: f for f in (
     op1_license_scans, op2_simhash_near_dedup, op3_quality_classifier, op4_url_filters,
     op5_exact_topk, op6_source_mixing, op7_sharding, op8_nearest_neighbours,
     op9_chat_formatting, op10_best_fit_packing,
-    op12_html_extraction, op13_merkle_manifest)}
+    op11_source_divergence, op12_html_extraction, op13_merkle_manifest)}
 
 # Each url's fitting rules by plain comparison, the longest first.
 _URL_RULES_SQL = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
@@ -154,7 +159,45 @@ SELECT doc_id, lang, leaf, subroot, h AS root, sha256(proof) AS proof_sha256,
 FROM top{group_levels} t JOIN g{group_levels} g ON g.one = t.one"""
 
 
+_DIVERGENCE_SQL = """
+WITH docs AS (
+    SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+    FROM documents),
+words AS (
+    SELECT d, lang, source,
+           unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT d) >= 10),
+found AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+every AS (SELECT g.lang, g.source, k.term, coalesce(f.n, 0) AS n
+          FROM groups g JOIN kept k USING (lang) LEFT JOIN found f USING (lang, source, term)),
+shares AS (
+    SELECT *, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER grp + 2 * count(*) OVER grp) AS p
+    FROM every WINDOW grp AS (PARTITION BY lang, source)),
+whole AS (SELECT lang, term, sum(n) AS n FROM every GROUP BY ALL),
+whole_shares AS (
+    SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 2))
+           // (sum(n) OVER (PARTITION BY lang) + 2 * count(*) OVER (PARTITION BY lang)) AS q FROM whole),
+pairs AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+    GROUP BY ALL),
+both_parts AS (
+    SELECT g.lang, g.source, 'pair' AS part, o.source AS item, coalesce(value, 0) AS value
+    FROM groups g JOIN groups o ON o.lang = g.lang AND o.source <> g.source
+    LEFT JOIN pairs p ON p.lang = g.lang AND p.source = g.source AND p.item = o.source
+    UNION ALL
+    SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q)
+    FROM shares JOIN whole_shares USING (lang, term) WHERE n > 0 AND p > q),
+numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS r
+    FROM both_parts)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INTEGER) AS rank
+FROM numbered WHERE part = 'pair' OR r <= 10"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_source_divergence": _DIVERGENCE_SQL,
     "op13_merkle_manifest": _merkle_sql(),
     "op4_url_filters": f"""
 WITH rules AS (SELECT * FROM (VALUES {_URL_RULES_SQL}) r(kind, rule_host, rule_path)),
