@@ -9,10 +9,15 @@ the one can have an inner product with a row of the other that reaches the
 worst k-th score among the node's queries:
 
     <q, x> <= <cq, cx> + |cq| rx + |cx| rq + rq rx
+
+Scores are whole numbers and always exact: sums in double precision while they
+stay below 2^53, in 64-bit integers below 2^63, else in Python's integers. The
+trees and bounds hold the vectors divided by their largest component.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +28,8 @@ from tidemark.llm.vectors import BLOCK_ROWS, QUERY_ROWS, search_blocks, usable
 
 FANOUT = 16
 LEAF = 48
-# Sums below this are exact in double precision.
-EXACT = float(1 << 53)
+# Sums below these are exact in double precision, and in 64-bit integers.
+EXACT, LONG = 1 << 53, 1 << 63
 
 
 class Node:
@@ -67,22 +72,50 @@ def _parts(node: Node) -> tuple[list[Node], np.ndarray, np.ndarray, np.ndarray]:
     return [node], center, np.sqrt((center ** 2).sum(1)), np.array([node.radius])
 
 
+def whole(vectors: np.ndarray, scale: int) -> np.ndarray:
+    """``floor(scale * x)`` of every component: doubles, or Python integers where
+    doubles would not hold the product."""
+    with np.errstate(over="ignore"):
+        out = np.floor(vectors * float(scale))
+    if np.abs(out).max(initial=0) < EXACT:
+        return out
+    # From 2^53 on a double is a whole number itself.
+    return np.array([[int(x) * scale if abs(x) >= EXACT else math.floor(x * scale) for x in row]
+                     for row in vectors.tolist()], dtype=object).reshape(vectors.shape)
+
+
 def dual_tree_topk(queries: np.ndarray, own: np.ndarray, data: np.ndarray, ids: np.ndarray,
                    places: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Per query, the row numbers and scores of its ``k`` largest inner
     products, ties to the earlier row; the row at the query's own place is
-    left out. All vectors hold whole numbers."""
-    largest = max(np.abs(queries).max(initial=0), np.abs(data).max(initial=0))
-    exact = largest * largest * max(1, data.shape[1]) < EXACT
-    score_of = (lambda a, b: a @ b.T) if exact else (
-        lambda a, b: np.array(a.astype(object) @ b.astype(object).T, dtype=object))
-    low = -np.inf
-    scores = np.full((len(queries), k), low) if exact else np.full((len(queries), k), low, dtype=object)
+    left out. All vectors hold whole numbers (see ``whole``).
+
+    A score that no long can hold raises ``ArithmeticError``.
+    """
+    largest = max(1, *(int(np.abs(a).max(initial=0)) for a in (queries, data)))
+    reach = largest * largest * max(1, data.shape[1])
+    kind, low = ((np.float64, -np.inf) if reach < EXACT else (np.int64, -LONG) if reach < LONG
+                 else (object, -2 * reach))
+    asked = cover_tree((queries / largest).astype(np.float64))
+    held = cover_tree((data / largest).astype(np.float64))
+    if kind is object:
+        queries, data = (np.array([[int(x) for x in row] for row in a.tolist()], dtype=object)
+                         .reshape(a.shape) for a in (queries, data))
+    else:
+        queries, data = queries.astype(kind), data.astype(kind)
+    scores = np.full((len(queries), k), low, dtype=kind)
     rows = np.full((len(queries), k), len(data), dtype=np.int64)
-    asked, held = cover_tree(queries), cover_tree(data)
+
+    def worst(q: Node) -> float:
+        """The worst k-th score of a node's queries, in the trees' measure."""
+        least = scores[q.rows, -1].min()
+        return -np.inf if least == low else int(least) / largest ** 2
+
+    def falling(every: np.ndarray) -> np.ndarray:
+        return ~every if kind is np.int64 else -every   # the least long has no negative
 
     def meet(q: Node, x: Node) -> None:
-        got = score_of(queries[q.rows], data[x.rows])
+        got = queries[q.rows] @ data[x.rows].T
         got = np.where(own[q.rows][:, None] == places[x.rows][None], low, got)
         some = np.flatnonzero((got >= scores[q.rows, -1:]).any(1))
         if not len(some):
@@ -91,7 +124,7 @@ def dual_tree_topk(queries: np.ndarray, own: np.ndarray, data: np.ndarray, ids:
         every = np.concatenate([scores[at], got[some]], 1)
         number = np.concatenate([rows[at], np.broadcast_to(x.rows, (len(at), len(x.rows)))], 1)
         number = np.where(every == low, len(data), number)
-        order = np.lexsort((number, -every))[:, :k]
+        order = np.lexsort((number, falling(every)))[:, :k]
         scores[at] = np.take_along_axis(every, order, 1)
         rows[at] = np.take_along_axis(number, order, 1)
 
@@ -100,7 +133,7 @@ def dual_tree_topk(queries: np.ndarray, own: np.ndarray, data: np.ndarray, ids:
     while stack:
         q, x, bound = stack.pop()
         # Slack for rounding in the bound: only pairs surely below are dropped.
-        if bound + 1e-6 * (1 + abs(bound)) < float(scores[q.rows, -1].min()):
+        if bound + 1e-6 * (1 + abs(bound)) < worst(q):
             continue
         if not q.children and not x.children:
             meet(q, x)
@@ -113,6 +146,8 @@ def dual_tree_topk(queries: np.ndarray, own: np.ndarray, data: np.ndarray, ids:
             stack.append((qs[i], xs[j], float(bounds[i, j])))
     for s, r in zip(scores, rows):
         full = r < len(data)
+        if kind is object and any(not -LONG <= x < LONG for x in s[full]):
+            raise ArithmeticError("an inner product exceeds the range of a long")
         yield r[full], s[full].astype(np.int64)
 
 
@@ -126,14 +161,14 @@ def exact_topk(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
     Rows whose vector is null or holds a null or non-finite component take no
     part. Vectors of unequal length are compared as if filled with zeros.
     Repeated ids are rows of their own: a query meets its copies, not itself.
-    Rows with a null id are candidates only. Other columns are ignored; an
-    empty input gives no rows.
+    Rows with a null id are candidates only. Scores are exact at any size of
+    the components; one that no long can hold is an error. Other columns are
+    ignored; an empty input gives no rows.
     """
     rows = usable(df, vec_id, vector)
 
     def best(queries, own, data, ids, places):
-        return dual_tree_topk(np.floor(queries * float(scale)), own, np.floor(data * float(scale)),
-                              ids, places, k)
+        return dual_tree_topk(whole(queries, scale), own, whole(data, scale), ids, places, k)
 
     return search_blocks(rows, F.col("vec_id") % every == 0, best, k, score_type="long", largest=True,
                          block_rows=block_rows, query_rows=query_rows)
