@@ -56,17 +56,19 @@ class Encoder:
 
     Where the vocabulary allows it (``_same_ids``), tiktoken runs it at a
     fraction of the CPU time; texts with characters outside ``_PLAIN`` or with
-    very long runs go to `tokenizers` itself.
+    very long runs, or holding the string of an added token, go to `tokenizers`
+    itself.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True  # their strings in a text are ordinary text
         self.fast = None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        # `tokenizers` takes these strings out of a text before anything else.
+        self.added = [t["content"] for t in spec.get("added_tokens") or ()]
         ranks = self._same_ids(spec)
         if ranks:
             import tiktoken
@@ -103,7 +105,8 @@ class Encoder:
         return {bytes(alphabet[c] for c in e): vocab[e] for e in entries}
 
     def _runs_fast(self, text: str) -> bool:
-        return (self.fast is not None and not _OTHER.search(text)
+        return (self.fast is not None and not any(t in text for t in self.added)
+                and not _OTHER.search(text)
                 and max(map(len, text.split()), default=0) <= RUN_CHARS)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
