@@ -1,8 +1,9 @@
 """URL filter rules by a sort-merge range join, in DataFrame functions only.
 
-A rule or url becomes canonical keys: a host with its labels reversed, then
-the path. A rule fits exactly the keys that begin with its own, which is an
-interval of the key order; the intervals nest. A url has one key for each
+A rule or url becomes canonical keys: a host with its labels reversed, each
+closed by a dot, then the path, as UTF-8 bytes. A rule fits exactly the keys that
+begin with its own, which is an interval of the key order, up to the key's
+successor (its last byte raised by one); the intervals nest. A url has one key for each
 suffix of its host, since a rule fits its host and all subdomains; suffixes of
 more labels than any rule's host has are left out, as no rule can fit them.
 
@@ -16,6 +17,7 @@ is spread like any other, and a slice has a bounded number of rows.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from string import ascii_lowercase, ascii_uppercase
 
@@ -26,8 +28,6 @@ from tidemark.llm.frames import quoted
 
 SLICE_ROWS = 50_000
 DEFAULT_VERDICT = "allow"
-# Sorts after every character that a key can continue with.
-LAST = chr(0x10FFFF)
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -38,36 +38,44 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, ascii_uppercase, ascii_lowercase), path
 
 
-def _key(host: str, path: str) -> str:
-    return ".".join(reversed(host.split("."))) + path
+def _key(host: str, path: str) -> bytes:
+    return ("".join(f"{label}." for label in reversed(host.split("."))) + path).encode()
 
 
-def interval_ends(rules: Sequence[tuple[str, str, str]]) -> list[tuple[str, str | None, str | None]]:
+def _after(key: bytes) -> bytes:
+    """The least bytes above everything that begins with ``key`` (UTF-8 holds no 0xFF)."""
+    return key[:-1] + bytes([key[-1] + 1])
+
+
+def interval_ends(rules: Sequence[tuple[str, str, str]]) -> list[tuple[bytes, str | None, str | None]]:
     """(key, rule, verdict) in key order: from this key on, up to the next
     one's, the innermost open rule is ``rule`` (None: no rule is open).
 
     ``rules`` are (verdict, host, path); of two with one host and path the
-    first counts.
+    first counts. An empty path fits every path of the host; one that does not
+    begin with ``/`` fits none, so such a rule is left out.
     """
-    first: dict[tuple[str, str], tuple[str, str]] = {}
+    first: dict[tuple[bytes, str], tuple[str, str]] = {}
     for verdict, host, path in rules:
+        if path and not path.startswith("/"):
+            continue
         host = host.translate(str.maketrans(ascii_uppercase, ascii_lowercase))
         first.setdefault((_key(host, path), host + path), (verdict, host + path))
-    ends: dict[str, tuple[str | None, str | None]] = {}
-    open_rules: list[tuple[str, tuple[str, str]]] = []
+    ends: dict[bytes, tuple[str | None, str | None]] = {}
+    open_rules: list[tuple[bytes, tuple[str, str]]] = []
 
-    def close(until: str | None) -> None:
+    def close(until: bytes | None) -> None:
         while open_rules and (until is None or not until.startswith(open_rules[-1][0])):
             key, _ = open_rules.pop()
             verdict, rule = open_rules[-1][1] if open_rules else (None, None)
-            ends[key + LAST] = (rule, verdict)
+            ends[_after(key)] = (rule, verdict)
 
-    for (key, _), (verdict, rule) in sorted(first.items(), key=lambda r: r[0][0].encode()):
+    for (key, _), (verdict, rule) in sorted(first.items(), key=lambda r: r[0][0]):
         close(key)
         open_rules.append((key, (verdict, rule)))
         ends[key] = (rule, verdict)
     close(None)
-    return [(k, *v) for k, v in sorted(ends.items(), key=lambda r: r[0].encode())]
+    return [(k, *v) for k, v in sorted(ends.items())]
 
 
 def _slices(rows: int, ends: int, slice_rows: int, tasks: int) -> int:
@@ -82,8 +90,8 @@ def judge_urls(df: DataFrame, rules: Sequence[tuple[str, str, str]], page_id: st
                slice_rows: int = SLICE_ROWS) -> DataFrame:
     """page_id, host, path, rule, verdict for every row.
 
-    The longest rule (by characters of host and path) that fits wins; where
-    none fits, rule is null and verdict the default. A null url, or one
+    The longest rule (by characters of host and path) that fits wins, of two
+    equally long ones that whose text is greater; where none fits, rule is null and verdict the default. A null url, or one
     without ``://``, has an empty host and path and fits no rule. Repeated
     rows are judged each on its own; other input columns are ignored; an
     empty input gives no rows.
@@ -104,7 +112,7 @@ def judge_urls(df: DataFrame, rules: Sequence[tuple[str, str, str]], page_id: st
     labels = F.reverse(F.split("host", r"\."))
     deepest = max((h.count(".") + 1 for _, h, _ in rules), default=1)
     suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(deepest))), lambda n: F.concat(
-        F.array_join(F.slice(labels, F.lit(1), n), "."), F.col("path")))
+        F.array_join(F.slice(labels, F.lit(1), n), "."), F.lit("."), F.col("path")).cast("binary"))
     keys = (pages.withColumn("keys", suffixes)
             .select("slice", "place", "page_id", "host", "path", F.posexplode("keys").alias("nth", "key"))
             .select("slice", "key", F.lit(1).alias("kind"),
@@ -112,9 +120,12 @@ def judge_urls(df: DataFrame, rules: Sequence[tuple[str, str, str]], page_id: st
                              F.when(F.col("nth") == 0, F.struct("host", "path")).alias("url")).alias("page"),
                     F.lit(None).cast("struct<rule:string,verdict:string>").alias("open")))
     page_type = keys.schema["page"].dataType
-    marks = (spark.createDataFrame([(k, (r, v)) for k, r, v in ends],
-                                   "key string, open struct<rule:string,verdict:string>")
-             .select(F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "key",
+    # The ends as one literal, so that no row of theirs passes a Python worker.
+    listed = json.dumps([{"key": k.hex(), "open": {"rule": r, "verdict": v}} for k, r, v in ends])
+    marks = (spark.range(1).select(F.inline(F.from_json(
+        F.lit(listed), "array<struct<key:string,open:struct<rule:string,verdict:string>>>")))
+             .select(F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"),
+                     F.unhex("key").alias("key"),
                      F.lit(0).alias("kind"), F.lit(None).cast(page_type).alias("page"), "open"))
     sweep = Window.partitionBy("slice").orderBy("key", "kind")
     fits = (keys.unionByName(marks)
