@@ -6,8 +6,9 @@ word). Each indicator is scaled by its class log-count ratio and rows are
 brought to unit length; a linear hinge-loss model is fitted by dual coordinate
 descent, and its margins are mapped to probabilities by a logistic curve.
 
-The fit takes at most ``train_rows`` labelled rows, chosen by a hash of the id
-(documented bound: their features fit one task); scoring is one narrow pass
+The fit takes at most ``train_rows`` labelled ids, chosen by a hash of the id,
+one row of features each, and of these at most ``train_features`` features
+(documented bounds: what the fit's one task holds); scoring is one narrow pass
 over whole texts with the fixed-size weight vector.
 """
 
@@ -21,10 +22,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import quoted
+from tidemark.llm.frames import frozen, quoted
 
 BUCKETS = 1 << 18
 TRAIN_ROWS = 12_000
+# Features of all rows of the fit together (4 bytes each, 12 while it runs).
+TRAIN_FEATURES = 50_000_000
 THRESHOLD = 0.3
 # Words read at once, and words remembered, by one task.
 CHUNK_WORDS = 1 << 17
@@ -149,12 +152,15 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
-          label: str = "quality", train_rows: int = TRAIN_ROWS, folds: int = 5) -> dict:
+          label: str = "quality", train_rows: int = TRAIN_ROWS,
+          train_features: int = TRAIN_FEATURES, folds: int = 5) -> dict:
     """The model (see ``fit``), fitted on at most ``train_rows`` labelled
-    rows outside the held-out fold.
+    ids outside the held-out fold, with at most ``train_features`` features
+    together: in the order of the ids' hashes, up to that sum.
 
     A document labelled more than once counts by its mean label (an even split
-    is left out); null ids and labels are ignored. The sample is the rows whose
+    is left out); null ids and labels are ignored. An id that stands in several
+    rows counts once, by one of its texts. The sample is the rows whose
     hashed id falls under a limit set by the label count, so it is the same in
     every run; its ids are small enough to broadcast by that bound.
     """
@@ -169,12 +175,14 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     sample = known.where(place < F.lit(int(share * (1 << 20)))) if share < 1 else known
     key, body = quoted(docs, doc_id, text)
     rows = (docs.select(key.alias("id"), body.alias("text"))
-            .join(F.broadcast(sample), "id").select("text", (F.col("y") > 0.5).cast("int").alias("y")))
+            .join(F.broadcast(sample), "id").select("id", "text", (F.col("y") > 0.5).cast("int").alias("y")))
+    id_type = rows.schema["id"].dataType.simpleString()
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams = Ngrams()
         for part in batches:
-            yield pd.DataFrame({"x": [grams.of(t).astype("<i4").tobytes() for t in part["text"]],
+            yield pd.DataFrame({"id": part["id"],
+                                "x": [grams.of(t).astype("<i4").tobytes() for t in part["text"]],
                                 "y": part["y"]})
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,7 +195,19 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
         yield pd.DataFrame([model | {k: model[k].astype("<f8").tobytes()
                                      for k in ("weights", "squares")}])
 
-    found = (rows.mapInPandas(features, "x binary, y int").repartition(1)
+    # One row an id, combined before the shuffle: the least feature list.
+    known_rows = frozen(rows.mapInPandas(features, f"id {id_type}, x binary, y int")
+                        .groupBy("id").agg(F.min("x").alias("x"), F.first("y").alias("y"))
+                        .select("x", "y", F.xxhash64("id", F.lit("fit")).alias("order"),
+                                (F.length("x") / 4).cast("long").alias("features")))
+    # At most ``train_rows`` pairs of numbers.
+    total = 0
+    for order, size in sorted(map(tuple, known_rows.select("order", "features").collect())):
+        total += size
+        if total > train_features:
+            known_rows = known_rows.where(F.col("order") < order)
+            break
+    found = (known_rows.select("x", "y").repartition(1)
              .mapInPandas(learn, "weights binary, squares binary, slope double, intercept double")
              .first())
     if found is None:  # no labelled row at all
