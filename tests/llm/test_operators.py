@@ -146,6 +146,23 @@ def test_urls_equal_plain_rules(spark):
     assert got == {i: judged(u) for i, u in enumerate(urls + urls[:5])}
 
 
+def test_url_intervals_end_exactly(spark):
+    rules = [*URL_RULES, ("block", "org", ""), ("block", "a.com", "/xa"), ("allow", "com", "/xabc"),
+             ("block", "net", "no-slash"), ("block", "co.uk", "/")]
+    urls = [f"http://{h}{p}" for h in ("com", "a.com", "organic", "org", "x.org", "no-slash.net", "net", "co.uk",
+                                       "co.ukx", "xco.uk", "y.co.uk", "com􏿿", "cn")
+            for p in ("", "/", "/de/", "/de/􏿿z", "/de0", "/de/", "/xabc", "/xab", "/xa􏿿")]
+
+    def judged(host, path):
+        fit = [(len(h + p), h + p, v) for v, h, p in rules
+               if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fit)[1:] if fit else (None, "allow")
+
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(df, rules).collect()}
+    assert got == {i: judged(*re.match("http://([^/]*)(.*)", u).groups()) for i, u in enumerate(urls)}
+
+
 VECTORS = [(i, [float((i * 7 + j * 3) % 11) / 7 - 0.6 for j in range(6)], 0) for i in range(150)]
 VECTORS += [(200, None, 0), (201, [None, 1.0], 0), (202, [float("nan")] * 6, 0), (300, [0.0] * 6, 0), (100, [0.5] * 6, 0)]
 VECTOR = "vec_id long, embedding array<float>, score int"
@@ -165,6 +182,32 @@ def test_exact_topk_equals_brute_force(spark):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("size, width", [(10.0, 64), (5e4, 64), (1.55e6, 4), (2.0 ** 60, 3)])
+def test_exact_topk_of_large_components(spark, size, width):
+    """Reaches below 2^53, below and above 2^63, and components past 2^53."""
+    rng = np.random.default_rng(int(size) % 97)
+    data = (rng.integers(-10 ** 6, 10 ** 6, (120, width)) / 10 ** 6 * size / (1 if size < 2 ** 50 else 2 ** 40))
+    if size > 2 ** 50:
+        data[3], data[7] = [2.0 ** 80, 0, 0], [0, 0, 2.0 ** 70]     # orthogonal, so no score is too large
+        data[:, 0] = np.where(np.arange(120) == 3, data[:, 0], 0)
+        data[:, 2] = np.where(np.arange(120) == 7, data[:, 2], 0)
+    exact = [[math.floor(x * 1024) if abs(x) < 2 ** 53 else int(x) * 1024 for x in row] for row in data.tolist()]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(data.tolist())], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score)
+                 for r in exact_topk.exact_topk(df, k=5, every=20, block_rows=50).collect())
+    want = []
+    for i in range(0, 120, 20):
+        score = {j: sum(a * b for a, b in zip(exact[i], exact[j])) for j in range(120) if j != i}
+        want += [(i, r, j, score[j]) for r, j in enumerate(sorted(score, key=lambda j: (-score[j], j))[:5], 1)]
+    assert got == want
+
+
+def test_a_score_beyond_a_long_is_an_error(spark):
+    df = spark.createDataFrame([(i, [1e300, 1.0]) for i in range(3)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="range of a long"):
+        exact_topk.exact_topk(df).collect()
+
+
 def test_nearest_vectors_recall(spark):
     rng = np.random.default_rng(3)
     data = rng.standard_normal((400, 16)) + 3 * rng.integers(0, 3, (400, 1))
@@ -185,7 +228,6 @@ def test_packing_is_best_fit_decreasing(docs):
     rows = packing.pack_documents(docs, tokenizer_path(), capacity=64).collect()
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     want = []
     for r in docs.collect():
         ids = t.encode(r.text or "", add_special_tokens=False).ids + [0]
@@ -222,6 +264,21 @@ def test_classifier_scores_and_order(spark):
     assert {r.score for r in quality.quality_scores(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_classifier_fits_a_bounded_number_of_rows_and_features(spark):
+    rows = [(i, prose(30, i) if i % 3 else " ".join(w.upper() + "!!" for w in prose(30, i).split()))
+            for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    copies = docs.where("doc_id = 1").crossJoin(spark.range(3000)).select("doc_id", "text")
+    labels = spark.createDataFrame([(i, int(bool(i % 3))) for i in range(200)], "doc_id long, quality int")
+    once, often = (quality.train(d, labels) for d in (docs, docs.unionByName(copies)))
+    assert all(np.array_equal(once[k], often[k]) for k in once)     # a repeated id counts once
+    seen = docs.where(~quality.held_out(docs["doc_id"])).collect()
+    total = sum(len(quality.Ngrams().of(r.text)) for r in seen)
+    less = quality.train(docs, labels, train_features=total // 4)
+    used = np.count_nonzero(less["squares"] != np.median(less["squares"]))
+    assert 0 < used <= total // 4 and not np.array_equal(less["weights"], once["weights"])
+
+
 def test_license_places(spark):
     pad, mit = prose(500, 8), license_scan.TEMPLATES["MIT notice"]
     near = mit.replace("copy, modify", "copy, and modify")
@@ -283,10 +340,14 @@ def test_encoder_equals_the_tokenizer_library():
                "  ", "'ll", "'RE", "<|endoftext|>", "\n\n", " the", "ing"]
     texts = ["".join(rng.choices(letters, k=rng.randrange(60))) for _ in range(5000)]
     texts += ["a" * 5000, " " * 5000, "a" * 900 + " " * 900 + "!" * 999, "", "x中", "x中"]
+    texts.append("hello <|endoftext|> there")
     encoder = packing.Encoder(tokenizer_path())
     assert encoder.fast is not None
+    from tokenizers import Tokenizer
+    plain = Tokenizer.from_file(tokenizer_path())       # untouched
+    assert plain.encode(texts[-1], add_special_tokens=False).ids == [31373, 220, 50256, 612]
     want = [np.array(e.ids, dtype="<u4").tobytes()
-            for e in encoder.slow.encode_batch(texts, add_special_tokens=False)]
+            for e in plain.encode_batch(texts, add_special_tokens=False)]
     assert list(encoder.encode(texts)) == want
     encoder.fast = None  # a vocabulary that tiktoken cannot run
     assert list(encoder.encode(texts)) == want
