@@ -19,6 +19,7 @@ from tidemark.operators import (
     rfm_scores,
     rfm_segments,
 )
+from tidemark.operators.ntile import rows_at_ranks
 from tidemark.plans.inspect import plan_text
 
 
@@ -64,7 +65,7 @@ def test_reruns_and_partitionings_agree_on_ties(spark):
     rnd = random.Random(23)
     df = _txns(spark, [row for c in range(90) for row in _paid(
         f"c{c}", rnd.choice(["2024-03-01", "2024-03-02"]), rnd.choice([2.5, 5.0]), rnd.randint(1, 2))])
-    runs = [sorted(tuple(r) for r in rfm_customers(df.repartition(p), partitions=p).collect())
+    runs = [sorted(tuple(r) for r in rfm_customers(df.repartition(p)).collect())
             for p in (1, 3, 3, 11)]
     assert runs[1:] == runs[:1] * 3
 
@@ -153,8 +154,9 @@ def test_decimal_amounts_and_huge_ones(spark):
 
 # ------------------------------------------------------------ NTILEs over several keys
 
+@pytest.mark.parametrize("bracket_rows", [1, 20, 4096])
 @pytest.mark.parametrize("size", [0, 1, 3, 4, 6, 257])
-def test_ntile_columns_equal_window_ntiles(spark, size):
+def test_ntile_columns_equal_window_ntiles(spark, size, bracket_rows):
     rnd = random.Random(size)
     rows = [(None if i == 2 else f"id{i}", rnd.choice([None, 0, 1, 1, 2]),
              rnd.choice([None, float("nan"), -1.5, 0.0, 7.25])) for i in range(size)]
@@ -163,12 +165,39 @@ def test_ntile_columns_equal_window_ntiles(spark, size):
     expected = df.withColumns({
         "ta": F.ntile(4).over(Window.orderBy(F.col("a").desc_nulls_last(), tie)).cast("long"),
         "tb": F.ntile(4).over(Window.orderBy(F.col("b").asc_nulls_last(), tie)).cast("long")})
-    got = ntile_columns(df, "id", {"ta": -F.col("a"), "tb": F.col("b")}, 4, partitions=5)
+    got = ntile_columns(df, "id", {"ta": -F.col("a"), "tb": F.col("b")}, 4,
+                        bracket_rows=bracket_rows)
     key = lambda r: str(r["id"])
     assert [(r["id"], r["ta"], r["tb"]) for r in sorted(got.collect(), key=key)] == \
         [(r["id"], r["ta"], r["tb"]) for r in sorted(expected.collect(), key=key)]
 
 
+@pytest.mark.parametrize("kind", ["string", "bigint", "decimal(20,0)"])
+def test_rows_at_ranks_among_heavy_ties(spark, kind):
+    """Keys of very few values, so that ranks are found by parts of the id."""
+    df = (spark.range(0, 30_000, 1, 7)
+          .select(F.when(F.col("id") % 3 > 0, F.col("id") % 2).alias("few"),
+                  F.when(F.col("id") % 5 == 0, F.lit(float("nan"))).otherwise(F.sqrt("id")).alias("many"),
+                  (F.concat(F.lit("customer_number_"), F.hex("id")) if kind == "string"
+                   else (F.pmod(F.col("id") * 7919, F.lit(30_011)) - 9)).cast(kind).alias("id")))
+    rows = [tuple(r) for r in df.collect()]
+
+    def order(i):
+        return sorted(((r[i] is None, r[i] is not None and math.isnan(r[i]), r[i] if r[i] is not None
+                        and not math.isnan(r[i]) else 0), r[2]) for r in rows)
+
+    ranks = [0, 7_500, 14_999, 20_001, 24_500, 29_999]
+    got = rows_at_ranks(df, "id", [F.col("few"), F.col("many")], lambda n: ranks, bracket_rows=300,
+                        sketch_size=64)
+    assert [(i, row_id) for i, _, row_id in got] == [(i, order(i)[r][1]) for i in (0, 1) for r in ranks]
+
+
+def test_scores_move_no_customer(spark):
+    """No exchange by range, and above the checkpoint none at all."""
+    df = _txns(spark, [row for i in range(50) for row in _paid(f"c{i}", "2024-04-02", float(i % 3))])
+    assert "Exchange" not in plan_text(rfm_scores(rfm_base(df)))
+
+
 # ------------------------------------------------------------ global NTILE
 
 @pytest.mark.parametrize("n", [1, 3, 4, 10])

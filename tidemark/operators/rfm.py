@@ -13,9 +13,10 @@ of task order, wherever they are whole cents (``money_scale`` places).
 
 Plan shape: one aggregation of the completed rows by customer (partial
 aggregation first), checkpointed once, since the reference date and the
-quartiles read it; the quartiles sort only (key, id) pairs, all three in one
-range shuffle, and score the customers by comparison with nine cut rows
-(``ntile_columns``), the same plan at every size.
+quartiles read it; quantile sketches and counts narrow the customers down to the
+few about each quartile's end, and all customers are scored by comparison with
+the nine cut rows (``ntile_columns``): no customer is moved, and the plan is the
+same at every size.
 """
 
 from __future__ import annotations
@@ -71,12 +72,12 @@ def rfm_base(transactions: DataFrame, *, customer: str = "customer_id",
 
 
 def rfm_scores(base: DataFrame, *, customer: str = "customer_id", tiles: int = 4,
-               partitions: int | None = None, materialize: bool = True) -> DataFrame:
+               materialize: bool = True) -> DataFrame:
     """Adds r_score, f_score, m_score (1..tiles, NTILE semantics); customer ids
     must be unique, as ``rfm_base`` leaves them.
 
     The customer table is checkpointed first: the aggregation over all
-    transactions then runs once, although the quartiles read its result twice.
+    transactions then runs once, although the quartiles read its result repeatedly.
     ``materialize=False`` skips the checkpoint when ``base`` is already a cheap
     projection of one.
     """
@@ -87,7 +88,7 @@ def rfm_scores(base: DataFrame, *, customer: str = "customer_id", tiles: int = 4
         frame = base.checkpoint(eager=True)
     keys = {"r_score": -F.col("recency_days"), "f_score": F.col("frequency"),
             "m_score": F.col("monetary")}
-    return (ntile_columns(frame, customer, keys, tiles, partitions=partitions)
+    return (ntile_columns(frame, customer, keys, tiles)
             .select(customer, "recency_days", "frequency", "monetary", *keys))
 
 
@@ -106,8 +107,7 @@ def rfm_label(scores: DataFrame) -> DataFrame:
 def rfm_customers(transactions: DataFrame, *, customer: str = "customer_id",
                   ts: str = "transaction_timestamp", txn_id: str = "transaction_id",
                   amount: str = "amount", status: str = "status", completed="Completed",
-                  money_scale: int | None = 2, tiles: int = 4,
-                  partitions: int | None = None) -> DataFrame:
+                  money_scale: int | None = 2, tiles: int = 4) -> DataFrame:
     """Per-customer scores and labels.
 
     The transactions are read once: the per-customer totals are checkpointed
@@ -118,8 +118,7 @@ def rfm_customers(transactions: DataFrame, *, customer: str = "customer_id",
     totals = _customer_totals(transactions, customer, ts, txn_id, amount, status, completed,
                               money_scale).checkpoint(eager=True)
     base = _with_recency(totals, customer, totals.agg(F.max("_last")).scalar())
-    return rfm_label(rfm_scores(base, customer=customer, tiles=tiles, partitions=partitions,
-                                materialize=False))
+    return rfm_label(rfm_scores(base, customer=customer, tiles=tiles, materialize=False))
 
 
 def rfm_segments(labelled: DataFrame, *, customer: str = "customer_id",
