@@ -39,6 +39,20 @@ def test_every_query_has_an_oracle():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_other_queries_do_without_the_optional_part(monkeypatch):
+    """Missing without a word; broken, or lacking a library, with a warning."""
+    assert entry._optional("tidemark.nothing_here.queries") is None
+    real = entry.importlib.import_module
+
+    def lacking(name):
+        raise ModuleNotFoundError("No module named 'xxhash'", name="xxhash")
+
+    monkeypatch.setattr(entry.importlib, "import_module", lacking)
+    with pytest.warns(UserWarning, match="xxhash"):
+        assert entry._optional("tidemark.llm.queries") is None
+    monkeypatch.setattr(entry.importlib, "import_module", real)
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()

@@ -17,6 +17,7 @@ from tidemark.operators import (
     funnel_segment,
     funnel_unordered,
 )
+from tidemark.operators import funnel as funnel_module
 from tidemark.plans.inspect import plan_text
 
 STAGES = list(DEFAULT_STAGES)
@@ -226,10 +227,29 @@ def test_plan_filters_stage_events_and_windows_by_session(spark, visits, tmp_pat
     assert "page_category" not in text.split("ReadSchema:")[1].split("\n")[0]
 
 
-@pytest.mark.parametrize("broadcast_sessions", [200_000, 0])
-def test_hot_sessions_take_the_join_path(spark, monkeypatch, broadcast_sessions):
-    from tidemark.operators import funnel as module
-    monkeypatch.setattr(module, "BROADCAST_SESSIONS", broadcast_sessions)
+def test_hot_sessions_are_found_in_a_sample(spark):
+    """All sessions at the limit are listed, none of a quarter of it, and the
+    look shuffles sample rows only."""
+    rows = (spark.range(0, 400_000, 1, 8)
+            .select(F.when(F.col("id") % 2 == 0, F.concat(F.lit("hot"), F.col("id") % 20))
+                    .otherwise(F.concat(F.lit("s"), F.col("id") % 100)).alias("_s")))
+    # Ten sessions of 20,000 rows, fifty of 4,000.
+    assert sorted(r[0] for r in funnel_module._hot_sessions(rows, 20_000).collect()) == \
+        sorted(f"hot{2 * i}" for i in range(10))
+    assert funnel_module._hot_sessions(rows, 100_000) is None
+    exact = funnel_module._hot_sessions(rows, 3_999)
+    assert exact.count() == 60
+
+
+def test_hot_sessions_beyond_the_list_stay_in_windows(spark, monkeypatch):
+    monkeypatch.setattr(funnel_module, "HOT_SESSIONS", 2)
+    rows = _random_events(8, worlds=6)
+    got = {(r["device"], r["stage_order"]): r["unique_users"] for r in
+           funnel_reach(_events(spark, rows), STAGES[:4], hot_session_rows=1).collect()}
+    assert got == _literal_reach(rows, STAGES[:4])
+
+
+def test_hot_sessions_take_the_join_path(spark):
     rnd = random.Random(11)
     stages = STAGES[:4]
     rows = []
@@ -244,7 +264,7 @@ def test_hot_sessions_take_the_join_path(spark, monkeypatch, broadcast_sessions)
     assert got == _literal_reach(rows, stages)
     plan = plan_text(split)
     assert "LeftAnti" in plan and "Window" in plan       # the window path leaves the hot session out
-    assert "BroadcastHashJoin" in plan or broadcast_sessions == 0
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan   # hot rows are not moved
     # every session of three or more events on the join path, and none
     for floor in (2, None):
         again = funnel_reach(df, stages, hot_session_rows=floor)

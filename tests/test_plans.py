@@ -43,11 +43,16 @@ def _scan_paths(text):
     return paths
 
 
-@pytest.mark.parametrize("name", ["cohort_retention", "rfm_base",
+@pytest.mark.parametrize("name", ["cohort_retention", "rfm_totals",
                                   "dq_audit", "kpis", "event_mix", "funnel_unordered"])
 def test_scans_are_partially_aggregated_before_any_shuffle(spark, name):
-    text = plan_text(entry.queries()[name](spark, SF), "simple")
-    paths = _scan_paths(text)
+    if name == "rfm_totals":      # what rfm_base writes
+        from tidemark.operators import rfm
+        df = rfm._customer_totals(entry.dt.transactions(spark, SF), "customer_id", "transaction_timestamp",
+                                  "transaction_id", "amount", "status", entry.dt.COMPLETED, 2)
+    else:
+        df = entry.queries()[name](spark, SF)
+    paths = _scan_paths(plan_text(df, "simple"))
     assert paths
     for scan, path in paths:
         if path and path[-1].startswith("Exchange"):
@@ -67,6 +72,24 @@ def test_unordered_funnel_pushes_its_stages(spark):
     assert "In(event_type, [click,purchase,signup,view])" in text
 
 
+def test_cohorts_exchange_user_rows_once(spark):
+    text = plan_text(entry.queries()["cohort_retention"](spark, SF), "simple")
+    by = [line for line in text.splitlines() if "Exchange hashpartitioning(_u#" in line]
+    assert len(by) == 1 and text.count("FileScan") == 1
+    assert not any("Window" in n for n in _scan_paths(text)[0][1])
+
+
+def test_audit_reads_each_table_once_in_one_exchange(spark):
+    text = plan_text(entry.queries()["dq_audit"](spark, SF), "simple")
+    assert text.count("FileScan") == 3 and "Join" not in text
+    assert text.count("Exchange hashpartitioning") == 1
+
+
+def test_rfm_base_reads_transactions_once(spark):
+    base = entry.queries()["rfm_base"](spark, SF)
+    assert "FileScan" not in plan_text(base)          # the totals were written on that one read
+
+
 def test_rfm_scores_put_no_customers_in_one_task(spark):
     text = plan_text(entry.queries()["rfm_scores"](spark, SF), "simple")
     assert "SinglePartition" not in text and "Window" not in text and "Exchange" not in text

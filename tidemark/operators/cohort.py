@@ -8,11 +8,11 @@
 * ``cohort_matrix_freq`` - retention matrix at any frequency from seconds to
   years, values = share of the cohort, rounded to 4 places, x100.
 
-Plan shape: (user, period) pairs are deduplicated first, with map-side
-partial aggregation, so any hot user shrinks to at most one row per period
-before the shuffle. The cohort is a ``min`` window over a user's distinct
-periods (a group bounded by the calendar, not by activity), then one
-``groupBy(cohort, period)``. The cohort size is the offset-0 count of the
+Plan shape: one aggregate by user gathers the set of the user's periods, with
+map-side partial aggregation, so any hot user shrinks to one row a task, with a
+set bounded by the calendar, before the only exchange of user rows. The cohort is
+the set's least period; the sets are unnested where they are and counted by one
+``groupBy(cohort, period)``, again combined map-side. The cohort size is the offset-0 count of the
 same small result, so no second pass over events is needed. The matrices
 checkpoint that small long form once, then read their column list (one
 offset per calendar period) and pivot from it, so events are read once.
@@ -31,13 +31,18 @@ from tidemark.functions.rounding import round_even, round_sql
 from tidemark.session import ensure_checkpoint_dir
 
 
-def _user_periods(df: DataFrame, user: str, period) -> DataFrame:
-    """Distinct (user, period) with the user's first period as ``_c``."""
-    pairs = (df.select(F.col(user).alias("_u"), period.alias("_p"))
-             .where(F.col("_u").isNotNull())
-             .distinct())
-    first = F.min("_p").over(Window.partitionBy("_u"))
-    return pairs.withColumn("_c", first).where(F.col("_c").isNotNull())
+def _user_periods(df: DataFrame, user: str, period, undated: bool = False) -> DataFrame:
+    """(_c, _p): each user's first period beside each distinct one. With
+    ``undated`` a user's NULL times count as one more period, NULL."""
+    sets = (df.select(F.col(user).alias("_u"), period.alias("_p"))
+            .where(F.col("_u").isNotNull())
+            .groupBy("_u").agg(F.collect_set("_p").alias("_set"),
+                               F.bool_or(F.col("_p").isNull()).alias("_undated"))
+            .where(F.size("_set") > 0))
+    periods = F.col("_set")
+    if undated:
+        periods = F.when(F.col("_undated"), F.array_append(periods, F.lit(None))).otherwise(periods)
+    return sets.select(F.array_min("_set").alias("_c"), F.explode(periods).alias("_p"))
 
 
 def cohort_retention(events: DataFrame, *, user: str = "customer_id",
@@ -50,7 +55,7 @@ def cohort_retention(events: DataFrame, *, user: str = "customer_id",
     are left out.
     """
     require_columns(events, user, ts)
-    pairs = _user_periods(events, user, month_start(F.col(ts)))
+    pairs = _user_periods(events, user, month_start(F.col(ts)), undated=True)
     counts = (pairs.groupBy(F.col("_c").alias("cohort_month"), F.col("_p").alias("_month"))
               .agg(F.count(F.lit(1)).alias("active_users")))
     offset = (period_index(F.col("_month"), "month")
@@ -114,7 +119,7 @@ def cohort_counts(df: DataFrame, user: str, ts: str, freq: str = "M") -> DataFra
     """Long form behind ``cohort_matrix_freq``: cohort (first day of the
     period), period_idx, users, retention (share of the cohort, round 4, x100)."""
     require_columns(df, user, ts)
-    pairs = _user_periods(df, user, period_start(F.col(ts), freq)).where(F.col("_p").isNotNull())
+    pairs = _user_periods(df, user, period_start(F.col(ts), freq))
     counts = pairs.groupBy("_c", "_p").agg(F.count(F.lit(1)).alias("users"))
     idx = period_index(F.col("_p"), freq) - period_index(F.col("_c"), freq)
     size = F.max(F.when(F.col("period_idx") == 0, F.col("users"))).over(Window.partitionBy("_c"))

@@ -29,17 +29,20 @@ and the counts are distinct (segment, stage, user) over qualifying events.
   and one shuffle by session feeds a chain of ``min`` windows, one per
   threshold: no join, no fan-out, no pass per stage.
 * Hot sessions (a bot may hold a third of all events) would make one window
-  task hold all of it. So one pass over (session) alone counts each session's
-  stage events, map-side combined, and keeps the sessions with more than
-  ``hot_session_rows`` as a table: at most stage rows / ``hot_session_rows``
-  of them. Their rows leave by a semi join and take a join path: per stage, a
-  join to the previous thresholds, which hold one row per hot session. That
-  list and the thresholds are broadcast while the counted list has at most
-  ``BROADCAST_SESSIONS`` rows; beyond it the joins are plain and adaptive
-  execution splits the skewed side. The hot rows are checkpointed once, so
-  that the passes per stage read them and not the whole events table. Every
-  other session's window group is bounded by ``hot_session_rows``. Where the
-  count finds no hot session there is no join at all.
+  task hold all of it. They are found from a random sample of the stage events:
+  at a rate that gives a session of ``hot_session_rows`` rows ``SAMPLE_ROWS``
+  sample rows on average, the sessions with half as many are listed, the
+  hottest ``HOT_SESSIONS`` at most. A session of ``hot_session_rows`` rows is
+  missed with a probability below 1e-12 (Poisson tail), unless ``HOT_SESSIONS``
+  others are as hot; a missed one costs time, never rows, since both ways give
+  the same counts. Only sample rows are shuffled.
+* The hot sessions' rows leave by a semi join and take a join path: per stage,
+  a join to the previous thresholds, one row per hot session. The list and the
+  thresholds are broadcast, which their bound of ``HOT_SESSIONS`` rows allows at
+  every size, so hot rows stay in the tasks that read them and no task ever
+  holds a hot session. They are checkpointed once, so that the passes per stage
+  read them and not the whole events table. Where no hot session is found there
+  is no join at all.
 * A NULL session (often the largest "group") never enters a window: it
   counts at stage 1 only, as in the reference. Those rows come from a second
   scan whose ``session IS NULL`` and ``event_type = <stage 1>`` filters reach
@@ -86,20 +89,24 @@ def _stage_name(order_col, stages: Sequence[str]):
 # A session is "hot" when it holds more stage events than one window task
 # should hold on its own.
 HOT_SESSION_ROWS = 1_000_000
-# Hot-session tables of up to this many rows (some 20 MB of ids) are broadcast.
-BROADCAST_SESSIONS = 200_000
-
-
-def _hot_sessions(rows: DataFrame, floor: int) -> tuple[DataFrame | None, int]:
-    """(_s) of the sessions with more than ``floor`` stage events, and how many
-    they are; where there are some, checkpointed, since the split reads them twice."""
-    hot = (rows.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"))
-           .where(F.col("_n") > F.lit(floor)).select("_s"))
+# Sample rows expected of a session at that limit; half of them make it hot.
+SAMPLE_ROWS = 200
+# The list of hot sessions and their thresholds are broadcast: at most this many
+# rows, some 10 MB.
+HOT_SESSIONS = 100_000
+
+
+def _hot_sessions(rows: DataFrame, floor: int, seed: int = 20) -> DataFrame | None:
+    """(_s) of the hottest sessions, those with ``floor`` stage events or more
+    among them; checkpointed, since the split reads them twice. None: there are none."""
+    rate = min(1.0, SAMPLE_ROWS / max(floor, 1))
+    least = max(2, min(floor, SAMPLE_ROWS) // 2) if rate < 1 else floor + 1
+    sample = rows.select("_s") if rate == 1 else rows.select("_s").where(F.rand(seed) < rate)
+    hot = sample.groupBy("_s").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
     if hot.isEmpty():
-        return None, 0
+        return None
     ensure_checkpoint_dir(rows.sparkSession)
-    hot = hot.checkpoint(eager=True)
-    return hot, hot.count()
+    return hot.orderBy(F.col("_n").desc()).limit(HOT_SESSIONS).select("_s").checkpoint(eager=True)
 
 
 def _windowed_reach(rows: DataFrame, n_stages: int) -> DataFrame:
@@ -118,15 +125,14 @@ def _windowed_reach(rows: DataFrame, n_stages: int) -> DataFrame:
     return rows.where(reached).select("_d", "stage_order", "_u")
 
 
-def _joined_reach(rows: DataFrame, n_stages: int, small) -> DataFrame:
+def _joined_reach(rows: DataFrame, n_stages: int) -> DataFrame:
     """Reached stage rows of hot sessions: per stage, a join to the previous
-    stage's thresholds, one row per hot session (``small`` broadcasts a table
-    of that many rows where the count allows it)."""
+    stage's thresholds, one row per hot session."""
     reached, threshold = [], None
     for k in range(1, n_stages + 1):
         stage_rows = rows.where(F.col("stage_order") == k)
         if threshold is not None:
-            stage_rows = (stage_rows.join(small(threshold), "_s")
+            stage_rows = (stage_rows.join(F.broadcast(threshold), "_s")   # <= HOT_SESSIONS rows
                           .where(F.col("_t") >= F.col("_prev")))
         reached.append(stage_rows.select("_d", "stage_order", "_u"))
         if k < n_stages:
@@ -144,10 +150,10 @@ def _stage_users(events: DataFrame, stages: Sequence[str], session: str, user: s
 
     Stage 1: every stage-1 event. Stage k: stage-k events of a session at or
     after that session's threshold ``T(k-1)`` = earliest qualifying stage k-1
-    time. NULL sessions count at stage 1 only; sessions with more than
-    ``hot_session_rows`` stage events take the join path, the others a window
-    per session (``hot_session_rows=None``, for tables known to have no such
-    session, saves the count).
+    time. NULL sessions count at stage 1 only; sessions found to have
+    ``hot_session_rows`` stage events or more take the join path, the others a
+    window per session (``hot_session_rows=None``, for tables known to have no
+    such session, saves the look for them).
     """
     require_columns(events, session, user, segment, ts, event_type)
     keyed = (events.where(F.col(event_type).isin(list(stages)) & F.col(session).isNotNull())
@@ -162,16 +168,13 @@ def _stage_users(events: DataFrame, stages: Sequence[str], session: str, user: s
                           F.col(user).alias("_u")))
     if hot_session_rows is None or len(stages) == 1:      # one stage: no window
         return _windowed_reach(keyed, len(stages)).unionByName(no_session)
-    hot, n_hot = _hot_sessions(keyed, hot_session_rows)
+    hot = _hot_sessions(keyed, hot_session_rows)
     if hot is None:
         return _windowed_reach(keyed, len(stages)).unionByName(no_session)
-
-    def small(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if n_hot <= BROADCAST_SESSIONS else df
-
-    hot_rows = keyed.join(small(hot), "_s", "left_semi").checkpoint(eager=True)
-    return (_windowed_reach(keyed.join(small(hot), "_s", "left_anti"), len(stages))
-            .unionByName(_joined_reach(hot_rows, len(stages), small))
+    hot = F.broadcast(hot)                                  # <= HOT_SESSIONS rows
+    hot_rows = keyed.join(hot, "_s", "left_semi").checkpoint(eager=True)
+    return (_windowed_reach(keyed.join(hot, "_s", "left_anti"), len(stages))
+            .unionByName(_joined_reach(hot_rows, len(stages)))
             .unionByName(no_session))
 
 

@@ -15,21 +15,15 @@ Business Rule Audit            amounts <= 0           event ids seen more   0
                                                       than once
 =============================  =====================  ====================  ================
 
-Plan shape: each table is read by as few aggregates as possible and the
-numbers meet as scalar subqueries on one row (no cross join):
-
-* customers: one ``groupBy(customer_id)`` gives the NULL-id count and the
-  known ids of the anti joins.
-* transactions: one ``groupBy(customer_id)`` gives the missing-key and
-  bad-amount counts, and, left-joined to the known ids on the shared id
-  partitioning, the orphans.
-* events: one ``groupBy(event_id)`` gives both the missing-key count and the
-  duplicate-id count; a second, ``distinct`` customer ids, feeds its
-  ``left_anti`` join. Every aggregate combines map-side first, so a NULL or
-  repeated id holding a third of the rows collapses before the shuffle.
-* The anti joins are planned by AQE: broadcast only when the customer side is
-  measured small, otherwise a shuffled join. NULL ids in the customer table
-  never hide orphans (NOT EXISTS semantics, not NOT IN).
+Plan shape: each table is read once. Its rows become keyed rows of one tagged
+union: customers, events and transactions by customer id, events by event id
+as well. One ``groupBy`` of that union counts, per key, the rows of each table and
+their defects; a customer id with event rows and no customer row is an orphan,
+an event id with two rows a duplicate, and one aggregate of these counts is the
+whole audit. There is one exchange, no join and no window; every count is
+combined map-side first, so a NULL or repeated id holding a third of the rows
+leaves one row a task. NULL ids in the customer table never hide orphans (NOT
+EXISTS semantics, not NOT IN).
 """
 
 from __future__ import annotations
@@ -37,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import require_columns
+from tidemark.functions.columns import require_columns, sort_bounded
 
 # Audit row labels of the reference (fixed values).
 NULL_KEYS = "Null Key Audit"
@@ -46,19 +40,56 @@ RULES = "Business Rule Audit"
 AUDIT_COLUMNS = ("audit_category", "missing_customer_ids", "missing_event_keys", "missing_txn_keys")
 
 
-def _event_stats(events: DataFrame, event_id: str, customer: str) -> Column:
-    per_id = events.groupBy(event_id).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.count_if(F.col(customer).isNull()).alias("_null_customer"))
-    missing = F.when(F.col(event_id).isNull(), F.col("_n")).otherwise(F.col("_null_customer"))
-    return per_id.agg(F.struct(
-        F.coalesce(F.sum(missing), F.lit(0)).cast("long").alias("missing_keys"),
-        F.count_if(F.col("_n") > 1).cast("long").alias("duplicates"))).scalar()
+def _keyed(df: DataFrame, *keyed_by: dict[str, Column]) -> DataFrame:
+    """The rows of a table, once for each of its keys: ``_id`` (a customer id) or
+    ``_event`` (an event id), and what is counted there."""
+    return df.select(F.inline(F.array(*[
+        F.struct(*[c.alias(n) for n, c in columns.items()]) for columns in keyed_by])))
 
 
-def _orphans(ids: DataFrame, known_ids: DataFrame) -> Column:
-    """Distinct non-NULL ids of ``ids`` (column ``_id``) missing from ``known_ids``."""
-    return ids.join(known_ids, "_id", "left_anti").agg(F.count(F.lit(1))).scalar()
+def _key_counts(customers: DataFrame, events: DataFrame, transactions: DataFrame, *,
+                customer: str, event_id: str | None = None, txn_id: str | None = None,
+                amount: str | None = None) -> DataFrame:
+    """One row for each customer id, and event id if asked for: the table rows
+    that have it (``_c``, ``_e``, ``_t``, ``_ids``), and those with a missing key
+    or a bad amount."""
+    no, yes = F.lit(0), F.lit(1)
+    id_type = dict(customers.dtypes)[customer]
+    event_type = dict(events.dtypes)[event_id] if event_id else "int"
+
+    def row(key=None, event=None, c=no, e=no, t=no, missing=no, bad=no, ids=no) -> dict[str, Column]:
+        none = F.lit(None)
+        return {"_kind": no if event is None else yes,
+                "_id": (none if key is None else F.col(key)).cast(id_type),
+                "_event": (none if event is None else F.col(event)).cast(event_type),
+                "_c": c, "_e": e, "_t": t, "_missing": missing, "_bad": bad, "_ids": ids}
+
+    def flag(condition: Column) -> Column:
+        return F.coalesce(condition.cast("int"), no)
+
+    event_rows = [row(customer, e=yes, missing=flag(F.col(customer).isNull() | (
+        F.col(event_id).isNull() if event_id else F.lit(False))))]
+    if event_id:
+        event_rows.append(row(event=event_id, ids=yes))
+    every = (_keyed(customers, row(customer, c=yes))
+             .unionByName(_keyed(events, *event_rows))
+             .unionByName(_keyed(transactions, row(
+                 customer, t=yes, bad=flag(F.col(amount) <= F.lit(0)) if amount else no,
+                 missing=flag(F.col(customer).isNull() | (
+                     F.col(txn_id).isNull() if txn_id else F.lit(False)))))))
+
+    def missing_of(table: str) -> Column:
+        return F.sum(F.when(F.col(table) == 1, F.col("_missing")).otherwise(no))
+
+    return every.groupBy("_kind", "_id", "_event").agg(
+        *[F.sum(c).alias(c) for c in ("_c", "_e", "_t", "_ids")], F.sum("_bad").alias("_bad"),
+        missing_of("_e").alias("_e_missing"), missing_of("_t").alias("_t_missing"))
+
+
+def _orphan_counts() -> tuple[Column, Column]:
+    """Distinct non-NULL ids of events and of transactions without a customer row."""
+    unknown = F.col("_id").isNotNull() & (F.col("_c") == 0)
+    return F.count_if(unknown & (F.col("_e") > 0)), F.count_if(unknown & (F.col("_t") > 0))
 
 
 def audit(customers: DataFrame, events: DataFrame, transactions: DataFrame, *,
@@ -69,49 +100,30 @@ def audit(customers: DataFrame, events: DataFrame, transactions: DataFrame, *,
     require_columns(customers, customer)
     require_columns(events, event_id, customer)
     require_columns(transactions, txn_id, customer, amount)
-    ev = _event_stats(events, event_id, customer)
-
-    # Customers, one pass: rows per id (NULL id included) feed both the NULL
-    # count and the known-id side of the anti joins, which reuse this
-    # aggregate's partitioning on the id.
-    per_customer = (customers.groupBy(F.col(customer).alias("_id"))
-                    .agg(F.count(F.lit(1)).alias("_rows")))
-    known = per_customer.where(F.col("_id").isNotNull()).select("_id")
-
-    # Transactions, one pass: per customer id (partial aggregation first), the
-    # missing-key and bad-amount counts; a left join to the known ids (both
-    # sides already partitioned by id) marks the orphans; one aggregate
-    # returns all three figures.
-    per_txn_customer = (transactions.groupBy(F.col(customer).alias("_id")).agg(
-        F.count_if(F.col(txn_id).isNull() | F.col(customer).isNull()).alias("_missing"),
-        F.count_if(F.col(amount) <= F.lit(0)).alias("_bad")))
-    tx = (per_txn_customer.join(known.withColumn("_known", F.lit(True)), "_id", "left")
-          .agg(F.struct(
-              F.coalesce(F.sum("_missing"), F.lit(0)).cast("long").alias("missing_keys"),
-              F.coalesce(F.sum("_bad"), F.lit(0)).cast("long").alias("bad_amounts"),
-              F.count_if(F.col("_id").isNotNull() & F.col("_known").isNull()).cast("long")
-              .alias("orphans"))).scalar())
-    tx_orphans = tx.getField("orphans")
-    ev_orphans = _orphans(events.select(F.col(customer).alias("_id"))
-                          .where(F.col("_id").isNotNull()).distinct(), known)
-
-    def row(order: int, label: str, a: Column, b: Column, c: Column) -> Column:
+    counts = _key_counts(customers, events, transactions, customer=customer, event_id=event_id,
+                         txn_id=txn_id, amount=amount)
+
+    def total(column: Column) -> Column:
+        return F.coalesce(F.sum(column), F.lit(0))
+
+    no_id = (F.col("_kind") == 0) & F.col("_id").isNull()
+    event_orphans, txn_orphans = _orphan_counts()
+    one = counts.agg(total(F.when(no_id, F.col("_c"))).alias("customers"),
+                     total(F.col("_e_missing")).alias("events"), total(F.col("_t_missing")).alias("txns"),
+                     event_orphans.alias("event_orphans"), txn_orphans.alias("txn_orphans"),
+                     total(F.col("_bad")).alias("bad"),
+                     F.count_if(F.col("_ids") > 1).alias("repeated"))
+
+    def row(order: int, label: str, *cells: Column) -> Column:
         return F.struct(F.lit(order).alias("_row"), F.lit(label).alias(AUDIT_COLUMNS[0]),
-                        a.cast("long").alias(AUDIT_COLUMNS[1]),
-                        b.cast("long").alias(AUDIT_COLUMNS[2]),
-                        c.cast("long").alias(AUDIT_COLUMNS[3]))
+                        *[c.cast("long").alias(n) for c, n in zip(cells, AUDIT_COLUMNS[1:])])
 
     zero = F.lit(0)
-    null_customers = F.coalesce(F.sum(F.when(F.col("_id").isNull(), F.col("_rows"))), F.lit(0))
-    out = (per_customer.agg(null_customers.alias("_null_customers"))
-           .select(F.inline(F.array(
-               row(1, NULL_KEYS, F.col("_null_customers"), ev.getField("missing_keys"),
-                   tx.getField("missing_keys")),
-               row(2, REFERENCES, ev_orphans, tx_orphans, zero),
-               row(3, RULES, tx.getField("bad_amounts"), ev.getField("duplicates"), zero)))))
-    if ordered:
-        out = out.orderBy("_row")
-    return out.select(*AUDIT_COLUMNS)
+    out = one.select(F.inline(F.array(
+        row(1, NULL_KEYS, F.col("customers"), F.col("events"), F.col("txns")),
+        row(2, REFERENCES, F.col("event_orphans"), F.col("txn_orphans"), zero),
+        row(3, RULES, F.col("bad"), F.col("repeated"), zero))))
+    return (sort_bounded(out, "_row") if ordered else out).select(*AUDIT_COLUMNS)
 
 
 def _audit_row(one: DataFrame, label: str, *figures: Column) -> DataFrame:
@@ -139,16 +151,13 @@ def null_key_audit(customers: DataFrame, events: DataFrame, transactions: DataFr
 
 def orphan_audit(customers: DataFrame, events: DataFrame, transactions: DataFrame, *,
                  customer: str = "customer_id") -> DataFrame:
-    """The reference row alone: distinct ids of each table and an anti join."""
+    """The reference row alone: the tables' customer ids counted together."""
     for df in (customers, events, transactions):
         require_columns(df, customer)
-
-    def ids(df: DataFrame) -> DataFrame:
-        return df.select(F.col(customer).alias("_id")).where(F.col("_id").isNotNull()).distinct()
-
-    known = ids(customers)
-    first = ids(events).join(known, "_id", "left_anti").agg(F.count(F.lit(1)).alias("_n"))
-    return _audit_row(first, REFERENCES, F.col("_n"), _orphans(ids(transactions), known))
+    in_events, in_transactions = _orphan_counts()
+    one = (_key_counts(customers, events, transactions, customer=customer)
+           .agg(in_events.alias("_n"), in_transactions.alias("_m")))
+    return _audit_row(one, REFERENCES, F.col("_n"), F.col("_m"))
 
 
 def business_rule_audit(customers: DataFrame, events: DataFrame, transactions: DataFrame, *,

@@ -12,8 +12,9 @@ Money: ``money_sum``, the plain sum of the amounts; exact, and so independent
 of task order, wherever they are whole cents (``money_scale`` places).
 
 Plan shape: one aggregation of the completed rows by customer (partial
-aggregation first), checkpointed once, since the reference date and the
-quartiles read it; quantile sketches and counts narrow the customers down to the
+aggregation first), checkpointed once, since the quartiles read it; the
+reference date is observed on the totals as they are written, so the
+transactions are read once; quantile sketches and counts narrow the customers down to the
 few about each quartile's end, and all customers are scored by comparison with
 the nine cut rows (``ntile_columns``): no customer is moved, and the plan is the
 same at every size.
@@ -21,7 +22,7 @@ same at every size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import money_sum, require_columns, sort_bounded
@@ -48,7 +49,19 @@ def _customer_totals(transactions: DataFrame, customer: str, ts: str, txn_id: st
         money_sum(done, amount, money_scale).alias("monetary"))
 
 
-def _with_recency(totals: DataFrame, customer: str, reference_date) -> DataFrame:
+def _written(totals: DataFrame) -> tuple[DataFrame, Column]:
+    """The totals checkpointed, and the latest time of all (as a date), which an
+    observation takes from the rows on their way. A maximum does not mind
+    that a task is run twice."""
+    ensure_checkpoint_dir(totals.sparkSession)
+    seen = Observation()
+    latest = F.unix_date(F.max("_last").cast("date")).alias("latest")
+    frozen = totals.observe(seen, latest).checkpoint(eager=True)
+    day = seen.get["latest"]
+    return frozen, F.date_from_unix_date(F.lit(day).cast("int"))
+
+
+def _with_recency(totals: DataFrame, customer: str, reference_date: Column) -> DataFrame:
     return totals.select(
         customer,
         F.datediff(reference_date, F.col("_last")).cast("long").alias("recency_days"),
@@ -61,25 +74,23 @@ def rfm_base(transactions: DataFrame, *, customer: str = "customer_id",
              money_scale: int | None = 2) -> DataFrame:
     """customer, recency_days, frequency, monetary over completed rows.
 
-    A NULL customer forms one group of its own, as in SQL GROUP BY. Lazy: the
-    reference date is a scalar subquery (a second, two-column read of the
-    completed rows); ``rfm_customers`` reads the transactions only once.
+    A NULL customer forms one group of its own, as in SQL GROUP BY. The
+    transactions are read once, when this is called: the per-customer totals are
+    checkpointed and the reference date is observed on the way.
     """
-    totals = _customer_totals(transactions, customer, ts, txn_id, amount, status, completed,
-                              money_scale)
-    done = transactions.where(F.col(status) == F.lit(completed))
-    return _with_recency(totals, customer, done.agg(F.max(ts)).scalar())
+    totals, latest = _written(_customer_totals(transactions, customer, ts, txn_id, amount, status,
+                                               completed, money_scale))
+    return _with_recency(totals, customer, latest)
 
 
 def rfm_scores(base: DataFrame, *, customer: str = "customer_id", tiles: int = 4,
-               materialize: bool = True) -> DataFrame:
+               materialize: bool = False) -> DataFrame:
     """Adds r_score, f_score, m_score (1..tiles, NTILE semantics); customer ids
     must be unique, as ``rfm_base`` leaves them.
 
-    The customer table is checkpointed first: the aggregation over all
-    transactions then runs once, although the quartiles read its result repeatedly.
-    ``materialize=False`` skips the checkpoint when ``base`` is already a cheap
-    projection of one.
+    The quartiles read ``base`` several times: it should be a cheap projection
+    of a checkpoint, as ``rfm_base`` returns it. ``materialize=True`` checkpoints
+    any other frame first.
     """
     require_columns(base, customer, "recency_days", "frequency", "monetary")
     frame = base
@@ -110,15 +121,11 @@ def rfm_customers(transactions: DataFrame, *, customer: str = "customer_id",
                   money_scale: int | None = 2, tiles: int = 4) -> DataFrame:
     """Per-customer scores and labels.
 
-    The transactions are read once: the per-customer totals are checkpointed
-    and the reference date is the latest of their last-transaction times,
-    read back from the checkpoint.
+    The transactions are read once (``rfm_base``).
     """
-    ensure_checkpoint_dir(transactions.sparkSession)
-    totals = _customer_totals(transactions, customer, ts, txn_id, amount, status, completed,
-                              money_scale).checkpoint(eager=True)
-    base = _with_recency(totals, customer, totals.agg(F.max("_last")).scalar())
-    return rfm_label(rfm_scores(base, customer=customer, tiles=tiles, materialize=False))
+    base = rfm_base(transactions, customer=customer, ts=ts, txn_id=txn_id, amount=amount,
+                    status=status, completed=completed, money_scale=money_scale)
+    return rfm_label(rfm_scores(base, customer=customer, tiles=tiles))
 
 
 def rfm_segments(labelled: DataFrame, *, customer: str = "customer_id",

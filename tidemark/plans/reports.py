@@ -28,12 +28,13 @@ from tidemark.operators import (
     rfm_customers,
     rfm_segments,
 )
-from tidemark.sources.parquet import read_table
+from tidemark.sources.layout import read_laid_out
 
 
 def load(spark: SparkSession, data_dir: str) -> dict[str, DataFrame]:
-    """customers, events and transactions from ``<data_dir>/<name>.parquet``."""
-    return {name: read_table(spark, data_dir, name)
+    """customers, events and transactions from ``<data_dir>/<name>.parquet``, with
+    the layouts they were written with (``sources.layout``), if any."""
+    return {name: read_laid_out(spark, data_dir, name)
             for name in ("customers", "events", "transactions")}
 
 
