@@ -182,6 +182,12 @@ def one_per_component(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("h"))
     keep = (rows.groupBy("root").agg(F.min(order).alias("first"))
             .select(F.col("first.doc_id").alias("keep_id"), F.col("first.h").alias("keep_h")))
-    whole = df.select(F.struct("*").alias("row"), key.alias("id"), F.xxhash64(body).alias("h"))
-    kept = whole.join(keep, whole.id.eqNullSafe(keep.keep_id) & (whole.h == keep.keep_h), "left_semi")
-    return kept.dropDuplicates(["id", "h"]).select("row.*")
+    # Whole rows move once: the join and the choice among repeated rows have the
+    # same keys, a null id being a flag of its own.
+    def keys(doc: Column, h: Column) -> list[Column]:
+        return [F.coalesce(doc.cast("string"), F.lit("")).alias("id"), doc.isNull().alias("none"),
+                h.alias("h")]
+
+    whole = df.select(F.struct("*").alias("row"), *keys(key, F.xxhash64(body)))
+    kept = whole.join(keep.select(*keys(F.col("keep_id"), F.col("keep_h"))), ["id", "none", "h"], "left_semi")
+    return kept.dropDuplicates(["id", "none", "h"]).select("row.*")
