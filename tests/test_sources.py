@@ -4,6 +4,7 @@ from datetime import datetime
 
 import pandas as pd
 
+from conftest import event_log
 from tidemark.plans import reports
 from tidemark.sources.parquet import read_table, table_path
 
@@ -24,12 +25,13 @@ def test_reads_pandas_nanosecond_timestamps(spark, tmp_path):
 
 def test_reference_style_files_run_end_to_end(spark, tmp_path):
     """Data written the way the reference writes it (pandas -> Parquet)."""
-    rows = []
-    for i, stage in enumerate(["page_view", "product_view", "add_to_cart"]):
-        rows.append({"event_id": f"E{i}", "customer_id": "C1", "session_id": "S1",
-                     "timestamp": pd.Timestamp("2025-01-01") + pd.Timedelta(hours=i),
-                     "event_type": stage, "device": "desktop", "page_category": "x"})
-    pd.DataFrame(rows).to_parquet(table_path(str(tmp_path), "events"), index=False)
+    log = event_log(spark, """
+        k7 mia web page_view    08:15
+        k7 mia web product_view 08:15
+        k7 mia web add_to_cart  09:40
+    """).toPandas()
+    log["timestamp"] = log["timestamp"].astype("datetime64[ns]")
+    log.to_parquet(table_path(str(tmp_path), "events"), index=False)
     events = read_table(spark, str(tmp_path), "events")
     users = [r["unique_users"] for r in reports.funnel_table(events).collect()]
     assert users == [1, 1, 1, 0, 0]

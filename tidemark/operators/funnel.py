@@ -113,16 +113,12 @@ def _windowed_reach(rows: DataFrame, n_stages: int) -> DataFrame:
     """Reached stage rows of ordinary sessions: one shuffle by session, then a
     chain of ``min`` windows, threshold k from threshold k-1. Each window group
     is one session, bounded because hot sessions are routed elsewhere."""
-    w = Window.partitionBy("_s")
-    stage = F.col("stage_order")
-    reached = stage == 1
-    prev = None
+    reached = ["stage_order = 1"]
     for k in range(1, n_stages):
-        qualifies = (stage == k) if prev is None else (stage == k) & (F.col("_t") >= F.col(prev))
-        rows = rows.withColumn(f"_T{k}", F.min(F.when(qualifies, F.col("_t"))).over(w))
-        prev = f"_T{k}"
-        reached = reached | ((stage == k + 1) & (F.col("_t") >= F.col(prev)))
-    return rows.where(reached).select("_d", "stage_order", "_u")
+        counts = f"stage_order = {k}" + (f" AND _t >= _T{k - 1}" if k > 1 else "")
+        rows = rows.selectExpr("*", f"min(CASE WHEN {counts} THEN _t END) OVER (PARTITION BY _s) AS _T{k}")
+        reached.append(f"(stage_order = {k + 1} AND _t >= _T{k})")
+    return rows.where(" OR ".join(reached)).select("_d", "stage_order", "_u")
 
 
 def _joined_reach(rows: DataFrame, n_stages: int) -> DataFrame:

@@ -40,11 +40,8 @@ RULES = "Business Rule Audit"
 AUDIT_COLUMNS = ("audit_category", "missing_customer_ids", "missing_event_keys", "missing_txn_keys")
 
 
-def _keyed(df: DataFrame, *keyed_by: dict[str, Column]) -> DataFrame:
-    """The rows of a table, once for each of its keys: ``_id`` (a customer id) or
-    ``_event`` (an event id), and what is counted there."""
-    return df.select(F.inline(F.array(*[
-        F.struct(*[c.alias(n) for n, c in columns.items()]) for columns in keyed_by])))
+def _name(column: str) -> str:
+    return f"`{column.replace('`', '``')}`"
 
 
 def _key_counts(customers: DataFrame, events: DataFrame, transactions: DataFrame, *,
@@ -53,43 +50,38 @@ def _key_counts(customers: DataFrame, events: DataFrame, transactions: DataFrame
     """One row for each customer id, and event id if asked for: the table rows
     that have it (``_c``, ``_e``, ``_t``, ``_ids``), and those with a missing key
     or a bad amount."""
-    no, yes = F.lit(0), F.lit(1)
     id_type = dict(customers.dtypes)[customer]
     event_type = dict(events.dtypes)[event_id] if event_id else "int"
-
-    def row(key=None, event=None, c=no, e=no, t=no, missing=no, bad=no, ids=no) -> dict[str, Column]:
-        none = F.lit(None)
-        return {"_kind": no if event is None else yes,
-                "_id": (none if key is None else F.col(key)).cast(id_type),
-                "_event": (none if event is None else F.col(event)).cast(event_type),
-                "_c": c, "_e": e, "_t": t, "_missing": missing, "_bad": bad, "_ids": ids}
-
-    def flag(condition: Column) -> Column:
-        return F.coalesce(condition.cast("int"), no)
-
-    event_rows = [row(customer, e=yes, missing=flag(F.col(customer).isNull() | (
-        F.col(event_id).isNull() if event_id else F.lit(False))))]
-    if event_id:
-        event_rows.append(row(event=event_id, ids=yes))
-    every = (_keyed(customers, row(customer, c=yes))
-             .unionByName(_keyed(events, *event_rows))
-             .unionByName(_keyed(transactions, row(
-                 customer, t=yes, bad=flag(F.col(amount) <= F.lit(0)) if amount else no,
-                 missing=flag(F.col(customer).isNull() | (
-                     F.col(txn_id).isNull() if txn_id else F.lit(False)))))))
-
-    def missing_of(table: str) -> Column:
-        return F.sum(F.when(F.col(table) == 1, F.col("_missing")).otherwise(no))
-
-    return every.groupBy("_kind", "_id", "_event").agg(
-        *[F.sum(c).alias(c) for c in ("_c", "_e", "_t", "_ids")], F.sum("_bad").alias("_bad"),
-        missing_of("_e").alias("_e_missing"), missing_of("_t").alias("_t_missing"))
-
-
-def _orphan_counts() -> tuple[Column, Column]:
-    """Distinct non-NULL ids of events and of transactions without a customer row."""
-    unknown = F.col("_id").isNotNull() & (F.col("_c") == 0)
-    return F.count_if(unknown & (F.col("_e") > 0)), F.count_if(unknown & (F.col("_t") > 0))
+    none = {"_kind": "0", "_id": "NULL", "_event": "NULL", "_c": "0", "_e": "0", "_t": "0",
+            "_missing": "0", "_bad": "0", "_ids": "0"}
+
+    def row(**values: str) -> list[str]:
+        values = none | values
+        values |= {"_id": f"CAST({values['_id']} AS {id_type})",
+                   "_event": f"CAST({values['_event']} AS {event_type})"}
+        return [f"{v} AS {k}" for k, v in values.items()]
+
+    def missing(*keys: str | None) -> str:
+        return f"int({' OR '.join(f'{_name(k)} IS NULL' for k in keys if k)})"
+
+    own = _name(customer)
+    event_row = row(_id=own, _e="1", _missing=missing(customer, event_id))
+    if event_id:        # an event row counts under its customer and under its own id
+        id_row = row(_kind="1", _event=_name(event_id), _ids="1")
+        event_row = [f"inline(array(struct({', '.join(event_row)}), struct({', '.join(id_row)})))"]
+    bad = f"int(coalesce({_name(amount)} <= 0, false))" if amount else "0"
+    every = (customers.selectExpr(*row(_id=own, _c="1"))
+             .unionByName(events.selectExpr(*event_row))
+             .unionByName(transactions.selectExpr(
+                 *row(_id=own, _t="1", _bad=bad, _missing=missing(customer, txn_id)))))
+    return every.groupBy("_kind", "_id", "_event").agg(*map(F.expr, (
+        "sum(_c) AS _c", "sum(_e) AS _e", "sum(_t) AS _t", "sum(_ids) AS _ids", "sum(_bad) AS _bad",
+        "sum(_e * _missing) AS _e_missing", "sum(_t * _missing) AS _t_missing")))
+
+
+# Distinct non-NULL ids of events and of transactions without a customer row.
+_ORPHANS = {"event_orphans": "count_if(_id IS NOT NULL AND _c = 0 AND _e > 0)",
+            "txn_orphans": "count_if(_id IS NOT NULL AND _c = 0 AND _t > 0)"}
 
 
 def audit(customers: DataFrame, events: DataFrame, transactions: DataFrame, *,
@@ -103,26 +95,20 @@ def audit(customers: DataFrame, events: DataFrame, transactions: DataFrame, *,
     counts = _key_counts(customers, events, transactions, customer=customer, event_id=event_id,
                          txn_id=txn_id, amount=amount)
 
-    def total(column: Column) -> Column:
-        return F.coalesce(F.sum(column), F.lit(0))
-
-    no_id = (F.col("_kind") == 0) & F.col("_id").isNull()
-    event_orphans, txn_orphans = _orphan_counts()
-    one = counts.agg(total(F.when(no_id, F.col("_c"))).alias("customers"),
-                     total(F.col("_e_missing")).alias("events"), total(F.col("_t_missing")).alias("txns"),
-                     event_orphans.alias("event_orphans"), txn_orphans.alias("txn_orphans"),
-                     total(F.col("_bad")).alias("bad"),
-                     F.count_if(F.col("_ids") > 1).alias("repeated"))
-
-    def row(order: int, label: str, *cells: Column) -> Column:
-        return F.struct(F.lit(order).alias("_row"), F.lit(label).alias(AUDIT_COLUMNS[0]),
-                        *[c.cast("long").alias(n) for c, n in zip(cells, AUDIT_COLUMNS[1:])])
-
-    zero = F.lit(0)
-    out = one.select(F.inline(F.array(
-        row(1, NULL_KEYS, F.col("customers"), F.col("events"), F.col("txns")),
-        row(2, REFERENCES, F.col("event_orphans"), F.col("txn_orphans"), zero),
-        row(3, RULES, F.col("bad"), F.col("repeated"), zero))))
+    figures = _ORPHANS | {
+        "customers": "coalesce(sum(CASE WHEN _kind = 0 AND _id IS NULL THEN _c END), 0L)",
+        "events": "coalesce(sum(_e_missing), 0L)", "txns": "coalesce(sum(_t_missing), 0L)",
+        "bad": "coalesce(sum(_bad), 0L)", "repeated": "count_if(_ids > 1)"}
+    one = counts.agg(*[F.expr(f"{sql} AS {name}") for name, sql in figures.items()])
+
+    def row(order: int, label: str, *cells: str) -> str:
+        return (f"struct({order} AS _row, '{label}' AS {AUDIT_COLUMNS[0]}, "
+                + ", ".join(f"CAST({c} AS BIGINT) AS {n}" for c, n in zip(cells, AUDIT_COLUMNS[1:])) + ")")
+
+    rows = [row(1, NULL_KEYS, "customers", "events", "txns"),
+            row(2, REFERENCES, "event_orphans", "txn_orphans", "0"),
+            row(3, RULES, "bad", "repeated", "0")]
+    out = one.selectExpr(f"inline(array({', '.join(rows)}))")
     return (sort_bounded(out, "_row") if ordered else out).select(*AUDIT_COLUMNS)
 
 
@@ -154,10 +140,9 @@ def orphan_audit(customers: DataFrame, events: DataFrame, transactions: DataFram
     """The reference row alone: the tables' customer ids counted together."""
     for df in (customers, events, transactions):
         require_columns(df, customer)
-    in_events, in_transactions = _orphan_counts()
     one = (_key_counts(customers, events, transactions, customer=customer)
-           .agg(in_events.alias("_n"), in_transactions.alias("_m")))
-    return _audit_row(one, REFERENCES, F.col("_n"), F.col("_m"))
+           .agg(*[F.expr(f"{sql} AS {name}") for name, sql in _ORPHANS.items()]))
+    return _audit_row(one, REFERENCES, *map(F.col, _ORPHANS))
 
 
 def business_rule_audit(customers: DataFrame, events: DataFrame, transactions: DataFrame, *,

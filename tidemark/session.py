@@ -19,6 +19,9 @@ RECOMMENDED_CONF = {
     # removed once nothing references them.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
+    # The Python call site of every column expression, for error messages, costs
+    # a walk up the stack each time.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
