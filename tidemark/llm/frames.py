@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import contextlib
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from tidemark.functions.columns import require_columns
 from tidemark.session import ensure_checkpoint_dir
@@ -110,6 +111,42 @@ def ranked(df: DataFrame, group: str, order: Sequence[str],
             .drop("_tag", "_group", "_run", "_first", "_shift"))
 
 
+# Rows of one range partition where running sums are taken.
+RUN_ROWS = 10_000
+
+
+def running_sums(df: DataFrame, order: Sequence[Column | str],
+                 sums: Mapping[str, Column]) -> DataFrame:
+    """``df`` (fixed, see ``frozen``) with, for each name of ``sums``, the sum of
+    its column over the rows ahead in ``order``, and the sum over all rows as
+    ``<name>_all``. The order must be total.
+
+    The rows are range partitioned on the order and summed within partitions of
+    about ``RUN_ROWS`` rows; one row of sums a partition gives the offsets.
+    """
+    shuffles = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(shuffles, df.count() // RUN_ROWS))
+    given = [column.alias(f"_{name}") for name, column in sums.items()]
+    tagged = frozen(df.select("*", *given).repartitionByRange(parts, *order)
+                    .sortWithinPartitions(*order)
+                    .withColumn("_tag", F.monotonically_increasing_id())
+                    .withColumn("_run", place_partition(F.col("_tag"))))
+    ahead = Window.partitionBy("_run").orderBy("_tag").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = tagged.groupBy("_run").agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in sums])
+
+    def over(name: str, window: WindowSpec) -> Column:
+        total = F.sum(f"_{name}").over(window)
+        return F.coalesce(total, F.lit(0).cast(tagged.schema[f"_{name}"].dataType))
+
+    runs = runs.select("_run", *[over(n, earlier).alias(f"_{n}_run") for n in sums],
+                       *[over(n, Window.partitionBy()).alias(f"{n}_all") for n in sums])
+    return (tagged.select("*", *[over(n, ahead).alias(f"_{n}_ahead") for n in sums])
+            .join(F.broadcast(runs), "_run")
+            .select(*df.columns, *[(F.col(f"_{n}_run") + F.col(f"_{n}_ahead")).alias(n) for n in sums],
+                    *[f"{n}_all" for n in sums]))
+
+
 def permuted(index: Column, n: Column, seed: Column, rounds: int = 24) -> Column:
     """Place of ``index`` in a pseudorandom permutation of ``0 .. n-1``.
 

@@ -26,6 +26,7 @@ from tidemark.llm.frames import (
     place_index,
     place_partition,
     quoted,
+    running_sums,
     stored,
 )
 
@@ -35,6 +36,7 @@ SHARD_SLOTS = 4096
 MAX_TAKES = 3
 CHUNK_ROWS = 1024
 BROADCAST_SOURCES = 50_000
+CELL = 1024
 
 
 def word_count(text: Column) -> Column:
@@ -49,26 +51,23 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3),
     Weights repeat over the sources. Targets share the total size by weight; a
     source whose share passes ``max_takes`` times its size stops there and the
     rest is shared anew. Sources ordered by that limit per weight are capped up
-    to some place in the order, so running sums give the common level. The
-    windows hold one row per source.
+    to some place in the order, so running sums give the common level. No task
+    holds all sources.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
+    per = frozen(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
     wheel = F.array(*[F.lit(float(w)) for w in weights])
-    per = per.withColumn("number", F.row_number().over(by_name) - 1)
+    per = running_sums(per, [F.col("source").asc_nulls_last()], {"number": F.lit(1).cast("long")})
     per = per.withColumn("weight", F.get(wheel, F.col("number") % len(weights)))
     limit = (F.col("source_size") * max_takes).cast("double")
-    by_limit = Window.orderBy(limit / F.col("weight"), "number")
-    before, whole = by_limit.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    left = (F.sum("source_size").over(whole)
-            - F.coalesce(F.sum(limit).over(before), F.lit(0.0)))
-    open_weight = (F.sum("weight").over(whole)
-                   - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    per = per.withColumn("level", left / open_weight)
+    per = frozen(per.withColumn("limit", limit).withColumn("ratio", limit / F.col("weight")))
+    per = running_sums(per, ["ratio", "number"], {
+        "limits": F.col("limit"), "weights": F.col("weight"), "sizes": F.col("source_size")})
+    limit = F.col("limit")
+    per = frozen(per.withColumn("level", (F.col("sizes_all") - F.col("limits"))
+                                / (F.col("weights_all") - F.col("weights"))))
     # The first source in the order that stays under its limit sets the level.
-    under = F.when(limit > F.col("level") * F.col("weight"),
-                   F.struct((limit / F.col("weight")).alias("ratio"), F.col("number")))
-    level = F.coalesce(F.min_by("level", under).over(whole), F.lit(float("inf")))
+    under = F.when(limit > F.col("level") * F.col("weight"), F.struct("ratio", "number"))
+    level = per.agg(F.coalesce(F.min_by("level", under), F.lit(float("inf")))).scalar()
     per = per.withColumn("target", F.least(limit, level * F.col("weight")))
     blocks = F.ceil(F.col("source_size") / block_words)
     quota = F.round(F.col("target") * blocks / F.nullif(F.col("source_size"), F.lit(0)))
@@ -102,70 +101,78 @@ def _offsets(rows: DataFrame) -> DataFrame:
 
 def _slots(sources: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     """(number, blocks, k): every slot of the mix as a source and the slot's
-    number within the source, each source having exactly its quota of them."""
+    number within the source, each source having exactly its quota of them.
+
+    Sources are rows throughout: their quotas, laid end to end, are intervals
+    of a line, and a draw is a point on it (``_met``).
+    """
     spark = sources.sparkSession
-    total = sources.agg(F.sum("quota")).first()[0] or 0
-    # One row: per source in number order, what the draws need.
-    names = sources.agg(F.array_sort(F.collect_list(F.struct("number", "quota", "blocks")))
-                        .alias("s")).select(
-        F.col("s.quota").alias("quota"), F.col("s.blocks").alias("blocks"))
-    tops = F.reduce(
-        "quota", F.array(F.lit(0).cast("long")),
-        lambda acc, q: F.concat(acc, F.array(F.element_at(acc, -1) + q)))
-    names = frozen(names.select("quota", "blocks", F.slice(tops, 2, F.size("quota")).alias("top")))
-    quota, blocks, top = (names.select(c).scalar() for c in ("quota", "blocks", "top"))
-
-    slot = spark.range(total).select(F.col("id").alias("slot"))
-    point = F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), "slot"), F.lit(max(total, 1)))
-    drawn = (slot.select("slot", point.alias("point"), top.alias("top"))
-             .select(F.floor(F.col("slot") / shard_slots).alias("shard"),
-                     _place_in(F.col("top"), F.col("point")).alias("number")))
-    counts = frozen(drawn.groupBy("shard", "number").agg(F.count(F.lit(1)).alias("n")))
+    many, total = sources.agg(F.count(F.lit(1)), F.coalesce(F.sum("quota"), F.lit(0))).first()
+    few = many <= BROADCAST_SOURCES
+    slot = F.col("id")
+    points = spark.range(total).select(
+        F.floor(slot / shard_slots).alias("shard"),
+        F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), slot), F.lit(max(total, 1))).alias("point"))
+    line = running_sums(sources.select("number", F.col("quota").alias("width")), ["number"],
+                        {"low": F.col("width")})
+    counts = frozen(_met(points, line, many, total)
+                    .groupBy("shard", "number").agg(F.count(F.lit(1)).alias("n")))
     # Slots of a source before this shard: over groups of shards, then within.
     group = F.floor(F.col("shard") / CHUNK_ROWS)
-    counts = counts.withColumn("group", group)
-    groups = counts.groupBy("number", "group").agg(F.sum("n").alias("m")).withColumn(
+    shards = counts.withColumn("group", group)
+    groups = shards.groupBy("number", "group").agg(F.sum("n").alias("m")).withColumn(
         "base", F.coalesce(F.sum("m").over(Window.partitionBy("number").orderBy("group").rowsBetween(
             Window.unboundedPreceding, -1)), F.lit(0).cast("long"))).drop("m")
     first = F.coalesce(F.sum("n").over(Window.partitionBy("number", "group").orderBy("shard").rowsBetween(
         Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    numbered = (counts.withColumn("ahead", first).join(groups, ["number", "group"])
+    numbered = (shards.withColumn("ahead", first).join(groups, ["number", "group"])
                 .select("number", (F.col("base") + F.col("ahead")).alias("first"), "n"))
-    # Few rows of counts make many slots: deal the counts to all tasks.
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slots = numbered.repartition(tasks, "number", "first").select("number", F.explode(
-        F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("k"))
     # Draws above a source's quota, in one line, fill those below theirs.
     got = counts.groupBy("number").agg(F.sum("n").alias("got"))
-    balance = (sources.select("number", "quota").join(got, "number", "left")
-               .select("number", "quota", F.coalesce("got", F.lit(0).cast("long")).alias("got")))
-    lines = balance.agg(F.array_sort(F.collect_list(F.struct("number", "quota", "got"))).alias("s"))
-    over = F.transform("s", lambda x: F.greatest(x["got"] - x["quota"], F.lit(0).cast("long")))
-    under = F.transform("s", lambda x: F.greatest(x["quota"] - x["got"], F.lit(0).cast("long")))
-
-    def sums(counts: Column) -> Column:
-        return F.reduce(counts, F.array(F.lit(0).cast("long")),
-                        lambda acc, q: F.concat(acc, F.array(F.element_at(acc, -1) + q)))
-
-    lines = frozen(lines.select(sums(over).alias("over"), sums(under).alias("under"),
-                                F.col("s.got").alias("got")))
-    over, under, got = (lines.select(c).scalar() for c in ("over", "under", "got"))
-    spare = F.get(over, F.col("number")) + F.col("k") - F.get(quota, F.col("number"))
-    slots = slots.select("number", "k", F.when(
-        F.col("k") >= F.get(quota, F.col("number")), spare).alias("spare"))
-    to = _place_in(F.col("under"), F.col("spare")) - 1
-    slots = (slots.withColumn("under", under)
-             .withColumn("to", F.when(F.col("spare").isNotNull(), to)))
-    return slots.select(
-        F.coalesce("to", "number").alias("number"),
-        F.when(F.col("to").isNull(), F.col("k"))
-        .otherwise(F.get(got, F.col("to")) + F.col("spare") - F.get("under", F.col("to"))).alias("k")
-    ).withColumn("blocks", F.get(blocks, F.col("number")))
-
-
-def _place_in(tops: Column, point: Column) -> Column:
-    """Number of the interval of running sums that holds ``point``."""
-    return F.size(F.filter(tops, lambda t: t <= point)).cast("long")
+    none = F.lit(0).cast("long")
+    balance = frozen(sources.select("number", "quota", "blocks").join(got, "number", "left")
+                     .withColumn("got", F.coalesce("got", none))
+                     .withColumn("over", F.greatest(F.col("got") - F.col("quota"), none))
+                     .withColumn("width", F.greatest(F.col("quota") - F.col("got"), none)))
+    balance = frozen(running_sums(balance, ["number"], {"over_from": F.col("over"), "low": F.col("width")}))
+    own = balance.select("number", "quota", "blocks", "over_from")
+    # Few rows of counts make many slots: deal the counts to all tasks.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbered = frozen(numbered.join(F.broadcast(own) if few else own, "number")
+                      .repartition(tasks, "number", "first"))
+    first, end, quota = F.col("first"), F.col("first") + F.col("n"), F.col("quota")
+    kept = numbered.where(first < quota).select("number", "blocks", F.explode(
+        F.sequence(first, F.least(end, quota) - 1)).alias("k"))
+    spare = numbered.where(end > quota).select(
+        F.explode(F.sequence(F.greatest(first, quota), end - 1)).alias("k"), "over_from", "quota")
+    spare = spare.select((F.col("over_from") + F.col("k") - quota).alias("point"))
+    short = balance.agg(F.coalesce(F.sum("width"), F.lit(0))).first()[0]
+    given = _met(spare, balance.select("number", "blocks", "got", "width", "low"), many, short)
+    return kept.unionByName(given.select(
+        "number", "blocks", (F.col("got") + F.col("point") - F.col("low")).alias("k")))
+
+
+def _met(points: DataFrame, line: DataFrame, many: int, length: int) -> DataFrame:
+    """``points`` with the row of ``line`` (``many`` rows, end to end over
+    ``0 .. length-1``: low, width) whose interval holds ``point``.
+
+    The line is cut into equal cells, and an interval is a row for each cell
+    that it meets. Where the intervals may be broadcast there are as many cells
+    as intervals, so a point meets two rows of the line on average; more of them
+    are joined by cell, ``CELL`` points wide.
+    """
+    few = many <= BROADCAST_SOURCES
+    cell = max(1, length // max(1, many)) if few else CELL
+    low, end = F.col("low"), F.col("low") + F.col("width")
+
+    def number(at: Column) -> Column:
+        return F.floor(at / cell)
+
+    cells = line.where(F.col("width") > 0).withColumn(
+        "cell", F.explode(F.sequence(number(low), number(end - 1))))
+    return (points.withColumn("cell", number(F.col("point")))
+            .join(F.broadcast(cells) if few else cells, "cell")
+            .where((low <= F.col("point")) & (F.col("point") < end)).drop("cell"))
 
 
 def taken_spans(rows: DataFrame, sources: DataFrame, *, block_words: int = BLOCK_WORDS,
