@@ -22,44 +22,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from tidemark.llm.frames import quoted
+from tidemark.llm.license_texts import TEMPLATES
 
 SHINGLE = 5
 CONTAINMENT = 0.8
 MISS = 1e-4
-# Shingles of several texts scanned together, shingles hashed at once, and words
-# remembered, by one task.
-CHUNK = 1 << 20
-STEP = 1 << 16
+# Shingles of several texts scanned together, and words remembered, by one task.
+CHUNK = 1 << 18
 MEMO_WORDS = 400_000
 WORD = re.compile(r"\w+")
 
-# Notices of public licenses (fixed values).
-TEMPLATES = {
-    "Apache-2.0 line": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0 notice": (
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file "
-        "except in compliance with the License. You may obtain a copy of the License at "
-        "http://www.apache.org/licenses/LICENSE-2.0"),
-    "BSD notice": (
-        "Redistribution and use in source and binary forms, with or without modification, are "
-        "permitted provided that the following conditions are met:"),
-    "CC-BY-NC-4.0 line": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0 line": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL notice": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of "
-        "the GNU General Public License as published by the Free Software Foundation"),
-    "ISC notice": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or "
-        "without fee is hereby granted, provided that the above copyright notice and this permission "
-        "notice appear in all copies."),
-    "MIT line": "Released under the MIT License.",
-    "MIT notice": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
-        "software and associated documentation files (the \"Software\"), to deal in the Software "
-        "without restriction, including without limitation the rights to use, copy, modify, merge, "
-        "publish, distribute, sublicense, and/or sell copies of the Software"),
-}
-
 
 class Shingles:
     """Hashed word shingles of texts; words are lower-cased runs of letters,
@@ -97,7 +69,9 @@ def bands_needed(similarity: float, miss: float = MISS) -> int:
 
 
 class Scanner:
-    """Templates by window size, with their band values."""
+    """Templates with an index of their band values: for each window size and
+    band, the templates sorted by value, so that a window finds those that share
+    its value by binary search."""
 
     def __init__(self, templates: Mapping[str, str], shingle: int = SHINGLE,
                  containment: float = CONTAINMENT, miss: float = MISS, seed: int = 11):
@@ -110,12 +84,19 @@ class Scanner:
         self.block = [1 << math.ceil(math.log2(1.25 * len(s))) for s in self.sets]
         similarity = [containment * len(s) / (2 * b + (1 - containment) * len(s))
                       for s, b in zip(self.sets, self.block)]
-        self.bands = [bands_needed(x, miss) for x in similarity]
+        bands = [bands_needed(x, miss) for x in similarity]
         rng = np.random.default_rng(seed)
-        self.odd = rng.integers(0, 1 << 31, max(self.bands, default=1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-        self.marks = [[self._values(s, i).min() for i in range(n)]
-                      for s, n in zip(self.sets, self.bands)]
-        self.largest = max(self.block, default=1)
+        self.odd = rng.integers(0, 1 << 31, max(bands, default=1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        self.least = min(self.block, default=1)
+        # (block, band): values in order, and their templates.
+        self.index: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for block in sorted(set(self.block)):
+            for band in range(len(self.odd)):
+                mine = [t for t, (own, n) in enumerate(zip(self.block, bands)) if own == block and band < n]
+                if mine:
+                    marks = np.array([self._values(self.sets[t], band).min() for t in mine])
+                    order = np.argsort(marks, kind="stable")
+                    self.index[block, band] = marks[order], np.array(mine)[order]
 
     def _values(self, shingles: np.ndarray, band: int) -> np.ndarray:
         v = (shingles >> np.uint64(32)).astype(np.uint32) * self.odd[band]
@@ -126,64 +107,81 @@ class Scanner:
         """(text's number, template, first word, words, containment) of each
         place found; places of a template that overlap are one, with the best
         containment."""
-        held, first, length = [], [], 0
+        held, length = [], 0
         for n, text in enumerate(texts):
             shingles = self.shingles.of(text)
-            if not len(shingles):
-                continue
-            # Whole blocks of every size: the last shingle is repeated.
-            pad = -len(shingles) % self.largest
-            held.append(np.concatenate([shingles, np.full(pad, shingles[-1])]))
-            first.append((n, length, len(shingles)))
-            length += len(held[-1])
+            if len(shingles):
+                held.append((n, shingles))
+                length += len(shingles)
             if length >= CHUNK:
-                yield from self._found(np.concatenate(held), first)
-                held, first, length = [], [], 0
+                yield from self._found(held)
+                held, length = [], 0
         if held:
-            yield from self._found(np.concatenate(held), first)
-
-    def _found(self, shingles: np.ndarray, texts: list[tuple[int, int, int]]):
-        hits = [np.zeros(len(shingles) // b, dtype=bool) for b in self.block]
-        # The first block of a text does not follow the last one's text.
-        starts = np.zeros(len(shingles) // self.largest + 1, dtype=bool)
-        starts[[at // self.largest for _, at, _ in texts]] = True
-        starts[-1] = True
-        last = {b: np.zeros(len(shingles) // b, dtype=bool) for b in set(self.block)}
-        for b, ends in last.items():
-            per = self.largest // b
-            ends[per - 1::per] = starts[1:]
-        for start in range(0, len(shingles), STEP):
-            # One block more, for the window that begins in the last one.
-            part = shingles[start:start + STEP + self.largest]
-            for band in range(len(self.odd)):
-                least, size = self._values(part, band), 1
-                for block in sorted(last):
-                    while size < block:
-                        least, size = np.minimum(least[0::2], least[1::2]), 2 * size
-                    mine = slice(start // block, min(start + STEP, len(shingles)) // block)
-                    many = mine.stop - mine.start
-                    after = np.append(least[1:], least[-1:])[:many]
-                    window = np.where(last[block][mine], least[:many], np.minimum(least[:many], after))
-                    for hit, own, marks in zip(hits, self.block, self.marks):
-                        if own == block and band < len(marks):
-                            hit[mine] |= window == marks[band]
-        begins = np.array([at for _, at, _ in texts])
-        for name, wanted, block, hit in zip(self.names, self.sets, self.block, hits):
-            places: dict[int, list] = {}
-            for h in np.flatnonzero(hit):
-                t = int(np.searchsorted(begins, h * block, "right")) - 1
-                n, at, size = texts[t]
-                place = self._verified(shingles[at:at + size], int(h) * block - at, 2 * block, wanted)
-                if place:
-                    places.setdefault(n, []).append(place)
-            for n, found in places.items():
-                for place in _joined(found):
-                    yield (n, name, *place)
+            yield from self._found(held)
+
+    def _levels(self, sizes: np.ndarray) -> dict[int, tuple]:
+        """Per block size: each block's left and right part among the blocks of
+        half the size, the block after it in its text (the last one's is itself),
+        and where the texts' blocks begin. A text has at least one block."""
+        levels, block, many = {}, self.least, -(-sizes // self.least)
+        left = right = None
+        while True:
+            ends = np.cumsum(many)
+            first = ends - many
+            after = np.arange(1, ends[-1] + 1)
+            after[ends - 1] -= 1
+            levels[block] = left, right, after, first
+            if block >= max(self.block):
+                return levels
+            above = -(-many // 2)
+            text = np.repeat(np.arange(len(above)), above)
+            inside = np.arange(len(text)) - np.repeat(np.cumsum(above) - above, above)
+            left = first[text] + 2 * inside
+            right = after[left]
+            many, block = above, 2 * block
+
+    def _candidates(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
+        """(text, template, block number) of the windows that share a band value
+        with a template."""
+        # Whole blocks of the smallest size: a text's last shingle is repeated.
+        pads = [np.concatenate([t, np.full(-len(t) % self.least, t[-1])]) for t in texts]
+        shingles = np.concatenate(pads)
+        levels = self._levels(np.array([len(t) for t in texts]))
+        met: dict[int, list[np.ndarray]] = {block: [] for block in levels}
+        for band in range(len(self.odd)):
+            least = self._values(shingles, band).reshape(-1, self.least).min(1)
+            for block, (left, right, after, _) in levels.items():
+                if left is not None:
+                    least = np.minimum(least[left], least[right])
+                if (block, band) not in self.index:
+                    continue
+                marks, templates = self.index[block, band]
+                window = np.minimum(least, least[after])
+                low, high = np.searchsorted(marks, window, "left"), np.searchsorted(marks, window, "right")
+                for at in np.flatnonzero(low < high):
+                    same = templates[low[at]:high[at]]
+                    met[block].append(same * len(window) + at)
+        for block, found in met.items():
+            if found:
+                _, _, after, first = levels[block]
+                template, at = np.divmod(np.unique(np.concatenate(found)), len(after))
+                text = np.searchsorted(first, at, "right") - 1
+                yield from zip(text.tolist(), template.tolist(), (at - first[text]).tolist())
+
+    def _found(self, held: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, str, int, int, float]]:
+        texts = [shingles for _, shingles in held]
+        places: dict[tuple[int, int], list] = {}
+        for text, template, at in self._candidates(texts):
+            block = self.block[template]
+            place = self._verified(texts[text], at * block, 2 * block, self.sets[template])
+            if place:
+                places.setdefault((template, text), []).append(place)
+        for (template, text), found in sorted(places.items()):
+            for place in _joined(found):
+                yield (held[text][0], self.names[template], *place)
 
     def _verified(self, shingles: np.ndarray, start: int, size: int, wanted: np.ndarray):
         window = shingles[start:start + size]
-        if not len(window):  # padding only
-            return None
         at = np.flatnonzero(np.isin(window, wanted))
         share = len(np.unique(window[at])) / len(wanted)
         if share < self.containment:
