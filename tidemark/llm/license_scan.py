@@ -30,6 +30,8 @@ MISS = 1e-4
 # Shingles of several texts scanned together, and words remembered, by one task.
 CHUNK = 1 << 18
 MEMO_WORDS = 400_000
+# The last bits of a band value by which most windows are passed over.
+ENDS = np.uint32((1 << 13) - 1)
 WORD = re.compile(r"\w+")
 
 
@@ -71,7 +73,7 @@ def bands_needed(similarity: float, miss: float = MISS) -> int:
 class Scanner:
     """Templates with an index of their band values: for each window size and
     band, the templates sorted by value, so that a window finds those that share
-    its value by binary search."""
+    its value by binary search, if the value's last bits are any template's."""
 
     def __init__(self, templates: Mapping[str, str], shingle: int = SHINGLE,
                  containment: float = CONTAINMENT, miss: float = MISS, seed: int = 11):
@@ -88,15 +90,17 @@ class Scanner:
         rng = np.random.default_rng(seed)
         self.odd = rng.integers(0, 1 << 31, max(bands, default=1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         self.least = min(self.block, default=1)
-        # (block, band): values in order, and their templates.
-        self.index: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        # (block, band): values in order, their templates, and which last bits occur.
+        self.index: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for block in sorted(set(self.block)):
             for band in range(len(self.odd)):
                 mine = [t for t, (own, n) in enumerate(zip(self.block, bands)) if own == block and band < n]
                 if mine:
                     marks = np.array([self._values(self.sets[t], band).min() for t in mine])
                     order = np.argsort(marks, kind="stable")
-                    self.index[block, band] = marks[order], np.array(mine)[order]
+                    ends = np.zeros(int(ENDS) + 1, dtype=bool)
+                    ends[marks & ENDS] = True
+                    self.index[block, band] = marks[order], np.array(mine)[order], ends
 
     def _values(self, shingles: np.ndarray, band: int) -> np.ndarray:
         v = (shingles >> np.uint64(32)).astype(np.uint32) * self.odd[band]
@@ -147,20 +151,23 @@ class Scanner:
         pads = [np.concatenate([t, np.full(-len(t) % self.least, t[-1])]) for t in texts]
         shingles = np.concatenate(pads)
         levels = self._levels(np.array([len(t) for t in texts]))
+        many = len(shingles) // self.least
         met: dict[int, list[np.ndarray]] = {block: [] for block in levels}
         for band in range(len(self.odd)):
-            least = self._values(shingles, band).reshape(-1, self.least).min(1)
+            least = self._values(shingles, band)
+            while len(least) > many:
+                least = np.minimum(least[0::2], least[1::2])
             for block, (left, right, after, _) in levels.items():
                 if left is not None:
                     least = np.minimum(least[left], least[right])
                 if (block, band) not in self.index:
                     continue
-                marks, templates = self.index[block, band]
+                marks, templates, ends = self.index[block, band]
                 window = np.minimum(least, least[after])
-                low, high = np.searchsorted(marks, window, "left"), np.searchsorted(marks, window, "right")
-                for at in np.flatnonzero(low < high):
-                    same = templates[low[at]:high[at]]
-                    met[block].append(same * len(window) + at)
+                some = np.flatnonzero(ends[window & ENDS])
+                low, high = (np.searchsorted(marks, window[some], side) for side in ("left", "right"))
+                for i in np.flatnonzero(low < high):
+                    met[block].append(templates[low[i]:high[i]] * len(window) + some[i])
         for block, found in met.items():
             if found:
                 _, _, after, first = levels[block]
