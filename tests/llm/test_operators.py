@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from tidemark.llm import (
     chat,
@@ -42,9 +43,19 @@ def docs(spark):
     return spark.createDataFrame(rows, DOC)
 
 
+def plain_fingerprint(text):
+    """The contract's fingerprint, bit by bit, with another hashing library call."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda c: c[0].lower(), text or ""))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i:i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
 def test_simhash_components_equal_brute_force(docs):
     got = simhash.simhash_components(docs).collect()
-    rows = [(r.doc_id, simhash.fingerprint(r.text)) for r in docs.collect()]
+    rows = [(r.doc_id, plain_fingerprint(r.text)) for r in docs.collect()]
     root = list(range(len(rows)))
     for _ in rows:
         for i, j in itertools.product(range(len(rows)), repeat=2):
@@ -224,6 +235,25 @@ def test_nearest_vectors_recall(spark):
     assert hits >= 72
 
 
+def test_nearest_vectors_of_odd_rows(spark):
+    """Null, NaN, infinite and zero vectors take no part; ties go to the smaller
+    id; copies and null ids are rows of their own."""
+    rows = [(0, [0.0, 1.0]), (100, [0.0, 1.0]), (100, [0.0, 1.0]), (3, [0.0, 3.0]), (2, [0.0, -1.0]),
+            (5, [2.0, 1.0]), (None, [0.0, 1.5]), (7, None), (8, [None, 1.0]), (9, [float("nan"), 1.0]),
+            (200, [0.0, 0.0]), (11, [float("inf"), 0.0]), (300, []), (12, [0.0])]
+    df = spark.createDataFrame([(i, v, 1, 2.0) for i, v in rows], "vec_id long, embedding array<double>, rank int, score double")
+    usable = [(i, v) for i, v in rows
+              if v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    want = []
+    for n, (q, a) in enumerate(usable):
+        if q is None or q % 100:
+            continue
+        others = sorted((math.dist(a, b), (i is not None, i or 0)) for m, (i, b) in enumerate(usable) if m != n)
+        want += [(q, r + 1, i if known else None, d) for r, (d, (known, i)) in enumerate(others[:10])]
+    got = [tuple(r) for r in nearest.nearest_vectors(df).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_packing_is_best_fit_decreasing(docs):
     rows = packing.pack_documents(docs, tokenizer_path(), capacity=64).collect()
     from tokenizers import Tokenizer
