@@ -32,6 +32,8 @@ from tidemark.operators import (  # noqa: E402
     cohort_matrix_freq,
     cohort_retention,
     densify_stages,
+    distinct_counts,
+    distinct_rollup,
     event_mix,
     funnel_all,
     funnel_by_segment,
@@ -226,6 +228,21 @@ def q_kpis(spark, d):
                 completed=dt.COMPLETED)
 
 
+def q_distinct_users(spark, d):
+    """Distinct users of each event type."""
+    _prepare(spark)
+    return distinct_counts(read_table(spark, d, "events"), ["event_type"], "user_id", "users")
+
+
+def q_distinct_rollup(spark, d):
+    """Distinct users by day and event type, then by week, over all and in all."""
+    _prepare(spark)
+    events = read_table(spark, d, "events").withColumns({
+        "day": F.to_date("ts"), "week": F.to_date(F.date_trunc("week", "ts"))})
+    return distinct_rollup(events, [["day", "week", "event_type"], ["week", "event_type"],
+                                    ["event_type"], []], "user_id", "users")
+
+
 def q_event_mix(spark, d):
     _prepare(spark)
     return event_mix(read_table(spark, d, "events"))
@@ -315,6 +332,8 @@ def reference_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dq_rules": _dq_row(business_rule_audit),
         "dq_audit": q_dq_audit,
         "kpis": q_kpis,
+        "distinct_users": q_distinct_users,
+        "distinct_rollup": q_distinct_rollup,
         "event_mix": q_event_mix,
         "table_write": q_table_write,
         "table_laid_out": q_table_laid_out,
@@ -594,6 +613,14 @@ def reference_oracles() -> dict[str, str]:
         "table_write": f"WITH {_EV} SELECT * FROM ev",
         "table_laid_out": f"WITH {_EV} SELECT * FROM ev",
         "funnel_bucketed": f"WITH {_FUNNEL_CTES} SELECT * FROM funnel",
+        "distinct_users": """SELECT event_type, COUNT(DISTINCT user_id) AS users FROM events
+            GROUP BY event_type""",
+        "distinct_rollup": """
+            WITH e AS (SELECT *, CAST(ts AS DATE) AS day, CAST(date_trunc('week', ts) AS DATE) AS week FROM events)
+            SELECT CAST(CASE GROUPING(day, week, event_type) WHEN 0 THEN 0 WHEN 4 THEN 1 WHEN 6 THEN 2 ELSE 3 END
+                        AS INTEGER) AS level,
+                   day, week, event_type, COUNT(DISTINCT user_id) AS users
+            FROM e GROUP BY GROUPING SETS ((day, week, event_type), (week, event_type), (event_type), ())""",
         "event_mix": """SELECT event_type, COUNT(*) AS count FROM events
                         GROUP BY event_type ORDER BY count DESC""",
     }
