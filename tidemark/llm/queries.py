@@ -196,7 +196,26 @@ numbered AS (
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INTEGER) AS rank
 FROM numbered WHERE part = 'pair' OR r <= 10"""
 
+# Every query against every row; vectors of one length, of finite numbers.
+_TOPK_SQL = """
+WITH f AS (
+    SELECT vec_id, row_number() OVER () AS place,
+           list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+    SELECT q.vec_id AS query_id, q.place AS asked, r.vec_id, r.place,
+           CAST(list_dot_product(q.v, r.v) AS BIGINT) AS score
+    FROM f q JOIN f r ON q.place <> r.place
+    WHERE q.vec_id % 100 = 0)
+SELECT query_id, vec_id, score,
+       CAST(row_number() OVER (PARTITION BY asked ORDER BY score DESC, vec_id, place) AS INTEGER) AS rank
+FROM scores
+QUALIFY rank <= 10"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_exact_topk": _TOPK_SQL,
     "op11_source_divergence": _DIVERGENCE_SQL,
     "op13_merkle_manifest": _merkle_sql(),
     "op4_url_filters": f"""
