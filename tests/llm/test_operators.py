@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import (
     chat,
@@ -350,6 +351,19 @@ def test_chats_are_repaired_at_least_cost(spark):
         assert order == ["user", "assistant"] * (len(order) // 2)
 
 
+def test_equal_turns_are_dealt_to_many_tasks(spark):
+    """Rows equal in every column, null ids and all, do not land in one task, and
+    are repaired as one conversation."""
+    n = 3000
+    df = spark.createDataFrame([(None, None, "user", "same")] * n, "conv_id long, turn int, role string, text string")
+    out = chat.format_chats(df, task_rows=200)
+    rows = out.collect()
+    assert len(rows) == n and sum(r.cost for r in rows) == sum(
+        r.cost for r in chat.format_chats(df, task_rows=10 ** 6).collect())
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < n / 4
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], DOC)
     vectors = spark.createDataFrame([], VECTOR)

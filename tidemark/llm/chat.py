@@ -188,18 +188,20 @@ def format_chats(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", ro
     and ``put_after`` name the empty turns inserted ('' if none); ``cost`` is
     the row's share of its conversation's cost, the least there is. A
     conversation's ``rendered`` in turn order, put end to end, is the formatted
-    conversation. Turns are ordered by turn, role and text (nulls first);
-    repeated rows are turns of their own; a null or unknown role must be
+    conversation. Turns are ordered by turn and role (nulls first), ties by a
+    hash of the text; repeated rows are turns of their own; a null or unknown role must be
     relabelled; a null text is empty; rows with a null conv_id are one
     conversation. Other columns are ignored; an empty input gives no rows.
     """
     spark, repair = df.sparkSession, Repair(merge, relabel, insert)
     c, t, r, x = quoted(df, conv_id, turn, role, text)
     rows = df.select(c.alias("conv_id"), t.alias("turn"), r.alias("role"), x.alias("text"))
-    keys = ["conv_id", "turn", "role", "mark"]
+    # The place deals out rows that are equal in all else, whatever their number.
+    keys = ["conv_id", "turn", "role", "mark", "place"]
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // task_rows))
-    rows = frozen(rows.withColumn("mark", F.xxhash64("text")).repartitionByRange(tasks, *keys)
-                  .sortWithinPartitions(*keys, "text").withColumn("part", F.spark_partition_id()))
+    rows = frozen(rows.withColumn("mark", F.xxhash64("text"))
+                  .withColumn("place", F.monotonically_increasing_id()).repartitionByRange(tasks, *keys)
+                  .sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id()))
 
     def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = last = None
